@@ -12,15 +12,15 @@ def is_peru_unit(unit: Column) -> Column:
     return F.coalesce(plain.contains("PERU"), F.lit(False))
 
 
-def currency(code: Column, unit: Column) -> Column:
-    return F.coalesce(code, F.when(is_peru_unit(unit), "PEN").otherwise("EUR"))
+def currency(code: Column, peru: Column) -> Column:
+    return F.coalesce(code, F.when(peru, "PEN").otherwise("EUR"))
 
 
 def eur_rate(code: Column) -> Column:
     """Rate to EUR. A currency with no rate stops the job; it is never null."""
-    known = [F.when(code == k, F.lit(v)) for k, v in config.FX_TO_EUR.items()]
+    rates = F.create_map(*[F.lit(x) for pair in config.FX_TO_EUR.items() for x in pair])
     missing = F.raise_error(F.concat(F.lit("no FX rate for currency: "), code))
-    return F.coalesce(*known, missing.cast("double"))
+    return F.coalesce(F.try_element_at(rates, code), missing.cast("double"))
 
 
 def channel(uid: Column) -> Column:
@@ -29,7 +29,7 @@ def channel(uid: Column) -> Column:
     )
 
 
-def unit_country(unit: Column) -> Column:
+def unit_country(unit: Column, peru: Column) -> Column:
     return (
-        F.when(unit.contains("PORTUGAL"), "Portugal").when(is_peru_unit(unit), "Peru").otherwise("Spain")
+        F.when(unit.contains("PORTUGAL"), "Portugal").when(peru, "Peru").otherwise("Spain")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -41,7 +41,8 @@ OPTION_IS_PLAYER_WORDS = [
     "to be booked", "sent off", "nth player booked",
 ]
 STAR_TAG = r"(?i)\s*\(Star Substitute\)\s*"
-LINE = r"(?i)(\d+(?:\.\d+)?)\s*or more|over\s*(\d+(?:\.\d+)?)|under\s*(\d+(?:\.\d+)?)"
+NUMBER = r"(\d+(?:\.\d+)?)"
+LINE = rf"(?i){NUMBER}\s*or more|over\s*{NUMBER}|under\s*{NUMBER}"
 NOT_A_NAME = r"^\d|^Over|^Under"
 # -------------------------------------------------------------------------------
 
@@ -52,47 +53,52 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+# One pattern or map lookup per rule keeps the generated code of a whole row
+# small enough for the JVM to compile; long chains of tests do not.
 
 
 def _contains_any(c: Column, words: list[str]) -> Column:
-    return _any([c.contains(w) for w in words])
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def _starts_any(c: Column, words: list[str]) -> Column:
-    return _any([c.startswith(w) for w in words])
+    return c.rlike("^(?:" + "|".join(re.escape(w) for w in words) + ")")
 
 
-def _whole_label(raw: Column, part: int) -> Column | None:
+def _whole_label(raw: Column, part: int) -> Column:
     """The value for a label that is known as a whole, else null."""
-    pairs = [(F.when(raw == k, v[part])) for k, v in WHOLE_LABELS.items()]
-    return F.coalesce(*pairs)
+    known = F.create_map(*[F.lit(x) for k, v in WHOLE_LABELS.items() for x in (k, v[part])])
+    return F.try_element_at(known, raw)
 
 
-def _base(raw: Column) -> Column:
-    return strip(F.regexp_replace(raw, STAR_TAG, ""))
+def market_base(raw: Column) -> Column:
+    """The label without its star-substitute tag."""
+    untagged = strip(F.regexp_replace(raw, STAR_TAG, ""))
+    return F.when(star_flag(raw), untagged).otherwise(strip(raw))
+
+
+def _is_tagged(raw: Column) -> Column:
+    return star_flag(raw) & F.coalesce(raw.rlike(STAR_TAG), F.lit(False))
 
 
 def _is_duel(low: Column) -> Column:
     return low.contains("{player1} vs {player2}")
 
 
-def market_clean(raw: Column) -> Column:
-    base = _base(raw)
-    low = F.lower(base)
+def market_clean(raw: Column, base: Column, low: Column) -> Column:
+    """``base`` is ``market_base`` and ``low`` its lower case: both are read many
+    times, so the caller keeps them as columns."""
     readable = (
         F.when(_is_duel(low), F.concat(F.lit("Player duel: "), strip(F.substring_index(base, "-", 1))))
         .when(low.contains("{player}"), strip(F.replace(base, F.lit("{PLAYER}"), F.lit("(player)"))))
         .otherwise(base)
     )
-    tagged = F.when(raw.rlike(STAR_TAG), F.concat(readable, F.lit(" [Star Sub]"))).otherwise(readable)
+    tagged = F.when(_is_tagged(raw), F.concat(readable, F.lit(" [Star Sub]"))).otherwise(readable)
     return F.coalesce(_whole_label(raw, 0), tagged)
 
 
-def market_group(raw: Column) -> Column:
+def market_group(raw: Column, low: Column) -> Column:
     """First rule that fits wins; a null label is Other."""
-    low = F.lower(_base(raw))
     by_rule = (
         F.when(_is_duel(low) | low.contains("{player}"), PLAYER)
         .when(_contains_any(low, GOALSCORER_WORDS), GOALSCORER)
@@ -108,14 +114,14 @@ def star_flag(raw: Column) -> Column:
     return F.coalesce(F.lower(raw).contains("star substitute"), F.lit(False))
 
 
-def side_home(match: Column) -> Column:
-    at = F.instr(match, " - ")
-    return F.when(at > 0, strip(F.substring(match, F.lit(1), at - 1))).otherwise("")
+def sides(match: Column) -> Column:
+    """[home, away] from 'home - away', split at the first ' - '. Untrimmed."""
+    return F.split(match, " - ", 2)
 
 
-def side_away(match: Column) -> Column:
-    at = F.instr(match, " - ")
-    return F.when(at > 0, strip(F.substring(match, at + 3, F.length(match)))).otherwise("")
+def side(parts: Column, i: int) -> Column:
+    """One side of ``sides``; '' where the match names no two sides."""
+    return F.when(F.size(parts) > 1, strip(F.get(parts, F.lit(i)))).otherwise("")
 
 
 def entity_team(raw: Column, group: Column, option: Column, home: Column, away: Column) -> Column:
@@ -129,13 +135,16 @@ def entity_team(raw: Column, group: Column, option: Column, home: Column, away:
     )
 
 
-def entity_player(group: Column, clean: Column, option: Column) -> Column:
+def entity_player(group: Column, clean_low: Column, option: Column) -> Column:
+    """The backed player, where the option holds a name. ``clean_low`` is the
+    clean market name in lower case."""
     holds_name = (group == GOALSCORER) | F.coalesce(
-        _contains_any(F.lower(clean), OPTION_IS_PLAYER_WORDS), F.lit(False)
+        _contains_any(clean_low, OPTION_IS_PLAYER_WORDS), F.lit(False)
     )
     return F.when(holds_name & ~option.rlike(NOT_A_NAME), option)
 
 
 def extract_line(option: Column) -> Column:
-    found = [F.nullif(F.regexp_extract(option, LINE, i), F.lit("")) for i in (1, 2, 3)]
-    return F.coalesce(*found).cast("double")
+    """The number of the first 'N or more', 'over N' or 'under N'."""
+    phrase = F.regexp_extract(option, LINE, 0)
+    return F.regexp_extract(phrase, NUMBER, 1).try_cast("double")

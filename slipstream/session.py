@@ -21,6 +21,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small files, so that small data still spreads over all cores. The
+        # defaults (64 MB and up) are right for a cluster.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .getOrCreate()
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slipstream import schema
 from slipstream.functions.markets import strip
@@ -48,9 +48,9 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
     index = next((f for f, n in zip(fields, names) if n in INDEX_NAMES), None)
     if index is None:
         raise ValueError(f"{path}: no unnamed row-number column")
-    as_text = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    as_text = ", ".join(f"`{f}` string" for f in fields)
     body = lines.where((F.trim("value") != "") & ~F.col("value").isin(preamble))
-    row = body.select("value", F.from_csv("value", as_text.simpleString(), {"mode": "PERMISSIVE"}).alias("r"))
+    row = body.select("value", F.from_csv("value", as_text, {"mode": "PERMISSIVE"}).alias("r"))
     number = F.expr(f"try_cast(r.`{index}` as bigint)")
     checked = F.coalesce(
         number,
