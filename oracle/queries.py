@@ -549,6 +549,9 @@ EXPLORE = {
     "time_series_hourly": series_of("channel", CHANNELS, "hour", "count(distinct uid)") + KEEP.format(ts=ts("bucket", "bucket")),
     "time_series_avg": series_of("bet_type", ["SIMPLE", "COMBINED"], "day", "cast(sum(stake_eur) as double) / count(*)")
     + KEEP.format(ts=ts("bucket", "bucket")),
+    "time_series_ggr": series_of("'total'", ["total"], "day", "cast(sum(ggr_eur) as double)")
+    + KEEP.format(ts=ts("bucket", "bucket")),
+    "time_series_slips": series_of("bet_type", ["SIMPLE", "COMBINED"], "hour", "count(*)") + KEEP.format(ts=ts("bucket", "bucket")),
     "series_totals": series_of("channel", CHANNELS, "day", "count(distinct uid)")
     + f"select {ts('bucket', 'bucket')}, {d('sum(value)', 'sum_over_groups')} from filled group by filled.bucket",
     "fixture_groups": f"{FIX} select name, {day('day', 'day')}, competition, {ts('kickoff', 'kickoff')}, match_ids from fx",
@@ -572,6 +575,13 @@ EXPLORE = {
         count(distinct uid) as customers from fs""",
     "concentrate_slip": conc_rows(UID_CONC),
     "concentrate_leg": conc_rows(SEL_CONC),
+    "concentrate_slip_unit": conc_rows(conc("slips", "unit", "stake_eur", "ggr_eur")),
+    "concentrate_slip_channel": conc_rows(conc("slips", "channel", "stake_eur", "ggr_eur")),
+    "concentrate_slip_bet_type": conc_rows(conc("slips", "bet_type", "stake_eur", "ggr_eur")),
+    "concentrate_leg_competition": conc_rows(conc("legs", "competition", "stake_attr", "ggr_attr")),
+    "concentrate_leg_market_group": conc_rows(conc("legs", "market_group", "stake_attr", "ggr_attr")),
+    "concentrate_leg_market": conc_rows(conc("legs", "market_clean", "stake_attr", "ggr_attr")),
+    "concentrate_leg_player": conc_rows(PLAYER_CONC),
     "concentrate_line": conc_rows(conc("legs", LINE_KEY, "stake_attr", "ggr_attr")),
     "concentrate_team": conc_rows(conc("legs", "nullif(entity_team, '')", "stake_attr", "ggr_attr")),
     "top_n_share": f"""{ROLL}, rows as {PLAYER_CONC} select row_number() over (order by stake desc, key) as place, key,

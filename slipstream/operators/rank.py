@@ -1,9 +1,9 @@
 """Global order without a one-task sort.
 
 Values are first collapsed to (value, count), which absorbs every tie and every
-hot value. They are then range-partitioned and checkpointed, so each partition
-holds one stretch of the global order. What is left is a running sum inside each
-partition plus the totals of the partitions before it.
+hot value. They are then range-partitioned and written with their partition
+number, so each number names one stretch of the global order. What is left is a
+running sum inside each stretch plus the totals of the stretches before it.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def running_totals(
 
     ``counts`` holds each value once per group. All its columns are kept.
     """
-    in_order = cut_lineage(counts.repartitionByRange(*within, value))
-    parts = in_order.withColumn("__part", F.spark_partition_id())
+    in_order = counts.repartitionByRange(*within, value)
+    parts = cut_lineage(in_order.withColumn("__part", F.spark_partition_id()))
     for name, amount in amounts.items():
         parts = parts.withColumn(f"__{name}", amount)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
-from slipstream.functions import timing
+from slipstream.functions import accounts, timing
 from slipstream.functions.numbers import money
 from slipstream.operators.skew import lookup
 from slipstream.schema import SLIP_KEY
@@ -85,8 +85,6 @@ def _combined_slips(legs: DataFrame) -> DataFrame:
             F.coalesce(F.product("price"), F.lit(1.0)).alias("price"),
         )
     )
-    from slipstream.functions import accounts
-
     rate = accounts.eur_rate(F.col("currency"))
     opened = grouped.withColumns(
         {
@@ -107,8 +105,11 @@ def build_slips(legs: DataFrame) -> DataFrame:
     return _simple_slips(legs).unionByName(_combined_slips(legs))
 
 
-def attribute_legs(legs: DataFrame) -> DataFrame:
-    """Legs with their slip's id and money, and their even share of that money."""
+def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
+    """Legs with their slip's id and money, and their even share of that money.
+
+    ``slips`` are those of ``build_slips``. Only COMBINED legs look theirs up.
+    """
 
     def with_shares(df: DataFrame) -> DataFrame:
         # Decimal division: exact, and half-up like every other money value.
@@ -131,7 +132,7 @@ def attribute_legs(legs: DataFrame) -> DataFrame:
             "slip_ggr_eur": F.col("ggr_eur"),
         }
     )
-    of_slip = _combined_slips(legs).select(
+    of_slip = slips.where(_is_combined()).select(
         *SLIP_KEY,
         "slip_id",
         "n_legs",

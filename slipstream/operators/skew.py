@@ -1,4 +1,4 @@
-"""A lookup join that holds up when one key carries a third of all rows."""
+"""Lookup joins that hold up when one key carries a third of all rows."""
 
 from __future__ import annotations
 
@@ -20,40 +20,57 @@ def lookup(
     """Left join ``rows`` to a ``table`` with one row per key.
 
     ``weight`` is a column of ``table`` that says how many of ``rows`` carry the
-    key. Keys above 1/HOT_SHARE of all rows are looked up by broadcast: there
-    can be at most HOT_SHARE of them, so that side never grows with the data.
-    All other keys go through an ordinary shuffled join. Rows of hot keys pass
-    through that join too, but under a salt made from ``spread`` that nothing
-    matches, so they are dealt evenly over the tasks instead of piling up in one.
+    key. The HOT_KEYS heaviest keys are looked up by broadcast; that side has a
+    fixed number of rows whatever the data size, and every key with more than
+    1/HOT_KEYS of all rows is among them. All keys also go through an ordinary
+    shuffled join, but rows of heavy keys do so under a salt made from
+    ``spread``, which nothing matches: they are dealt evenly over the tasks
+    instead of piling up in one.
     """
     values = [c for c in table.columns if c not in keys]
-    all_rows = table.agg(F.sum(weight).alias("rows")).scalar()
-    is_hot = F.col(weight) * config.HOT_SHARE > all_rows
 
-    hot = table.where(is_hot).select(
-        *[F.col(k).alias(f"__hot_{k}") for k in keys],
-        F.struct(*values).alias("__hot"),
-    )
-    cold = table.where(~is_hot).select(
-        *[F.col(k).alias(f"__cold_{k}") for k in keys],
-        F.lit(0).alias("__cold_salt"),
-        F.struct(*values).alias("__cold"),
-    )
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(
+            *[F.col(k).alias(f"__{tag}_{k}") for k in keys], F.struct(*values).alias(f"__{tag}")
+        )
 
-    def same(prefix: str) -> Column:
-        on = F.lit(True)
-        for k in keys:
-            other = F.col(f"{prefix}{k}")
-            on = on & (F.col(k).eqNullSafe(other) if null_safe else F.col(k) == other)
-        return on
-
-    salted = rows.join(F.broadcast(hot), same("__hot_"), "left").withColumn(
-        "__salt",
-        F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1)
-        .otherwise(0),
-    )
-    joined = salted.join(cold, same("__cold_") & (F.col("__salt") == F.col("__cold_salt")), "left")
-    found = F.coalesce(F.col("__hot"), F.col("__cold"))
-    return joined.select(
-        *[F.col(c) for c in rows.columns], *[found[v].alias(v) for v in values]
+    heavy = side(table.orderBy(F.desc(weight)).limit(config.HOT_KEYS), "hot")
+    every = side(table, "all").withColumn("__all_salt", F.lit(0))
+    salt = F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1
+    salted = rows.join(F.broadcast(heavy), _same(keys, "__hot_", null_safe), "left").withColumn(
+        "__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(0)
     )
+    light = _same(keys, "__all_", null_safe) & (F.col("__salt") == F.col("__all_salt"))
+    joined = salted.join(every, light, "left")
+    found = F.coalesce(F.col("__hot"), F.col("__all"))
+    return joined.select(*[F.col(c) for c in rows.columns], *[found[v].alias(v) for v in values])
+
+
+def lookup_checked(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    weight: str,
+    spread: Column,
+    null_safe: bool = True,
+) -> DataFrame:
+    """``lookup`` for a ``table`` that is already written and usually small.
+
+    Its rows are counted first. Up to BROADCAST_ROWS it is broadcast, and
+    ``rows`` are not shuffled at all; beyond that it is an ordinary ``lookup``.
+    """
+    limit = config.BROADCAST_ROWS
+    if table.limit(limit + 1).count() > limit:
+        return lookup(rows, table, keys, weight, spread, null_safe)
+    values = [c for c in table.columns if c not in keys]
+    side = table.select(*[F.col(k).alias(f"__t_{k}") for k in keys], *values)
+    joined = rows.join(F.broadcast(side), _same(keys, "__t_", null_safe), "left")
+    return joined.select(*rows.columns, *values)
+
+
+def _same(keys: Sequence[str], prefix: str, null_safe: bool) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        other = F.col(f"{prefix}{k}")
+        on = on & (F.col(k).eqNullSafe(other) if null_safe else F.col(k) == other)
+    return on

@@ -11,7 +11,8 @@ from slipstream import config
 from slipstream.functions.numbers import rounded
 from slipstream.operators.fixtures import matches_dim
 from slipstream.operators.rank import running_totals
-from slipstream.operators.skew import lookup
+from slipstream.operators.skew import lookup, lookup_checked
+from slipstream.session import cut_lineage
 
 SLIP_DICTIONARIES = {"uid": "uid", "unit": "unit", "currency": "currency"}
 LEG_DICTIONARIES = {"option": "option_raw", "player": "entity_player", "team": "entity_team"}
@@ -81,12 +82,14 @@ def brand_name(slips: DataFrame) -> DataFrame:
 
 
 def _coded(rows: DataFrame, dims: DataFrame, dim: str, column: str, spread: Column) -> DataFrame:
-    """Add ``<dim>_code``. A value with a third of all rows is no problem."""
+    """Add ``<dim>_code``. Small dictionaries are broadcast; in a large one a
+    value with a third of all rows is no problem."""
     table = dims.where(F.col("dim") == dim).select(
         F.col("value").alias("__value"), F.col("code").alias(f"{dim}_code"), F.col("n").alias("__n")
     )
     keyed = rows.withColumn("__value", F.coalesce(F.col(column), F.lit("")))
-    return lookup(keyed, table, ["__value"], "__n", spread, null_safe=False).drop("__value", "__n")
+    found = lookup_checked(keyed, table, ["__value"], "__n", spread, null_safe=False)
+    return found.drop("__value", "__n")
 
 
 def _ordinal(name: str, labels: list[str]) -> Column:
@@ -133,17 +136,17 @@ def star_export_slips(slips: DataFrame, dims: DataFrame, index: DataFrame) -> Da
 def star_export_legs(legs: DataFrame, dims: DataFrame, index: DataFrame) -> DataFrame:
     """Legs as numbers, pointing at slips, matches, markets and dictionaries."""
     spread = F.col("row_id")
-    matches, markets = matches_dim(legs), markets_dim(legs)
+    matches, markets = cut_lineage(matches_dim(legs)), cut_lineage(markets_dim(legs))
     # Match ids in order, a missing id last; market names in order.
     match_sort = F.coalesce("match_id", F.lit(2**63 - 1))
     match_codes = _with_place(matches.withColumn("match_sort", match_sort), "match_sort", "match_code")
     market_codes = _with_place(markets, "market_clean", "market_code").select(
         "market_clean", "legs", "market_code"
     )
-    coded = lookup(
+    coded = lookup_checked(
         legs, match_codes.select("match_id", "match_code", F.col("legs").alias("__n")), ["match_id"], "__n", spread
     ).drop("__n")
-    coded = lookup(
+    coded = lookup_checked(
         coded, market_codes.withColumnRenamed("legs", "__n"), ["market_clean"], "__n", spread
     ).drop("__n")
     for dim, column in LEG_DICTIONARIES.items():

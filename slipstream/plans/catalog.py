@@ -17,7 +17,7 @@ from slipstream.operators import (
 from slipstream.operators.filters import Filters
 from slipstream.operators.normalize import normalize
 from slipstream.plans.tables import Tables, bound_pulls, bound_tables
-from slipstream.session import scratch_table
+from slipstream.session import cut_lineage, scratch_table
 from slipstream.sources import tables as store
 from slipstream.sources.exports import load_export, typed_legs
 
@@ -54,6 +54,11 @@ class Run:
     def normalized(self) -> DataFrame:
         return self.tables.normalized
 
+    @property
+    def all_slips(self) -> DataFrame:
+        """Slips rolled up in the query itself, before the data window."""
+        return rollup.build_slips(self.normalized)
+
     @property
     def slips(self) -> DataFrame:
         return self.tables.slips
@@ -78,9 +83,14 @@ class Run:
     def stats(self) -> DataFrame:
         return prices.selection_stats(self.priced)
 
+    @cached_property
+    def stats_once(self) -> DataFrame:
+        """Selection stats for queries that read them several times."""
+        return cut_lineage(self.stats)
+
     @property
     def clv_legs(self) -> DataFrame:
-        return prices.proxy_clv(self.priced, self.stats)
+        return prices.proxy_clv(self.priced, self.stats_once)
 
     @property
     def scored(self) -> DataFrame:
@@ -92,7 +102,7 @@ class Run:
 
     @property
     def anomalies(self) -> DataFrame:
-        return anomalies.anomalies(self.slips, self.legs, self.stats)
+        return anomalies.anomalies(self.slips, self.legs, self.stats_once)
 
     @property
     def fixture_legs(self) -> DataFrame:
@@ -114,17 +124,21 @@ class Run:
             "kickoff"
         ).scalar()
 
-    @property
+    @cached_property
     def dims(self) -> DataFrame:
-        return star_export.star_export_dims(self.slips, self.legs)
+        return cut_lineage(star_export.star_export_dims(self.slips, self.legs))
+
+    @cached_property
+    def slip_index(self) -> DataFrame:
+        return cut_lineage(star_export.slip_index(self.slips))
 
     @property
     def slip_facts(self) -> DataFrame:
-        return star_export.star_export_slips(self.slips, self.dims, star_export.slip_index(self.slips))
+        return star_export.star_export_slips(self.slips, self.dims, self.slip_index)
 
     @property
     def leg_facts(self) -> DataFrame:
-        return star_export.star_export_legs(self.legs, self.dims, star_export.slip_index(self.slips))
+        return star_export.star_export_legs(self.legs, self.dims, self.slip_index)
 
 
 def plain(df: DataFrame, places: int = 6) -> DataFrame:
@@ -223,7 +237,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "typed_legs": _typed_legs,
     "write_slips_legs": _write_slips_legs,
     "write_facts": _write_facts,
-    "star_export_dims": lambda r: r.dims,
+    "star_export_dims": lambda r: star_export.star_export_dims(r.slips, r.legs),
     "star_export_facts": lambda r: r.slip_facts,
     "star_export_leg_facts": lambda r: r.leg_facts,
     "matches_dim": lambda r: fixtures.matches_dim(r.legs),
@@ -259,14 +273,14 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "channel": lambda r: _labels(r, "uid", "channel"),
     "unit_country": lambda r: _labels(r, "unit", "unit_country"),
     # rollup, phases, window
-    "slip_id": lambda r: rollup.attribute_legs(r.normalized).select("row_id", "slip_id"),
-    "slips": lambda r: rollup.build_slips(r.normalized).drop("lead_minutes", "phase"),
-    "leg_attribution": lambda r: rollup.attribute_legs(r.normalized).select(
+    "slip_id": lambda r: rollup.attribute_legs(r.normalized, r.all_slips).select("row_id", "slip_id"),
+    "slips": lambda r: r.all_slips.drop("lead_minutes", "phase"),
+    "leg_attribution": lambda r: rollup.attribute_legs(r.normalized, r.all_slips).select(
         "row_id", "n_legs", "stake_attr", "ggr_attr"
     ),
-    "lead_minutes": lambda r: rollup.build_slips(r.normalized).select("slip_id", "lead_minutes"),
-    "phase": lambda r: rollup.build_slips(r.normalized).select("slip_id", "phase"),
-    "data_window": lambda r: rollup.window_report(rollup.build_slips(r.normalized)),
+    "lead_minutes": lambda r: r.all_slips.select("slip_id", "lead_minutes"),
+    "phase": lambda r: r.all_slips.select("slip_id", "phase"),
+    "data_window": lambda r: rollup.window_report(r.all_slips),
     # facts
     "headline_totals": lambda r: facts.headline_totals(r.slips),
     "raw_row_totals": lambda r: facts.raw_row_totals(r.legs),
@@ -298,10 +312,10 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "sharpness_score": lambda r: r.scored.select("uid", "score"),
     "watchlist": _listed,
     "watch_reasons": lambda r: customers.watch_reasons(r.watchlist),
-    "risk_assumptions": lambda r: customers.risk_assumptions(r.scored, r.stats),
+    "risk_assumptions": lambda r: customers.risk_assumptions(r.scored, r.stats_once),
     # anomalies
     "price_drift": lambda r: anomalies.price_drift(r.stats),
-    "repeated_support": lambda r: anomalies.repeated_support(r.stats),
+    "repeated_support": lambda r: anomalies.repeated_support(r.stats_once),
     "exposure": lambda r: anomalies.exposure(r.stats),
     "negative_pocket": lambda r: anomalies.negative_pocket(r.legs),
     "turnover_spike": lambda r: anomalies.turnover_spike(r.slips, r.legs),
@@ -339,6 +353,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "time_series": lambda r: series.time_series(r.slips, "turnover", "phase", series.DAY),
     "time_series_hourly": lambda r: series.time_series(r.slips, "customers", "channel", series.HOUR),
     "time_series_avg": lambda r: series.time_series(r.slips, "avg_stake", "bet_type", series.DAY),
+    "time_series_ggr": lambda r: series.time_series(r.slips, "ggr", "none", series.DAY),
+    "time_series_slips": lambda r: series.time_series(r.slips, "slips", "bet_type", series.HOUR),
     "series_totals": lambda r: series.series_totals(r.slips, "customers", "channel", series.DAY),
     "fixture_groups": lambda r: fixtures.fixture_groups(r.legs),
     "fixture_slips": lambda r: r.one_fixture,
@@ -348,6 +364,14 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "fixture_detail": lambda r: fixtures.fixture_detail(r.one_fixture),
     "concentrate_slip": lambda r: concentration.concentrate_slip(r.slips, "uid"),
     "concentrate_leg": lambda r: concentration.concentrate_leg(r.legs, "selection"),
+    **{
+        f"concentrate_slip_{dim}": lambda r, dim=dim: concentration.concentrate_slip(r.slips, dim)
+        for dim in concentration.SLIP_DIMS[1:]
+    },
+    **{
+        f"concentrate_leg_{dim}": lambda r, dim=dim: concentration.concentrate_leg(r.legs, dim)
+        for dim in ("competition", "market_group", "market", "player")
+    },
     "concentrate_line": lambda r: concentration.concentrate_leg(r.legs, "line"),
     "concentrate_team": lambda r: concentration.concentrate_leg(r.legs, "team"),
     "top_n_share": lambda r: concentration.top_n_share(concentration.concentrate_leg(r.legs, "player")),

@@ -46,7 +46,9 @@ def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
     made = Tables(spark, path)
     tables.write_table(normalize(legs), f"{path}/normalized", ["bet_type"])
     base = made.normalized
-    tables.write_slips_legs(data_window(build_slips(base)), data_window(attribute_legs(base)), path)
+    tables.write_by_day(data_window(build_slips(base)), f"{path}/slips")
+    # A leg has its slip's betslip time, so both sides can be cut beforehand.
+    tables.write_by_day(attribute_legs(data_window(base), made.slips), f"{path}/legs")
     return made
 
 

@@ -54,7 +54,8 @@ def norm(raw_legs):
 def rolled(norm):
     def build(rows: list[dict]):
         legs = norm(rows).cache()
-        return build_slips(legs), attribute_legs(legs)
+        slips = build_slips(legs).cache()
+        return slips, attribute_legs(legs, slips).cache()
 
     return build
 

@@ -58,7 +58,7 @@ def test_shares_add_up_to_slips(rolled):
 
 
 def test_one_slip_with_a_third_of_all_legs(rolled, monkeypatch):
-    monkeypatch.setattr(config, "HOT_SHARE", 5)
+    monkeypatch.setattr(config, "HOT_KEYS", 2)
     rows = [combined(uid="hot")] * 40 + [combined(uid=str(i // 2)) for i in range(80)]
     slips, legs = rolled(rows)
     assert slips.count() == 41 and legs.count() == 120
