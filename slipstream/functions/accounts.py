@@ -8,8 +8,7 @@ from slipstream import config
 
 
 def is_peru_unit(unit: Column) -> Column:
-    plain = F.translate(F.upper(unit), "Ú", "U")
-    return F.coalesce(plain.contains("PERU"), F.lit(False))
+    return F.coalesce(unit.rlike("(?iu)per[uú]"), F.lit(False))
 
 
 def currency(code: Column, peru: Column) -> Column:

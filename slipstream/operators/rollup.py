@@ -111,13 +111,6 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
     ``slips`` are those of ``build_slips``. Only COMBINED legs look theirs up.
     """
 
-    def with_shares(df: DataFrame) -> DataFrame:
-        # Decimal division: exact, and half-up like every other money value.
-        share = lambda c: money(F.col(c) / F.col("n_legs"))
-        return df.withColumns(
-            {"stake_attr": share("slip_stake_eur"), "ggr_attr": share("slip_ggr_eur")}
-        ).select(*legs.columns, *SLIP_ON_LEG)
-
     alone = legs.where(~_is_combined())
     lead = timing.lead_minutes(F.col("betslip_ts"), F.col("event_ts"))
     simple = alone.withColumns(
@@ -130,6 +123,8 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
             "slip_currency": F.col("currency"),
             "slip_stake_eur": F.col("stake_eur"),
             "slip_ggr_eur": F.col("ggr_eur"),
+            "stake_attr": F.col("stake_eur"),
+            "ggr_attr": F.col("ggr_eur"),
         }
     )
     of_slip = slips.where(_is_combined()).select(
@@ -146,7 +141,13 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
     combined = lookup(
         legs.where(_is_combined()), of_slip, SLIP_KEY, "n_legs", F.col("row_id")
     )
-    return with_shares(simple).unionByName(with_shares(combined))
+    # Decimal division: exact, and half-up like every other money value.
+    share = lambda c: money(F.col(c) / F.col("n_legs"))
+    combined = combined.withColumns(
+        {"stake_attr": share("slip_stake_eur"), "ggr_attr": share("slip_ggr_eur")}
+    )
+    columns = [*legs.columns, *SLIP_ON_LEG]
+    return simple.select(*columns).unionByName(combined.select(*columns))
 
 
 def data_window(df: DataFrame, start: str = config.DATA_START) -> DataFrame:
