@@ -51,7 +51,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")),
             }
         )
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slipstream import config
-from slipstream.functions.numbers import fixed, grouped_int, ratio, ratio_or_zero, rounded, total
+from slipstream.functions.numbers import fixed, grouped_int, ratio_or_zero, rounded, total
 from slipstream.operators.prices import eligible_selections
 from slipstream.operators.skew import lookup
 
@@ -66,7 +66,7 @@ def repeated_support(stats: DataFrame) -> DataFrame:
     """Selections many customers backed, with a large part of the fixture's stake."""
     eligible = eligible_selections(stats)
     of_match = eligible.groupBy("match").agg(
-        total("stake").alias("match_stake"), F.count("*").alias("selections")
+        F.sum("stake").alias("match_stake"), F.count("*").alias("selections")
     )
     # The cheap tests first: few selections are left to look up.
     backed = eligible.where(

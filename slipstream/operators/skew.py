@@ -59,8 +59,7 @@ def lookup_checked(
     Its rows are counted first. Up to BROADCAST_ROWS it is broadcast, and
     ``rows`` are not shuffled at all; beyond that it is an ordinary ``lookup``.
     """
-    limit = config.BROADCAST_ROWS
-    if table.limit(limit + 1).count() > limit:
+    if table.count() > config.BROADCAST_ROWS:
         return lookup(rows, table, keys, weight, spread, null_safe)
     values = [c for c in table.columns if c not in keys]
     side = table.select(*[F.col(k).alias(f"__t_{k}") for k in keys], *values)

@@ -1,8 +1,10 @@
-"""Every registered query against its oracle on the smallest tables."""
+"""Every registered query against its oracle on the smallest tables, and its plan."""
 
 import pytest
 
 import check
+from test_plans import check_plan
+
 from oracle.queries import ORACLES
 from slipstream.plans.catalog import QUERIES, run_query
 
@@ -20,5 +22,6 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, oracle, name):
-    ours = run_query(name, spark, SF_DIR).toPandas()
-    assert check.difference(ours, oracle.execute(ORACLES[name]).df()) is None
+    df = run_query(name, spark, SF_DIR)
+    check_plan(name, df)
+    assert check.difference(df.toPandas(), oracle.execute(ORACLES[name]).df()) is None
