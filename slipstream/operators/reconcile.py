@@ -19,29 +19,27 @@ def occurrence_key(legs: DataFrame, chunk_rows: int = config.OCCURRENCE_CHUNK_RO
     copies in earlier stretches are then added; only bets that span stretches
     have any.
     """
-    keys = ["source", *IDENTITY]
-    stretch = F.floor(F.col("source_row") / F.lit(chunk_rows))
-    parts = legs.withColumn("__stretch", stretch)
-    in_stretch = Window.partitionBy(*keys, "__stretch").orderBy("source_row")
+    # As one struct the nulls of a bet's columns are equal in a plain join, which
+    # then reuses the window's partitioning instead of moving the legs again.
+    parts = legs.withColumns(
+        {
+            "__bet": F.struct("source", *IDENTITY),
+            "__stretch": F.floor(F.col("source_row") / F.lit(chunk_rows)),
+        }
+    )
+    in_stretch = Window.partitionBy("__bet", "__stretch").orderBy("source_row")
     earlier = (
-        Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__bet").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        parts.groupBy(*keys, "__stretch")
+        parts.groupBy("__bet", "__stretch")
         .agg(F.count("*").alias("__copies"))
         .withColumn("__offset", F.sum("__copies").over(earlier))
         .where(F.col("__offset") > 0)
-        .select(
-            *[F.col(k).alias(f"__o_{k}") for k in keys],
-            F.col("__stretch").alias("__o_stretch"),
-            "__offset",
-        )
+        .select("__bet", "__stretch", "__offset")
     )
-    on = F.col("__stretch") == F.col("__o_stretch")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
     numbered = parts.withColumn("__nth", F.row_number().over(in_stretch) - 1)
-    return numbered.join(offsets, on, "left").select(
+    return numbered.join(offsets, ["__bet", "__stretch"], "left").select(
         *legs.columns,
         (F.col("__nth") + F.coalesce(F.col("__offset"), F.lit(0))).cast("long").alias("occurrence"),
     )
