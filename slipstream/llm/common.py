@@ -70,10 +70,37 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """A text column as UTF-8 bytes, nulls as empty."""
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def append_columns(
+    docs: DataFrame, make: Callable[[], Callable[[list[bytes]], list]], fields: list[tuple[str, T.DataType, pa.DataType]]
+) -> DataFrame:
+    """All columns of ``docs`` and new ones that ``make()`` derives from a batch of texts."""
+    if clash := {name for name, *_ in fields} & set(docs.columns):
+        raise ValueError(f"columns already there: {sorted(clash)}")
+
+    def build():
+        derive = make()
+
+        def step(batch):
+            new = derive(text_bytes(batch))
+            arrays = [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, (_, _, kind) in zip(new, fields)]
+            return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *(f[0] for f in fields)])
+
+        return step
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in fields)])
+    return map_batches(docs, build, schema)
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """The two columns that operators read, as long and string; all others go."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that all executors share, and read back."""
     return cut_lineage(df)
-
-
-def rows_of(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

@@ -226,9 +226,8 @@ def residual_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     )
     blocks = as_member.unionByName(as_outsider).join(sets, "fp")
 
-    def compare(batches):
-        t = pa.Table.from_batches(list(batches))
-        rows = t.to_pylist()
+    def compare(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
         asking, held = [r for r in rows if r["asks"]], [r for r in rows if not r["asks"]]
         found = []
         if asking and held:
@@ -252,9 +251,7 @@ def residual_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                     if held[k]["group"] != r["group"]:
                         groups.setdefault(held[k]["group"], held[k]["fp"])
                 found += [(r["fp"], fp) for fp in groups.values()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"]
-        )
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
     return blocks.groupBy("pivot", "i", "j").applyInArrow(compare, "a binary, b binary")
 
