@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input joins a learned word vector with the mean of learned vectors of its character
-trigrams, so unknown words are read by their characters. Two recurrent passes read a window; an
+A word's input joins a learned word vector with the largest components of learned vectors of its
+character n-grams, so unknown words are read by their characters. Two recurrent passes read a window; an
 attention weight per word pools their states; a logistic unit scores the window.
 """
 
@@ -12,25 +12,36 @@ from dataclasses import dataclass, field
 import numpy as np
 
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 4
-TRIGRAMS = 4096
+NGRAMS, NGRAM_BITS = (3, 5, 7), 17
 KEPT_INPUTS = 150_000
 UNKNOWN = 0
 
 _MARK = b"\x02"
 
 
-def trigram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character trigrams of all words, one after the other, and where each word starts."""
-    text = np.frombuffer(_MARK + _MARK.join(words) + _MARK + _MARK, np.uint8).astype(np.uint32)
-    code = (text[:-2] * np.uint32(0x9E3779B1) ^ text[1:-1] * np.uint32(0x85EBCA77) ^ text[2:] * np.uint32(0xC2B2AE3D))
-    code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
-    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-    return code[: starts[-1] + len(words[-1])].astype(np.int32), starts
+def character_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of the marked words, one word after the other, and where each word starts."""
+    text = np.frombuffer(_MARK + _MARK.join(words) + _MARK + bytes(max(NGRAMS)), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    owner = np.repeat(np.arange(len(words)), lengths)
+    end = np.repeat(np.cumsum(lengths), lengths)  # the mark after the word
+    at = np.arange(len(owner))
+    codes, owners = [], []
+    for n in NGRAMS:
+        code = np.full(len(owner), n, np.uint64)
+        for k in range(n):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(owner)] + np.uint64(1)
+        inside = at + n - 1 <= end
+        codes.append(((code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - NGRAM_BITS))[inside].astype(np.int32))
+        owners.append(owner[inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=len(words))
+    return np.concatenate(codes)[order], np.cumsum(counts) - counts
 
 
-def mean_by_word(table: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    counts = np.diff(np.append(starts, len(codes)))
-    return np.add.reduceat(table[codes], starts, axis=0) / counts[:, None].astype(np.float32)
+def top_by_word(table: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(table[codes], starts, axis=0)
 
 
 @dataclass
@@ -42,14 +53,14 @@ class Network:
     _rows: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
-    def fresh(cls, vocabulary: dict[bytes, int], prior: np.ndarray, seed: int = 7) -> Network:
-        """``prior``: one number a word that starts the first component of its vector."""
+    def fresh(cls, vocabulary: dict[bytes, int], word_prior: np.ndarray, char_prior: np.ndarray, seed: int = 7) -> Network:
+        """The priors, one number a word or n-gram bucket, start the first components of the vectors."""
         g = np.random.default_rng(seed)
         h, d = HIDDEN, WORD_DIM + CHAR_DIM
         put = lambda *shape, scale=0.3: (g.standard_normal(shape) * scale).astype(np.float32)
-        word = put(len(prior), WORD_DIM, scale=0.05)
-        word[:, 0] = prior
-        weights = {"word": word, "char": put(TRIGRAMS, CHAR_DIM, scale=0.05), "att": put(2 * h), "out": put(2 * h)}
+        word, char = put(len(word_prior), WORD_DIM, scale=0.05), put(1 << NGRAM_BITS, CHAR_DIM, scale=0.05)
+        word[:, 0], char[:, 0] = word_prior, char_prior
+        weights = {"word": word, "char": char, "att": put(2 * h), "out": put(2 * h)}
         for way in "fb":
             weights |= {f"W{way}": put(d, 3 * h), f"U{way}": put(h, 3 * h), f"b{way}": np.zeros(3 * h, np.float32)}
         weights["bias"] = np.array([-1.0], np.float32)
@@ -68,7 +79,7 @@ class Network:
         if new:
             w = self.weights
             ids = np.fromiter((self.vocabulary.get(x, UNKNOWN) for x in new), np.int64, len(new))
-            x = np.hstack([w["word"][ids], mean_by_word(w["char"], *trigram_features(new))])
+            x = np.hstack([w["word"][ids], top_by_word(w["char"], *character_features(new))])
             at = len(known)
             self._rows[at : at + len(new)] = np.hstack([x @ w["Wf"] + w["bf"], x @ w["Wb"] + w["bb"]])
             known.update(zip(new, range(at, at + len(new))))
@@ -114,7 +125,7 @@ class Network:
     # training
 
     def gradients(self, ids: np.ndarray, chars: np.ndarray, n: np.ndarray, target: np.ndarray):
-        """Loss and gradients over a batch: word ids, char means (count, width, CHAR_DIM), lengths."""
+        """Loss and gradients over a batch: word ids, character vectors (count, width, CHAR_DIM), lengths."""
         w, h = self.weights, HIDDEN
         count, width = ids.shape
         x = np.concatenate([w["word"][ids], chars], axis=2)

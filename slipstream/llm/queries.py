@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import near_dedup
+from slipstream.llm import near_dedup, toxicity
 from slipstream.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_super_minhash": op4_super_minhash,
+    "op9_recurrent_toxicity": op9_recurrent_toxicity,
 }
 ORACLES: dict[str, str] = {}

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from slipstream.llm.common import append_columns, id_and_text, map_batches, text_bytes
-from slipstream.llm.gru import CHAR_DIM, UNKNOWN, Adam, Network, mean_by_word, trigram_features
+from slipstream.llm.gru import CHAR_DIM, NGRAM_BITS, UNKNOWN, Adam, Network, character_features, top_by_word
 
-TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 4000, 64, 30_000, 4
+TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 6000, 64, 30_000, 4
 WINDOW, STRIDE = 64, 32
-EPOCHS, BATCH = 8, 128
+EPOCHS, LEAST_STEPS, BATCH, CHANCE = 5, 250, 128, 15.0
 FOLDS, THRESHOLD = 5, 0.5
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -80,6 +80,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     return fit(training_windows(docs, labels))
 
 
+def leaning(toxic: np.ndarray, all_: np.ndarray, rate: float) -> np.ndarray:
+    """How strongly the documents with a feature lean to a label: the signed log of the likelihood ratio beyond chance."""
+    clean = all_ - toxic
+    log = lambda x, of: x * np.log(np.maximum(x, 1e-9) / np.maximum(of, 1e-9))
+    evidence = 2 * (log(toxic, all_ * rate) + log(clean, all_ * (1 - rate)))
+    return (np.sign(toxic - all_ * rate) * np.log1p(np.maximum(evidence - CHANCE, 0)) / 3).astype(np.float32)
+
+
+def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., in a row."""
+    begin = np.cumsum(lengths) - lengths
+    return np.repeat(starts - begin, lengths) + np.arange(lengths.sum())
+
+
 def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network:
     """A network for (document, label, words) windows, in the order of the documents."""
     label = {i: y for i, y, _ in windows}
@@ -98,31 +112,35 @@ def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network
             toxic.update(ws)
     common = sorted((w for w, c in counts.items() if c >= MIN_DOCUMENTS), key=lambda w: (-counts[w], w))[:MAX_VOCABULARY]
     vocabulary = {w: k for k, w in enumerate(common, 1)}
-    c, a = (np.array([0, *(x[w] for w in common)], float) for x in (counts, toxic))
-    rate = positive / n
-    evidence = 2 * (a * np.log(np.maximum(a, 1e-9) / np.maximum(c * rate, 1e-9)) + (c - a) * np.log(np.maximum(c - a, 1e-9) / np.maximum(c * (1 - rate), 1e-9)))
-    prior = np.sign(a - c * rate) * np.log1p(np.maximum(evidence, 0)) / 3
-    net = Network.fresh(vocabulary, prior.astype(np.float32), seed)
+    word_prior = leaning(np.array([toxic[w] for w in common]), np.array([counts[w] for w in common]), positive / n)
+    flat = [x for *_, w in windows for x in w]
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(flat))}
+    codes, starts = character_features(list(distinct))
+    positions = np.diff(np.append(starts, len(codes)))
+    with_gram, toxic_with = np.zeros(1 << NGRAM_BITS), np.zeros(1 << NGRAM_BITS)
+    for i, ws in seen.items():
+        k = np.fromiter(map(distinct.__getitem__, ws), np.int64, len(ws))
+        there = np.unique(codes[stretches(starts[k], positions[k])])
+        with_gram[there] += 1
+        toxic_with[there] += label[i]
+    net = Network.fresh(vocabulary, np.r_[0, word_prior], leaning(toxic_with, with_gram, positive / n), seed)
 
     # fixed arrays of the windows
     width = max(len(w) for *_, w in windows)
     size = np.array([len(w) for *_, w in windows])
-    flat = [x for *_, w in windows for x in w]
-    distinct = {w: k for k, w in enumerate(dict.fromkeys(flat))}
     token = np.zeros((len(windows), width), np.int64)
     token[np.arange(width) < size[:, None]] = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
-    codes, starts = trigram_features(list(distinct))
     word_id = np.fromiter((vocabulary.get(w, UNKNOWN) for w in distinct), np.int64, len(distinct))
     y = np.array([t for _, t, _ in windows], np.float32)
     doc = np.array([i for i, *_ in windows])
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
 
     g = np.random.default_rng(seed)
-    best = np.where(np.arange(width) < size[:, None], prior[word_id][token], -9).max(axis=1)
+    best = np.where(np.arange(width) < size[:, None], np.r_[0, word_prior][word_id][token], -9).max(axis=1)
     optimiser = Adam(net.weights)
-    positions = np.diff(np.append(starts, len(codes)))
-    for epoch in range(EPOCHS):
-        optimiser.rate = 0.01 * (1 - epoch / EPOCHS) + 0.001
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // (2 * n)))
+    for epoch in range(epochs):
+        optimiser.rate = 0.01 * (1 - epoch / epochs) + 0.001
         if epoch:
             net._inputs.clear()
             net._rows = None
@@ -140,14 +158,16 @@ def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network
             ids = np.where(g.random(ids.shape) < 0.05, UNKNOWN, ids)
             few, where = np.unique(used, return_inverse=True)
             lengths = positions[few]
-            at = np.repeat(starts[few] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-            means = mean_by_word(net.weights["char"], codes[at], np.r_[0, np.cumsum(lengths)[:-1]])
+            at = stretches(starts[few], lengths)
+            begin = np.cumsum(lengths) - lengths
+            top_chars = top_by_word(net.weights["char"], codes[at], begin)
             where = where.reshape(used.shape)
-            _, grad, d_char = net.gradients(ids, means[where], size[pick], y[pick])
+            _, grad, d_char = net.gradients(ids, top_chars[where], size[pick], y[pick])
             per_word = np.zeros((len(few), CHAR_DIM), np.float32)
             np.add.at(per_word, where.reshape(-1), d_char.reshape(-1, CHAR_DIM))
+            won = net.weights["char"][codes[at]] == np.repeat(top_chars, lengths, axis=0)
             grad["char"] = np.zeros_like(net.weights["char"])
-            np.add.at(grad["char"], codes[at], np.repeat(per_word / lengths[:, None].astype(np.float32), lengths, axis=0))
+            np.add.at(grad["char"], codes[at], won * np.repeat(per_word, lengths, axis=0))
             optimiser.step(grad)
     net._inputs, net._rows = {}, None
     return net
