@@ -14,6 +14,8 @@ import numpy as np
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 4
 NGRAMS, NGRAM_BITS = (3, 5, 7), 17
 KEPT_INPUTS = 150_000
+EMBEDDING_RATE = 0.1
+"""Vectors of rare words move slowly, or small samples are learned by heart."""
 UNKNOWN = 0
 
 _MARK = b"\x02"
@@ -198,4 +200,5 @@ class Adam:
             m, v = self.m[k], self.v[k]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            self.weights[k] -= scale * m / (np.sqrt(v) + 1e-8)
+            rate = scale * EMBEDDING_RATE if k in ("word", "char") else scale
+            self.weights[k] -= rate * m / (np.sqrt(v) + 1e-8)
