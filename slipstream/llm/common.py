@@ -14,6 +14,10 @@ from slipstream.session import cut_lineage
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 200_000
 
+_KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
+#: Letters A-Z to lower case; ASCII other than letters and digits to blanks.
+LETTERS = bytes(b if b >= 0x80 or b in _KEPT else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +31,11 @@ def doc_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
+def letter_words(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters and digits and of any other character beyond ASCII, A-Z lower-cased."""
+    return text.translate(LETTERS).split()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

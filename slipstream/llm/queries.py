@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import near_dedup, toxicity
+from slipstream.llm import decontaminate, near_dedup, toxicity
 from slipstream.llm.common import table
 
 
+def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,7 @@ def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_automaton": op2_suffix_automaton,
     "op4_super_minhash": op4_super_minhash,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
 }

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import append_columns, id_and_text, map_batches, text_bytes
+from slipstream.llm.common import append_columns, id_and_text, letter_words, map_batches, text_bytes
 from slipstream.llm.gru import CHAR_DIM, NGRAM_BITS, UNKNOWN, Adam, Network, character_features, top_by_word
 
 TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 6000, 64, 30_000, 4
@@ -27,15 +27,6 @@ WINDOW, STRIDE = 64, 32
 EPOCHS, LEAST_STEPS, BATCH, CHANCE = 5, 250, 128, 15.0
 FOLDS, THRESHOLD = 5, 0.5
 
-_KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
-_TABLE = bytes(b if b >= 0x80 or b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Runs of letters and digits, A-Z lower-cased."""
-    return text.translate(_TABLE).split()
-
-
 def window_starts(n: int) -> np.ndarray:
     """Starts of the overlapping windows that cover ``n`` words."""
     return np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE) if n else np.empty(0, np.int64)
@@ -57,7 +48,7 @@ def training_windows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, floa
         def step(batch):
             ids, toxic, parts = [], [], []
             for i, y, t in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), text_bytes(batch)):
-                words = words_of(t)
+                words = letter_words(t)
                 starts = window_starts(len(words))
                 if len(starts) > TRAINING_WINDOWS:
                     starts = np.sort(np.random.default_rng(i & 0xFFFFFFFF).choice(starts, TRAINING_WINDOWS, replace=False))
@@ -194,7 +185,7 @@ def score_texts(net: Network, texts: list[bytes], words_at_once: int = 120_000)
 
     bounds: list[tuple[int, int]] = []
     for i, text in enumerate(texts):
-        words = words_of(text)
+        words = letter_words(text)
         starts = window_starts(len(words))
         per = max(1, words_at_once // STRIDE)
         for k in range(0, len(starts), per):  # a very long text is read in stretches of windows
