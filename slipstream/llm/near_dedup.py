@@ -1,7 +1,7 @@
 """Near-duplicate groups by SuperMinHash signatures.
 
-A document's set holds its distinct two-word shingles (lower-cased A-Z, words split at ASCII white
-space). SuperMinHash ranks the signature slots by one permutation per element, so that the m slots
+A document's set holds its distinct shingles of ``words`` words, two unless said otherwise (A-Z
+lower-cased, words split at ASCII white space; a text of fewer words is one shingle). SuperMinHash ranks the signature slots by one permutation per element, so that the m slots
 of a signature draw on nearly disjoint ranks: the variance is lower than that of m separate hashes.
 The permutations are dealt step by step for all elements at once, and a document stops at the first
 step after which all its slots are filled, as later ranks cannot win any more.
@@ -35,14 +35,16 @@ _RANK_BITS = np.uint32(24)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
-def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct two-word shingles."""
+def shingles(text: bytes, hashes: WordHashes, words: int = 2) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of so many words; a shorter text is one shingle."""
     h = hashes.of(text.lower().split())
     if len(h) == 0:
         return h
-    if len(h) == 1:
-        return mix(h + GOLDEN)
-    return np.unique(mix(mix(h[:-1]) * GOLDEN + h[1:]))
+    k = min(words, len(h))
+    s = np.full(len(h) - k + 1, k, np.uint64)
+    for i in range(k):
+        s = mix(s * GOLDEN + h[i : len(h) - k + 1 + i])
+    return np.unique(s)
 
 
 def super_minhash(sets: list[np.ndarray], m: int = SLOTS) -> np.ndarray:
@@ -96,14 +98,14 @@ def fingerprint(s: np.ndarray) -> bytes:
     return total.tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``fp`` (null for an empty set) and ``bands`` per row of ``docs``."""
 
     def make():
         hashes = WordHashes()
 
         def step(batch):
-            sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, hashes, words) for t in batch.column("text").to_pylist()]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = [np.empty(0, np.int64)] * len(sets)
             chunk, held = [], 0
@@ -141,7 +143,7 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     return rows.join(pivots, "band").select("pivot", "fp").distinct()
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
     """(fp, words48): the sets of the classes in ``wanted`` (``doc_id``, ``fp``), hashes cut to 48 bits."""
     rows = doc_bytes(docs).join(wanted, "doc_id")
 
@@ -151,7 +153,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         def step(batch):
             fps, out = [], []
             for t, fp in zip(batch.column("text").to_pylist(), batch.column("fp").to_pylist()):
-                s = shingles(t, hashes)
+                s = shingles(t, hashes, words)
                 if len(s) and fingerprint(s) == fp:  # rows that repeat the doc_id may hold other texts
                     fps.append(fp)
                     out.append(pack48(s))
@@ -256,9 +258,9 @@ def residual_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.groupBy("pivot", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept. See the module's text."""
-    signed = written(signatures(docs))
+    signed = written(signatures(docs, words))
     classes = written(
         signed.where("fp is not null and doc_id is not null")
         .groupBy("fp")
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     clusters = written(candidate_clusters(classes))
     wanted = clusters.select("fp").distinct().join(classes, "fp").select(F.col("first_id").alias("doc_id"), "fp")
-    sets = written(shingle_sets(docs, wanted))
+    sets = written(shingle_sets(docs, wanted, words))
 
     stars = written(pivot_overlap(clusters, sets))
     links = stars.where("linked").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
@@ -295,12 +297,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row per group of near duplicates, the one with the smallest doc_id.
 
     Rows that repeat both the doc_id and the text are one row after this. Rows without a doc_id stay.
     """
-    result = near_duplicates(docs)
+    result = near_duplicates(docs, words)
     lost = written(result.where("not kept").select(F.col("doc_id").alias("__lost")).distinct())
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
     repeated = written(repeated)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, near_dedup, secret_scan, toxicity
+from slipstream.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
 from slipstream.llm.common import table
 
 
@@ -26,10 +26,15 @@ def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton": op2_suffix_automaton,
     "op4_super_minhash": op4_super_minhash,
     "op8_token_efficiency": op8_token_efficiency,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
+    "op10_variable_best_fit": op10_variable_best_fit,
 }
 ORACLES: dict[str, str] = {}
