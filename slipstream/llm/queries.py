@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
+from slipstream.llm import decontaminate, near_dedup, packing, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton": op2_suffix_automaton,
     "op4_super_minhash": op4_super_minhash,
+    "op7_prefix_intervals": op7_prefix_intervals,
     "op8_token_efficiency": op8_token_efficiency,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_variable_best_fit": op10_variable_best_fit,
