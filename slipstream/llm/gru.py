@@ -13,7 +13,7 @@ import numpy as np
 
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 4
 NGRAMS, NGRAM_BITS = (3, 5, 7), 17
-KEPT_INPUTS = 150_000
+KEPT_INPUTS, NEW_INPUTS = 150_000, 20_000
 EMBEDDING_RATE = 0.1
 """Vectors of rare words move slowly, or small samples are learned by heart."""
 UNKNOWN = 0
@@ -78,13 +78,12 @@ class Network:
             known.clear()
             new = list(dict.fromkeys(words))
             self._rows = np.empty((max(KEPT_INPUTS, len(new)), 6 * HIDDEN), np.float32)
-        if new:
-            w = self.weights
-            ids = np.fromiter((self.vocabulary.get(x, UNKNOWN) for x in new), np.int64, len(new))
-            x = np.hstack([w["word"][ids], top_by_word(w["char"], *character_features(new))])
-            at = len(known)
-            self._rows[at : at + len(new)] = np.hstack([x @ w["Wf"] + w["bf"], x @ w["Wb"] + w["bb"]])
-            known.update(zip(new, range(at, at + len(new))))
+        for i in range(0, len(new), NEW_INPUTS):
+            w, some, at = self.weights, new[i : i + NEW_INPUTS], len(known)
+            ids = np.fromiter((self.vocabulary.get(x, UNKNOWN) for x in some), np.int64, len(some))
+            x = np.hstack([w["word"][ids], top_by_word(w["char"], *character_features(some))])
+            self._rows[at : at + len(some)] = np.hstack([x @ w["Wf"] + w["bf"], x @ w["Wb"] + w["bb"]])
+            known.update(zip(some, range(at, at + len(some))))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def window_scores(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 2048) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from slipstream.llm.common import append_columns, id_and_text, letter_words, map_batches, text_bytes
 from slipstream.llm.gru import CHAR_DIM, NGRAM_BITS, UNKNOWN, Adam, Network, character_features, top_by_word
 
-TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 6000, 64, 30_000, 4
+TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 4000, 32, 30_000, 4
 WINDOW, STRIDE = 64, 32
 EPOCHS, LEAST_STEPS, BATCH, CHANCE = 5, 250, 128, 15.0
 FOLDS, THRESHOLD = 5, 0.5
@@ -63,8 +63,10 @@ def training_windows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, floa
         return step
 
     got = map_batches(rows, make, "doc_id long, toxic double, window binary").toArrow()
-    rows = zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), got["window"].to_pylist())
-    return [(i, y, w.split()) for i, y, w in sorted(rows)]
+    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("window", "ascending")])
+    shared: dict[bytes, bytes] = {}  # one object per distinct word
+    words = ([shared.setdefault(x, x) for x in w.as_py().split()] for w in got["window"])
+    return list(zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), words))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
@@ -85,6 +87,17 @@ def stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - begin, lengths) + np.arange(lengths.sum())
 
 
+def all_character_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The character features of many words, made in parts to bound the memory."""
+    parts, starts, done = [], [], 0
+    for i in range(0, len(words), at_once):
+        codes, begin = character_features(words[i : i + at_once])
+        parts.append(codes)
+        starts.append(begin + done)
+        done += len(codes)
+    return np.concatenate(parts), np.concatenate(starts)
+
+
 def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network:
     """A network for (document, label, words) windows, in the order of the documents."""
     label = {i: y for i, y, _ in windows}
@@ -104,9 +117,9 @@ def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network
     common = sorted((w for w, c in counts.items() if c >= MIN_DOCUMENTS), key=lambda w: (-counts[w], w))[:MAX_VOCABULARY]
     vocabulary = {w: k for k, w in enumerate(common, 1)}
     word_prior = leaning(np.array([toxic[w] for w in common]), np.array([counts[w] for w in common]), positive / n)
-    flat = [x for *_, w in windows for x in w]
-    distinct = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-    codes, starts = character_features(list(distinct))
+    distinct: dict[bytes, int] = {}
+    flat = np.array([distinct.setdefault(x, len(distinct)) for *_, w in windows for x in w], np.int32)
+    codes, starts = all_character_features(list(distinct))
     positions = np.diff(np.append(starts, len(codes)))
     with_gram, toxic_with = np.zeros(1 << NGRAM_BITS), np.zeros(1 << NGRAM_BITS)
     for i, ws in seen.items():
@@ -119,8 +132,8 @@ def fit(windows: list[tuple[int, float, list[bytes]]], seed: int = 7) -> Network
     # fixed arrays of the windows
     width = max(len(w) for *_, w in windows)
     size = np.array([len(w) for *_, w in windows])
-    token = np.zeros((len(windows), width), np.int64)
-    token[np.arange(width) < size[:, None]] = np.fromiter(map(distinct.__getitem__, flat), np.int64, len(flat))
+    token = np.zeros((len(windows), width), np.int32)
+    token[np.arange(width) < size[:, None]] = flat
     word_id = np.fromiter((vocabulary.get(w, UNKNOWN) for w in distinct), np.int64, len(distinct))
     y = np.array([t for _, t, _ in windows], np.float32)
     doc = np.array([i for i, *_ in windows])
