@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, near_dedup, packing, repeats, secret_scan, toxicity
+from slipstream.llm import decontaminate, html_text, near_dedup, packing, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_equivalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton": op2_suffix_automaton,
+    "op3_equivalence_classes": op3_equivalence_classes,
     "op4_super_minhash": op4_super_minhash,
     "op7_prefix_intervals": op7_prefix_intervals,
     "op8_token_efficiency": op8_token_efficiency,
