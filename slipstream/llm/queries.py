@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, html_text, near_dedup, packing, repeats, secret_scan, toxicity
+from slipstream.llm import decontaminate, html_text, license_scan, near_dedup, packing, quality, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op6_conditional_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_automaton": op2_suffix_automaton,
     "op3_equivalence_classes": op3_equivalence_classes,
     "op4_super_minhash": op4_super_minhash,
+    "op5_weak_supervision": op5_weak_supervision,
+    "op6_conditional_compression": op6_conditional_compression,
     "op7_prefix_intervals": op7_prefix_intervals,
     "op8_token_efficiency": op8_token_efficiency,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
