@@ -21,6 +21,9 @@ from slipstream.llm.common import append_columns, id_and_text, written
 MIN_WORDS, MAX_REPEATED = 50, 50
 KEEP_FROM = 0.5
 EM_ROUNDS, PRIOR_VOTES = 100, 10.0
+FALSE_ALARMS = 0.001
+"""Rules are written to call at most so many good documents bad; EM may find fewer, not more."""
+STRETCH = 500
 
 GOOD, BAD, NOTHING = 2, 0, 1
 NEVER = -1.0
@@ -29,8 +32,8 @@ RULES = (
     ("symbols", 0.10, NEVER),
     ("capitals", 0.40, NEVER),
     ("bangs", 0.20, NEVER),
-    ("repeated", 0.30, 0.05),
-    ("duplicate_lines", 0.30, NEVER),
+    ("repeated", 0.50, NEVER),
+    ("duplicate_lines", 0.40, NEVER),
     ("stutter", 0.20, NEVER),
     ("sameness", 0.65, 0.45),
     ("odd_words", 0.30, NEVER),
@@ -77,7 +80,7 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
     odd = sum(c for c in map(_odd, words))
     values = (
         symbols / n, upper / max(1, upper + lower), text.count(b"!!") / n, repeats / n, dup_lines / max(1, len(lines)),
-        np.count_nonzero(ids[1:] == ids[:-1]) / n, 1 - len(known) / n if n >= MIN_WORDS else 0.55, odd / n, 1 / n,
+        np.count_nonzero(ids[1:] == ids[:-1]) / n, sameness(ids) if n >= MIN_WORDS else 0.55, odd / n, 1 / n,
     )
     votes = 0
     for v, (_, bad, good) in zip(values, RULES):
@@ -85,6 +88,12 @@ def measure(text: bytes) -> tuple[int, int, int, int, int, int]:
     return n, word_chars, symbols, dup_lines, repeats, votes
 
 
+def sameness(ids: np.ndarray) -> float:
+    """Share of words that occurred before in the same stretch of STRETCH words; texts of any length compare."""
+    stretch = np.arange(len(ids)) // STRETCH
+    return 1 - len(np.unique(stretch * (ids.max() + 1) + ids)) / len(ids)
+
+
 def _odd(word: bytes) -> bool:
     """Whether a word has more other ASCII characters than letters."""
     return 2 * len(word.translate(None, _PLAIN)) < len(word)
@@ -94,8 +103,8 @@ def learn(counts: dict[int, int]) -> np.ndarray:
     """Posterior probability of good for every vote pattern, from pattern counts.
 
     EM over two classes with, per rule and class, the rates of the three answers; it starts from
-    "bad if any rule says so". A good vote never counts against a document, a bad vote never for it,
-    and an abstention counts neither way: what rules abstain on says nothing about quality.
+    "bad if any rule says so". A good vote never counts against a document, a bad vote never for it;
+    what an abstention says is learned like the votes.
     """
     patterns = np.arange(3 ** len(RULES))
     votes = np.stack([patterns // 3 ** (len(RULES) - 1 - j) % 3 for j in range(len(RULES))], axis=1)
@@ -113,8 +122,8 @@ def learn(counts: dict[int, int]) -> np.ndarray:
         for k, w in ((1, c * p), (0, c * (1 - p))):
             rate[k] = np.einsum("i,ijk->jk", w, x) + PRIOR_VOTES * start[k]
             rate[k] /= rate[k].sum(axis=1, keepdims=True)
+        rate[1][:, BAD] = np.minimum(rate[1][:, BAD], FALSE_ALARMS)
         weight = np.log(rate[1] / rate[0])
-        weight[:, NOTHING] = 0
         weight[:, GOOD] = np.maximum(weight[:, GOOD], 0)
         weight[:, BAD] = np.minimum(weight[:, BAD], 0)
         logit = lambda a: np.log(share / (1 - share)) + np.einsum("ijk,jk->i", a, weight)  # noqa: B023,E731
