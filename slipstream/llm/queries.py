@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, html_text, license_scan, near_dedup, packing, quality, repeats, secret_scan, toxicity
+from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, near_dedup, packing, quality, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
 
 
+def op1_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_entropy_difference": op1_entropy_difference,
     "op2_suffix_automaton": op2_suffix_automaton,
     "op3_equivalence_classes": op3_equivalence_classes,
     "op4_super_minhash": op4_super_minhash,
