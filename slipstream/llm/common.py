@@ -24,13 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_bytes(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the UTF-8 bytes of the text; a null text is empty. Other columns go."""
+    """``doc_id``, the UTF-8 bytes of the text, and a hash of it; a null text is empty. Other columns go."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
+        text_hash().alias("text_hash"),
     )
 
 
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def letter_words(text: bytes) -> list[bytes]:
     """Runs of ASCII letters and digits and of any other character beyond ASCII, A-Z lower-cased."""
     return text.translate(LETTERS).split()

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from slipstream.llm.common import GOLDEN, WordHashes, doc_bytes, map_batches, mix, ragged, written
+from slipstream.llm.common import GOLDEN, WordHashes, doc_bytes, map_batches, mix, ragged, text_hash, written
 from slipstream.llm.components import connected
 
 SLOTS, BAND_ROWS = 252, 6
@@ -99,7 +99,7 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``fp`` (null for an empty set) and ``bands`` per row of ``docs``."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``fp`` (null for an empty set) and ``bands`` per row of ``docs``."""
 
     def make():
         hashes = WordHashes()
@@ -120,13 +120,14 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
                     held += len(s)
             fps = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), fps, ragged(keys, pa.int64())],
-                ["doc_id", "n_shingles", "fp", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), fps, ragged(keys, pa.int64())],
+                ["doc_id", "text_hash", "n_shingles", "fp", "bands"],
             )
 
         return step
 
-    return map_batches(doc_bytes(docs), make, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    schema = "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>"
+    return map_batches(doc_bytes(docs), make, schema)
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def residual_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. See the module's text."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, text_hash. See the module's text."""
     signed = written(signatures(docs, words))
     classes = written(
         signed.where("fp is not null and doc_id is not null")
@@ -289,11 +290,11 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     named = named.withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     component = named.join(smallest, "root").select("fp", "component_id")
-    out = signed.select("doc_id", "n_shingles", "fp").join(component, "fp", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "fp").join(component, "fp", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component_id.alias("component_id"),
-        F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(component_id == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash",
     )
 
 
@@ -302,14 +303,14 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Rows that repeat both the doc_id and the text are one row after this. Rows without a doc_id stay.
     """
-    result = near_duplicates(docs, words)
-    lost = written(result.where("not kept").select(F.col("doc_id").alias("__lost")).distinct())
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
-    repeated = written(repeated)
-    kept = docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti")
-    if not repeated.take(1):
-        return kept
-    again = kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    again = again.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    return kept.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(again)
+    rows = near_duplicates(docs, words).where("doc_id is not null")
+    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = rows.agg(F.first("kept").alias("__kept"), F.count("*").alias("__copies"))
+    special = written(rows.where("not __kept or __copies > 1"))
+    out = docs.withColumn("__text", text_hash())
+    out = out.join(special, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
+    out = out.where("__kept is null or __kept")
+    copied = out.where("__copies > 1")
+    first = Window.partitionBy("__id", "__hash").orderBy("__id")
+    copied = copied.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    return out.where("__copies is null or __copies = 1").unionByName(copied.drop("__nth")).select(*docs.columns)

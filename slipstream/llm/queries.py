@@ -23,7 +23,7 @@ def op3_equivalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
