@@ -1,10 +1,16 @@
-"""Pages as tokens: tags with their paths, and blocks of text."""
+"""Pages as tokens: elements told apart by their path, and blocks of text.
+
+A path is a number, hashed from the parent's path and the element's role, so deep nesting costs no
+more than flat pages.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+import xxhash
 
 # Elements by their role in a page.
 DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "select", "textarea", "title", "math")
@@ -15,6 +21,7 @@ PATH_TAGS = frozenset(
 BREAKS = PATH_TAGS - {"label", "button"} | {"br", "hr", "tbody", "thead", "tfoot", "caption", "center", "summary"}
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tr td th figure figcaption".split())
+ARTICLE_TAGS = ("article", "main")
 ASIDE_TAGS = frozenset("head nav footer aside form button dialog menu search address".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr"
@@ -26,21 +33,50 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<drop>{'|'.join(DROPPED)})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=drop)\s*>|\Z))"
-    r"|<(?P<end>/)?(?P<name>[a-z][a-z0-9]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-z][^>]*>",
+    r"|<(?P<end>/)?(?P<name>[a-z][a-z0-9]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-z][^>]*+>",
     re.S | re.I,
 )
+_ENDED = re.compile(rf"(?:-->|/>|</(?:{'|'.join(DROPPED)})\s*>)\Z|\A<(?!!--|(?:{'|'.join(DROPPED)})\b)", re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+ROOT = 0
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    node: int
     aside: bool
     text: str
 
 
+@dataclass(slots=True)
+class Page:
+    """Text blocks in page order, and how often each path occurs; parents come before their children."""
+
+    blocks: list[Block] = field(default_factory=list)
+    counts: dict[int, int] = field(default_factory=lambda: {ROOT: 1})
+    parent: dict[int, int] = field(default_factory=dict)
+    role: dict[int, str] = field(default_factory=lambda: {ROOT: ""})
+
+    def within(self, top: set[int]) -> set[int]:
+        """The paths at or below any of ``top``."""
+        out = top & self.counts.keys()
+        for node, up in self.parent.items():
+            if up in out:
+                out.add(node)
+        return out
+
+    def articles(self) -> set[int]:
+        return {n for n, r in self.role.items() if tag(r) in ARTICLE_TAGS}
+
+
+def tag(role: str) -> str:
+    return role.partition(".")[0]
+
+
 def element(name: str, rest: str, inside_article: bool) -> tuple[str, bool]:
     """The role of an element in a path (name and class words), and whether it stands beside the article."""
     aside = name in ASIDE_TAGS or name == "header" and not inside_article
@@ -57,16 +93,15 @@ def element(name: str, rest: str, inside_article: bool) -> tuple[str, bool]:
     return (f"{name}.{'.'.join(sorted(set(words)))}" if words else name), aside
 
 
-def blocks(page: str) -> tuple[list[Block], list[tuple[str, ...]]]:
-    """Text blocks in page order and the paths of all elements.
+def read_page(page: str) -> Page:
+    """The tokens of a page.
 
-    Unclosed and misnested elements are tolerated: headings and paragraphs end where a block starts, an end tag
-    closes the nearest element of its name, and formatting elements are not part of a path.
+    Unclosed and misnested elements are tolerated: headings and paragraphs end where a block starts,
+    an end tag closes the nearest element of its name, and formatting elements are not part of a path.
     """
-    out: list[Block] = []
-    opened: list[tuple[str, ...]] = []
-    stack: list[tuple[str, str, bool]] = []
-    path: tuple[str, ...] = ()
+    out = Page()
+    stack: list[tuple[str, int, bool, bool]] = []  # name, path, beside the article, inside an article
+    open_names: dict[str, int] = {}
     pending: list[str] = []
 
     def flush():
@@ -74,38 +109,44 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, ...]]]:
             text = _SPACE.sub(" ", html.unescape("".join(pending))).strip()
             pending.clear()
             if text:
-                out.append(Block(path, bool(stack) and stack[-1][2], text))
+                out.blocks.append(Block(stack[-1][1] if stack else ROOT, bool(stack) and stack[-1][2], text))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    def close():
+        open_names[stack.pop()[0]] -= 1
+
+    at, tags_end, last = 0, page.rfind(">") + 1, None
+    for m in _TOKEN.finditer(page, 0, tags_end):
         if m.start() > at:
             pending.append(page[at : m.start()])
         at = m.end()
         name = m["name"]
         if name is None:
+            last = m
             continue
         name = name.lower()
         if name in BREAKS:
             flush()
         if name not in PATH_TAGS:
             continue
+        flush()
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush()
-                    del stack[k:]
-                    path = tuple(s[1] for s in stack)
-                    break
+            if open_names.get(name):
+                while stack[-1][0] != name:
+                    close()
+                close()
             continue
-        flush()
-        while stack and stack[-1][0] in CLOSED_BY_BLOCK or stack and stack[-1][0] == name == "li":
-            stack.pop()
-        inside = any(s[0] in ("article", "main") for s in stack)
+        while stack and (stack[-1][0] in CLOSED_BY_BLOCK or stack[-1][0] == name == "li"):
+            close()
+        _, up, aside_above, inside = stack[-1] if stack else ("", ROOT, False, False)
         role, aside = element(name, m["rest"], inside)
+        node = xxhash.xxh3_64_intdigest(role, up) >> 1
+        out.counts[node] = out.counts.get(node, 0) + 1
+        out.parent.setdefault(node, up)
+        out.role.setdefault(node, role)
         if not m["rest"].endswith("/"):
-            stack.append((name, role, aside or bool(stack) and stack[-1][2]))
-        path = tuple(s[1] for s in stack)
-        opened.append(path)
-    pending.append(page[at:])
+            stack.append((name, node, aside or aside_above, inside or name in ARTICLE_TAGS))
+            open_names[name] = open_names.get(name, 0) + 1
+    if last is None or last.end() < tags_end or _ENDED.search(last[0]):  # else a dropped element runs to the end of the page
+        pending.append(page[at:])
     flush()
-    return out, opened
+    return out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from slipstream.llm.common import map_batches, written
-from slipstream.llm.html_pages import CONTENT, blocks
+from slipstream.llm.html_pages import ARTICLE_TAGS, CONTENT, ROOT, read_page, tag
 
 LEAST_SUPPORT = 0.05
 LEAST_PAGES = 8
@@ -36,8 +36,6 @@ LEAST_PAGES = 8
 MOST_OF_TEXT, ARTICLE_SHARE = 0.8, 0.3
 SALTS = 16
 
-_ARTICLE = ("article", "main")
-
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -55,104 +53,127 @@ def _add(total: int, page: int, count: int) -> int:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: path, text hash (null for an element), support, vector, chars of slot text within."""
+    """Per host and token: path, its parent and role, text hash (null for an element), support, vector, chars of slot text within."""
 
     def make():
         def step(batch):
             support: dict = defaultdict(int)
             vector: dict = defaultdict(int)
             chars: dict = defaultdict(int)
-            for where, page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
-                found, opened = blocks(page)
-                counts: dict = defaultdict(int)
-                counts[(), None] = 1
-                for path in opened:
-                    counts[path, None] += 1
-                for b in found:
-                    counts[b.path, xxhash.xxh3_64_intdigest(b.text)] += 1
+            known: dict = {}
+            for where, page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
+                page = read_page(html)
+                key = xxhash.xxh3_64_intdigest(f"{page_id} {url}") ^ xxhash.xxh3_64_intdigest(html)
+                counts: dict = {(node, None): n for node, n in page.counts.items()}
+                slot: dict = defaultdict(int)
+                for b in page.blocks:
+                    text = b.node, xxhash.xxh3_64_intdigest(b.text) >> 1
+                    counts[text] = counts.get(text, 0) + 1
                     if not b.aside:
-                        for k in range(len(b.path) + 1):
-                            chars[where, b.path[:k], None] += len(b.text)
-                key = xxhash.xxh3_64_intdigest(f"{page_id} {url}") ^ xxhash.xxh3_64_intdigest(page)
-                for (path, text), n in counts.items():
-                    token = where, path, text
+                        slot[b.node] += len(b.text)
+                for node, up in reversed(page.parent.items()):
+                    slot[up] += slot[node]
+                for (node, text), n in counts.items():
+                    token = where, node, text
                     support[token] += 1
                     vector[token] = _add(vector[token], key, n)
+                    if text is None:
+                        chars[token] += slot[node]
+                        known[token] = page.parent.get(node), page.role[node]
             tokens = list(support)
             return pa.RecordBatch.from_arrays([
-                pa.array([t[0] for t in tokens]), pa.array(["/".join(t[1]) for t in tokens]),
-                pa.array([None if t[2] is None else np.uint64(t[2]).astype(np.int64) for t in tokens], pa.int64()),
-                pa.array([support[t] for t in tokens], pa.int64()),
+                pa.array([t[0] for t in tokens]), pa.array([t[1] for t in tokens], pa.int64()),
+                pa.array([known.get(t, (None, None))[0] for t in tokens], pa.int64()),
+                pa.array([known.get(t, (None, None))[1] for t in tokens], pa.string()),
+                pa.array([t[2] for t in tokens], pa.int64()), pa.array([support[t] for t in tokens], pa.int64()),
                 pa.array(np.array([vector[t] for t in tokens], np.uint64).view(np.int64)),
                 pa.array([chars.get(t, 0) for t in tokens], pa.int64()),
-            ], ["host", "path", "text", "support", "vector", "chars"])
+            ], ["host", "node", "parent", "role", "text", "support", "vector", "chars"])
 
         return step
 
-    parts = map_batches(pages, make, "host string, path string, text long, support long, vector long, chars long")
+    schema = "host string, node long, parent long, role string, text long, support long, vector long, chars long"
+    parts = map_batches(pages, make, schema)
     # sums of 64-bit hashes may wrap; decimals keep them exact under ANSI rules
     wide = F.sum(F.col("vector").cast("decimal(20,0)")) % F.lit(1 << 62).cast("decimal(20,0)")
-    return parts.groupBy("host", "path", "text").agg(
-        F.sum("support").alias("support"), wide.cast("long").alias("vector"), F.sum("chars").alias("chars")
-    )
+    return parts.groupBy("host", "node", "text").agg(
+        F.max("parent").alias("parent"), F.max("role").alias("role"), F.sum("support").alias("support"),
+        wide.cast("long").alias("vector"), F.sum("chars").alias("chars"),
+    )
 
 
 def templates(vectors: DataFrame) -> DataFrame:
-    """Per host: the paths of the main class and the hashes of template text."""
-    size = vectors.where("path = '' and text is null").select("host", F.col("support").alias("pages"), F.col("vector").alias("root"))
+    """Per host: the path of the main class, and the template's text (path, hash)."""
+    root = vectors.where((F.col("node") == ROOT) & F.col("text").isNull())
+    size = root.select("host", F.col("support").alias("pages"), F.col("vector").alias("root"))
     tokens = vectors.join(size, "host")
     elements = tokens.where(F.col("text").isNull() & (F.col("support") >= F.col("pages") * LEAST_SUPPORT))
-    elements = elements.select("host", F.struct("path", "vector", "support", "chars").alias("element"))
+    elements = elements.select("host", F.struct("node", "parent", "role", "vector", "support", "chars").alias("element"))
     shared = tokens.where(F.col("text").isNotNull() & (F.col("pages") >= LEAST_PAGES))
-    shared = shared.where("support = pages and vector = root").select("host", "path", "text")
-    texts = shared.groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("texts"))
+    shared = shared.where("support = pages and vector = root").select("host", "node", "text")
+    texts = shared.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
 
     def deduce(t: pa.Table) -> pa.Table:
-        rows = [r["element"] for r in t.to_pylist()]
-        return pa.table({"host": t["host"].slice(0, 1), "main": pa.array(["/".join(main_class(rows))])})
+        main = main_class(t["element"].to_pylist())
+        return pa.table({"host": t["host"].slice(0, 1), "main": pa.array([main], pa.int64())})
 
-    main = elements.groupBy("host").applyInArrow(deduce, "host string, main string")
+    main = elements.groupBy("host").applyInArrow(deduce, "host string, main long")
     return main.join(texts, "host", "left")
 
 
-def main_class(elements: list[dict]) -> tuple[str, ...]:
+def main_class(elements: list[dict]) -> int:
     """The path of the class whose slots hold the article, found down the tree of nested classes."""
-    by_path = {tuple(e["path"].split("/")) if e["path"] else (): e for e in elements}
-    classes: dict = defaultdict(list)
-    for path, e in by_path.items():
-        classes[e["vector"], e["support"]].append(path)
-    chars = {path: e["chars"] for path, e in by_path.items()}
-    here: tuple[str, ...] = ()
+    by_node = {e["node"]: e for e in elements}
+    classes: dict = defaultdict(int)
+    below: dict = defaultdict(list)
+    for e in elements:
+        classes[e["vector"], e["support"]] += 1
+        if e["node"] != ROOT:
+            below[e["parent"]].append(e["node"])
+    order = [ROOT]
+    for node in order:
+        order += below[node]
+    # the article with the most slot text below each path; of two that share it, the inner one
+    article: dict = {}
+    for node in reversed(order):
+        held = [article[n] for n in below[node] if n in article]
+        held += [n for n in below[node] if tag(by_node[n]["role"]) in ARTICLE_TAGS and n not in article]
+        for n in below[node]:
+            inner = article.get(n)
+            if inner is not None and tag(by_node[n]["role"]) in ARTICLE_TAGS and by_node[inner]["chars"] < MOST_OF_TEXT * by_node[n]["chars"]:
+                held.append(n)
+        if held:
+            article[node] = max(held, key=lambda n: (by_node[n]["chars"], n))
+    here = ROOT
     while True:
-        below = [p for p in chars if len(p) == len(here) + 1 and p[: len(here)] == here]
-        below = [p for p in below if p[-1].split(".")[0] not in CONTENT]
-        if not below:
-            return here
-        # of equal amounts of text, the class with more elements is the firmer part of the template
-        best = max(below, key=lambda p: (chars[p], len(classes[by_path[p]["vector"], by_path[p]["support"]]), p))
-        named = [p for p in chars if p[: len(here)] == here and p != here and p[-1].split(".")[0] in _ARTICLE]
-        named = [p for p in named if chars[p] >= ARTICLE_SHARE * max(1, chars.get(here, 0))]
-        if named:
-            here = max(named, key=lambda p: (chars[p], len(p), p))
-        elif chars[best] >= MOST_OF_TEXT * max(1, chars.get(here, 0)):
-            here = best
-        else:
+        chars = max(1, by_node[here]["chars"]) if here in by_node else 1
+        inner = article.get(here)
+        if inner is not None and by_node[inner]["chars"] >= ARTICLE_SHARE * chars:
+            here = inner
+            continue
+        open_ = [n for n in below[here] if tag(by_node[n]["role"]) not in CONTENT]
+        # of equal amounts of text, the larger class is the firmer part of the template
+        best = max(open_, key=lambda n: (by_node[n]["chars"], classes[by_node[n]["vector"], by_node[n]["support"]], n), default=None)
+        if best is None or by_node[best]["chars"] < MOST_OF_TEXT * chars:
             return here
+        here = best
 
 
-def slot_text(page: str, main: tuple[str, ...], texts: set) -> str:
+def slot_text(html: str, main: int, texts: set) -> str:
     """The article's blocks in page order, joined by one space."""
-    found, opened = blocks(page)
-    if main and not any(path[: len(main)] == main for path in opened):
-        # a page that lacks the host's main class: its own article, or all that is not beside it
-        own = [p for p in opened if p[-1].split(".")[0] in _ARTICLE]
-        main = own[0] if own else ()
+    page = read_page(html)
+    articles = page.articles()
+    if main not in page.counts:
+        # a page that lacks the host's main class: its own articles, or all that is not beside them
+        tops = articles or {ROOT}
+    else:
+        tops = {main}
+    slots, inside = page.within(tops), page.within(articles)
     kept = []
-    for b in found:
-        if b.aside or b.path[: len(main)] != main:
+    for b in page.blocks:
+        if b.aside or b.node not in slots:
             continue
-        inside = any(role.split(".")[0] in _ARTICLE for role in b.path)
-        if not inside and texts and ("/".join(b.path), np.uint64(xxhash.xxh3_64_intdigest(b.text)).astype(np.int64)) in texts:
+        if b.node not in inside and texts and (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) in texts:
             continue
         kept.append(b.text)
     return " ".join(kept)
@@ -170,8 +191,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         def step(batch):
             out = []
             for page, main, texts in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "texts"))):
-                known = {(t["path"], t["text"]) for t in texts or ()}
-                out.append(slot_text(page, tuple(main.split("/")) if main else (), known))
+                known = {(t["node"], t["text"]) for t in texts or ()}
+                out.append(slot_text(page, ROOT if main is None else main, known))
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 

@@ -51,15 +51,15 @@ class Templates:
         saved = [(1 - (len(c.compress(block)) - _FRAME_BYTES) / size, i) for i, (_, _, c) in enumerate(self.rows)]
         return sorted(saved, key=lambda s: (-s[0], s[1]))
 
-    def match(self, block: bytes) -> tuple[str, float, int] | None:
-        """(licence, saving, differing words) of a block, None if no template is confirmed."""
+    def match(self, block: bytes) -> tuple[str, float, int, int] | None:
+        """(licence, saving, differing words, equal words) of a block, None if no template is confirmed."""
         if block not in self.cache:
             if len(self.cache) >= CACHED_LINES:
                 self.cache.clear()
             self.cache[block] = self._match(block)
         return self.cache[block]
 
-    def _match(self, block: bytes) -> tuple[str, float, int] | None:
+    def _match(self, block: bytes) -> tuple[str, float, int, int] | None:
         words = _WORD.findall(block.decode().lower())
         best = None
         for saving, i in self.savings(block)[:TRIED]:
@@ -67,26 +67,28 @@ class Templates:
             if saving < MIN_SAVING or not words:
                 break
             found = differences(words, template)
-            if found is not None and (best is None or (found, -saving) < (best[2], -best[1])):
-                best = name, round(saving, 4), found
+            if found is not None and (best is None or (found[0], -saving) < (best[2], -best[1])):
+                best = name, round(saving, 4), *found
         return best
 
 
-def differences(words: list[str], template: list[str]) -> int | None:
-    """Words that differ between a block and the part of the template that it aligns with.
+def differences(words: list[str], template: list[str]) -> tuple[int, int] | None:
+    """(differing words, equal words) of a block and the part of the template that it aligns with.
 
     None unless most words are the same and none of the differing ones is a number or version.
     """
     parts = [m for m in difflib.SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if m.size]
     if not parts:
         return None
+    first, last = parts[0], parts[-1]
+    end_a, end_b = last.a + last.size, last.b + last.size
+    lead, tail = min(first.a, first.b), min(len(words) - end_a, len(template) - end_b)
+    mine, aligned = words[first.a - lead : end_a + tail], template[first.b - lead : end_b + tail]
     same = sum(m.size for m in parts)
-    aligned = template[parts[0].b : parts[-1].b + parts[-1].size]
-    mine = words[parts[0].a : parts[-1].a + parts[-1].size]
-    if same < MIN_SAME_WORDS * max(len(words), min(len(aligned), len(template))) or same < 3:
+    if same < MIN_SAME_WORDS * max(len(words), len(aligned)) or same < min(3, len(template)):
         return None
     odd = [w for w in set(mine) ^ set(aligned) if any(c.isdigit() for c in w)]
-    return None if odd else len(words) + len(aligned) - 2 * same
+    return None if odd else (len(words) + len(aligned) - 2 * same, same)
 
 
 def notices(text: bytes, templates: Templates) -> list[tuple[int, int, str, float, int]]:
@@ -103,18 +105,19 @@ def notices(text: bytes, templates: Templates) -> list[tuple[int, int, str, floa
         if k <= used or not any(c in low[a:b] for c in _CUES):
             continue
         found, first, last = templates.match(text[a:b].strip()), k, k
-        # a notice may run over several lines: take neighbours while the wider block still matches
-        for step in (-1, 1):
+        # a notice may run over several lines: take neighbours that the template explains as well
+        for step in (-1, 1) if found else ():
             edge = k + step
             while used < edge < len(lines):
                 lo, hi = min(first, edge), max(last, edge)
-                wider = templates.match(text[lines[lo][0] : lines[hi][1]].replace(b"\n", b" ").strip())
-                if wider is None or found is not None and wider[0] != found[0] or not text[lines[edge][0] : lines[edge][1]].strip():
+                added = len(_WORD.findall(low[lines[edge][0] : lines[edge][1]].decode()))
+                wider = templates.match(text[lines[lo][0] : lines[hi][1]].replace(b"\n", b" ").strip()) if added else None
+                if wider is None or wider[0] != found[0] or wider[3] - found[3] < MIN_SAME_WORDS * added:
                     break
                 found, first, last = wider, lo, hi
                 edge += step
         if found:
-            out.append((lines[first][0], lines[last][1], *found))
+            out.append((lines[first][0], lines[last][1], *found[:3]))
             used = last
     return out
 
