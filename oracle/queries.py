@@ -160,6 +160,9 @@ SOURCES = {
     "star_export_dims": f"{STAR} select dim, value, code, n from dicts",
     "star_export_facts": STAR + SLIP_FACTS,
     "star_export_leg_facts": STAR + LEG_FACTS,
+    "star_export_decoded": f"""{FIX} select {n('l.row_id', 'row_id')}, l.match_id, m.name, l.market_clean,
+        (select arg_min(k.market_group, k.row_id) from legs k where k.market_clean = l.market_clean) as market_group
+      from legs l join matches m on l.match_id is not distinct from m.match_id""",
     "matches_dim": f"{FIX} select match_id, name, competition, {ts('kickoff', 'kickoff')}, legs from matches",
     "markets_dim": f"""{ROLL} select market_clean, arg_min(market_group, row_id) as market_group,
         arg_min(star_substitute, row_id) as star, count(*) as legs from legs group by market_clean""",
@@ -526,7 +529,26 @@ def conc_rows(inner: str) -> str:
     return f"{ROLL} select key, {ds('stake', 'ggr')}, n, customers from {inner}"
 
 
+def totals_where(condition: str) -> str:
+    return f"""{FIX} select count(*) as slips, {d('coalesce(sum(stake_eur), 0)', 'stake')}, {d('coalesce(sum(ggr_eur), 0)', 'ggr')},
+        {d('coalesce(sum(net_revenue_eur), 0)', 'net_revenue')}, count(distinct uid) as customers,
+        {d('coalesce(cast(sum(stake_eur) as double) / count(*), 0)', 'avg_stake')}, {d(pct('sum(ggr_eur)', 'sum(stake_eur)'), 'margin_pct')}
+      from slips where {condition}"""
+
+
+def with_leg(condition: str) -> str:
+    return totals_where(f"slip_id in (select slip_id from fl where {condition})")
+
+
 EXPLORE = {
+    "filter_by_fixture": with_leg("fixture = 'Team1 - Side4' and fixture_day = date '2026-06-12'"),
+    "filter_by_team": with_leg("entity_team = 'Team3'"),
+    "filter_by_player": with_leg("entity_player = 'Player 7'"),
+    "filter_by_match": with_leg("match_id in (60302, 61002)"),
+    "filter_by_market": with_leg("market_clean = 'Anytime goalscorer [Star Sub]'"),
+    "filter_by_customer": totals_where("uid in ('36', '139')"),
+    "filter_by_unit": totals_where("unit = 'UNIT PORTUGAL'"),
+    "filter_by_bet_type": totals_where("bet_type = 'COMBINED'"),
     "filter_slips": f"{ROLL}{FILTERED} select slip_id, uid, {d('stake_eur', 'stake_eur')} from kept",
     "filter_by_legs": f"""{ROLL}{FILTERED} select slip_id, {d('stake_eur', 'stake_eur')} from slips
       where slip_id in (select slip_id from hit)""",

@@ -44,12 +44,8 @@ EXPORT_MAX_PRICE = 10_000
 # Pulls in the order they were made; the later one wins settlement conflicts.
 PULLS = ("A", "B")
 
-# The heaviest keys of a lookup, which are broadcast (see operators/skew.py). A
-# fixed number: every key with more than 1/HOT_KEYS of all rows is among them.
+# Keys with more than 1/HOT_KEYS of all rows are broadcast in a lookup (see operators/skew.py).
 HOT_KEYS = 1000
 
-# A written table with at most this many rows may be broadcast whole.
-BROADCAST_ROWS = 100_000
-
 # Rows of one file that a single occurrence-numbering task may have to sort.
 OCCURRENCE_CHUNK_ROWS = 1_000_000

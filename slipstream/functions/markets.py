@@ -46,7 +46,8 @@ LINE = rf"(?i){NUMBER}\s*or more|over\s*{NUMBER}|under\s*{NUMBER}"
 NOT_A_NAME = r"^\d|^Over|^Under"
 # -------------------------------------------------------------------------------
 
-BLANKS = " \t\n\r\x0b\x0c"
+# White space in any script: spreadsheets put no-break spaces around texts.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def strip(c: Column) -> Column:

@@ -28,8 +28,13 @@ def total_where(name: str, condition: Column) -> Column:
 
 
 def rounded(c: Column, places: int) -> Column:
-    """Half-up to ``places`` decimals, as a double."""
-    return F.round(c.cast("decimal(28,9)"), places).cast("double")
+    """Half-up to ``places`` decimals, as a double.
+
+    Values too large for the decimal have no such decimals in a double; they, infinity
+    and NaN stay as they are.
+    """
+    number = c.cast("double")
+    return F.coalesce(F.round(number.try_cast("decimal(28,9)"), places).cast("double"), number)
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -52,7 +57,8 @@ def grouped_int(c: Column) -> Column:
 
 def fixed(c: Column, places: int) -> Column:
     """3.456 -> '3.46' at two places."""
-    return F.round(c.cast("decimal(28,9)"), places).cast(f"decimal(28,{places})").cast("string")
+    exact = F.round(c.try_cast("decimal(28,9)"), places).try_cast(f"decimal(28,{places})")
+    return F.coalesce(exact.cast("string"), c.cast("string"))
 
 
 def trimmed_number(c: Column, places: int) -> Column:

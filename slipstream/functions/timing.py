@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
+from slipstream.schema import BY_DAY
 
 
 def lead_minutes(betslip_ts: Column, first_event_ts: Column) -> Column:
@@ -29,3 +30,8 @@ def bucket_start(ts: Column, seconds: int) -> Column:
 def fixture_day(kickoff: Column) -> Column:
     """Kickoff date with the day turning at 06:00, so night games stay together."""
     return F.to_date(kickoff - F.expr(f"interval {config.FIXTURE_DAY_SHIFT_HOURS} hours"))
+
+
+def betslip_day(df: DataFrame) -> Column:
+    """The day of the betslip: the partition column where there is one, so that days prune."""
+    return F.col(BY_DAY) if BY_DAY in df.columns else F.to_date("betslip_ts")

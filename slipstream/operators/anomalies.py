@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slipstream import config
 from slipstream.functions.numbers import fixed, grouped_int, ratio_or_zero, rounded, total
+from slipstream.functions.timing import betslip_day
 from slipstream.operators.prices import eligible_selections
 from slipstream.operators.skew import lookup
 
@@ -175,7 +176,7 @@ def spike_driver(spikes: DataFrame, legs: DataFrame) -> DataFrame:
     days = spikes.select("day")
     staked = (
         legs.where(F.col("match").isNotNull())
-        .withColumn("day", F.to_date("betslip_ts"))
+        .withColumn("day", betslip_day(legs))
         .join(F.broadcast(days), "day", "left_semi")
         .groupBy("day", "match")
         .agg(total("stake_attr").alias("driver_stake"))

@@ -58,8 +58,9 @@ def _summed(keyed: DataFrame, stake: str, ggr: str) -> DataFrame:
 
 
 def concentrate_slip(slips: DataFrame, dim: str) -> DataFrame:
-    """Customer, unit, channel or bet type: full slip money, ``n`` slips."""
-    return _summed(slips.withColumn("key", F.col(dim)), "stake_eur", "ggr_eur")
+    """Customer, unit, channel or bet type: full slip money, ``n`` slips. A missing
+    value is the key "", so that the shares add up."""
+    return _summed(slips.withColumn("key", F.coalesce(F.col(dim), F.lit(""))), "stake_eur", "ggr_eur")
 
 
 def concentrate_leg(legs: DataFrame, dim: str) -> DataFrame:

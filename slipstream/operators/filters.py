@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream.functions.numbers import percent, ratio_or_zero, total
 from slipstream.operators.skew import lookup
+from slipstream.schema import BY_DAY
 
 
 @dataclass(frozen=True)
 class Filters:
     """AND across fields, OR inside a field; an empty field does not filter.
 
-    ``date_to`` is inclusive. ``match_ids`` are raw ids, not merged fixtures.
+    ``date_to`` is inclusive. ``match_ids`` are raw ids; ``fixtures`` are merged ones,
+    (name, day), and need legs that carry their fixture.
     """
 
     date_from: str | None = None
@@ -32,8 +34,9 @@ class Filters:
     markets: list[str] = field(default_factory=list)
     teams: list[str] = field(default_factory=list)
     players: list[str] = field(default_factory=list)
+    fixtures: list[tuple[str, str]] = field(default_factory=list)
 
-    def _slip_tests(self, unit: str, currency: str) -> list[Column]:
+    def _slip_tests(self, df: DataFrame, unit: str, currency: str) -> list[Column]:
         tests = [
             F.col(c).isin(list(wanted))
             for c, wanted in (
@@ -47,10 +50,15 @@ class Filters:
         if self.date_to:
             end = F.lit(self.date_to).cast("timestamp") + F.expr("interval 1 day")
             tests.append(F.col("betslip_ts") < end)
+        if BY_DAY in df.columns:  # written tables are partitioned by it; the same bounds prune
+            if self.date_from:
+                tests.append(F.col(BY_DAY) >= F.lit(self.date_from).cast("timestamp").cast("date"))
+            if self.date_to:
+                tests.append(F.col(BY_DAY) <= F.lit(self.date_to).cast("timestamp").cast("date"))
         return tests
 
     def leg_tests(self) -> list[Column]:
-        return [
+        tests = [
             F.col(c).isin(list(wanted))
             for c, wanted in (
                 ("competition", self.competitions), ("match_id", self.match_ids),
@@ -59,6 +67,13 @@ class Filters:
             )
             if wanted
         ]
+        if self.fixtures:
+            games = [
+                F.col("fixture").eqNullSafe(F.lit(name)) & F.col("fixture_day").eqNullSafe(F.lit(day).cast("date"))
+                for name, day in self.fixtures
+            ]
+            tests.append(reduce(lambda a, b: a | b, games))
+        return tests
 
 
 def _where_all(df: DataFrame, tests: list[Column]) -> DataFrame:
@@ -67,7 +82,7 @@ def _where_all(df: DataFrame, tests: list[Column]) -> DataFrame:
 
 def filter_slips(slips: DataFrame, f: Filters) -> DataFrame:
     """The slip-level fields. Plain predicates, so they reach the scan."""
-    return _where_all(slips, f._slip_tests("unit", "currency"))
+    return _where_all(slips, f._slip_tests(slips, "unit", "currency"))
 
 
 def filter_by_legs(slips: DataFrame, legs: DataFrame, f: Filters) -> DataFrame:
@@ -85,13 +100,13 @@ def filter_by_legs(slips: DataFrame, legs: DataFrame, f: Filters) -> DataFrame:
 
 def _leg_hits(legs: DataFrame, f: Filters) -> DataFrame:
     """Legs that pass everything; a leg carries its slip's fields."""
-    return _where_all(legs, f._slip_tests("slip_unit", "slip_currency") + f.leg_tests())
+    return _where_all(legs, f._slip_tests(legs, "slip_unit", "slip_currency") + f.leg_tests())
 
 
 def filter_legs(legs: DataFrame, f: Filters) -> DataFrame:
     """All legs of the slips that ``filter_by_legs`` keeps, including those legs
     that do not pass the leg-level fields themselves."""
-    kept = _where_all(legs, f._slip_tests("slip_unit", "slip_currency"))
+    kept = _where_all(legs, f._slip_tests(legs, "slip_unit", "slip_currency"))
     if not f.leg_tests():
         return kept
     hits = _leg_hits(legs, f).groupBy("slip_id").agg(F.max("n_legs").alias("__hit_legs"))

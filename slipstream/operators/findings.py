@@ -67,7 +67,7 @@ def daily_flow(slips: DataFrame) -> DataFrame:
     with the peak-stake day and the worst-GGR day marked (the first, if tied)."""
     days = (
         slips.where(F.col("betslip_ts").isNotNull())
-        .groupBy(F.to_date("betslip_ts").alias("day"))
+        .groupBy(timing.betslip_day(slips).alias("day"))
         .agg(total("stake_eur").alias("stake"), total("ggr_eur").alias("ggr"))
     )
     span = days.agg(F.min("day").alias("low"), F.max("day").alias("high"))
@@ -85,7 +85,7 @@ def worst_day_fixtures(slips: DataFrame, legs: DataFrame, top: int = 3) -> DataF
     """The fixtures that lost most on the worst day."""
     worst = daily_flow(slips).where("is_worst").select("day").scalar()
     return (
-        legs.where((F.to_date("betslip_ts") == worst) & F.col("match").isNotNull())
+        legs.where((timing.betslip_day(legs) == worst) & F.col("match").isNotNull())
         .groupBy("match")
         .agg(total("ggr_attr").alias("ggr"))
         .orderBy("ggr", "match")

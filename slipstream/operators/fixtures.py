@@ -10,8 +10,7 @@ from slipstream import config
 from slipstream.functions import timing
 from slipstream.functions.numbers import ratio_or_zero, rounded, total, total_where
 from slipstream.operators.series import drop_empty
-from slipstream.operators.skew import lookup_checked
-from slipstream.session import cut_lineage
+from slipstream.operators.skew import lookup
 
 
 def matches_dim(legs: DataFrame) -> DataFrame:
@@ -55,16 +54,14 @@ def fixture_groups(legs: DataFrame) -> DataFrame:
 
 
 def with_fixture(legs: DataFrame) -> DataFrame:
-    """Legs with ``fixture`` and ``fixture_day`` of their match id.
-
-    The matches are written once, so their number can be checked: unless there
-    are very many, legs are not shuffled.
-    """
+    """Legs with ``fixture`` and ``fixture_day`` of their match id. Written legs
+    carry them already, and are returned as they are."""
+    if "fixture" in legs.columns:
+        return legs
     named = _matches_with_day(legs).select(
         "match_id", F.col("name").alias("fixture"), F.col("day").alias("fixture_day"), F.col("legs").alias("of_match")
     )
-    found = lookup_checked(legs, cut_lineage(named), ["match_id"], "of_match", F.col("row_id"))
-    return found.drop("of_match")
+    return lookup(legs, named, ["match_id"], "of_match", F.col("row_id")).drop("of_match")
 
 
 SLIP_ONCE = ["slip_id", "uid", "betslip_ts", "phase", "slip_stake_eur", "slip_ggr_eur"]

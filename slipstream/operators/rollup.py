@@ -8,7 +8,7 @@ from slipstream import config
 from slipstream.functions import accounts, timing
 from slipstream.functions.numbers import money
 from slipstream.operators.skew import lookup
-from slipstream.schema import SLIP_KEY
+from slipstream.schema import BY_DAY, SLIP_KEY
 
 # Attributes a slip takes from its first leg. "first" skips nulls, but of these
 # only unit can be null; the others always come from the very first row.
@@ -66,25 +66,36 @@ def _simple_slips(legs: DataFrame) -> DataFrame:
 
 
 def _combined_slips(legs: DataFrame) -> DataFrame:
-    """COMBINED legs with one key are one slip. Partial aggregation runs before
-    the shuffle, so a key that fills a third of the data arrives as few rows."""
-    first = F.min_by(F.struct(*FIRST_ROW), F.col("row_id")).alias("__first")
-    first_unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("row_id")))
-    grouped = (
+    """COMBINED legs with one key are one slip.
+
+    Legs are folded to (slip, match, first-row attributes) first: a hash aggregate of
+    fixed-width values, so a key that fills a third of the data arrives as few rows. Picking the
+    first row's texts and counting distinct matches then sees those rows only.
+    """
+    folded = (
         legs.where(_is_combined())
-        .groupBy(*SLIP_KEY)
+        .groupBy(*SLIP_KEY, "match_id", "unit", *FIRST_ROW)
         .agg(
-            first,
-            first_unit.alias("unit"),
-            F.min("row_id").alias("first_row"),
-            F.count("*").alias("n_legs"),
-            F.count_distinct("match_id").alias("n_matches"),
-            F.count_distinct("competition").alias("competitions"),
+            F.min("row_id").alias("row"),
+            F.count("*").alias("legs"),
             F.min("event_ts").alias("first_event_ts"),
             F.max("event_ts").alias("last_event_ts"),
-            F.coalesce(F.product("price"), F.lit(1.0)).alias("price"),
+            F.product("price").alias("price"),
         )
     )
+    first_unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("row")))
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731 - matches of one slip
+    grouped = folded.groupBy(*SLIP_KEY).agg(
+        F.min_by(F.struct(*FIRST_ROW), F.col("row")).alias("__first"),
+        first_unit.alias("unit"),
+        F.min("row").alias("first_row"),
+        F.sum("legs").alias("n_legs"),
+        distinct("match_id").alias("n_matches"),
+        distinct("competition").alias("competitions"),
+        F.min("first_event_ts").alias("first_event_ts"),
+        F.max("last_event_ts").alias("last_event_ts"),
+        F.coalesce(F.product("price"), F.lit(1.0)).alias("price"),
+    )
     rate = accounts.eur_rate(F.col("currency"))
     opened = grouped.withColumns(
         {
@@ -152,7 +163,9 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
 
 def data_window(df: DataFrame, start: str = config.DATA_START) -> DataFrame:
     """Slips, or legs, from ``start`` on. A leg has its slip's betslip time, so
-    both are cut by a plain filter that reaches the scan."""
+    both are cut by a plain filter that reaches the scan, and prunes written days."""
+    if BY_DAY in df.columns:
+        df = df.where(F.col(BY_DAY) >= F.lit(start).cast("date"))
     return df.where(F.col("betslip_ts") >= F.lit(start).cast("timestamp"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
+from slipstream.session import cut_lineage
 
 
 def lookup(
@@ -16,17 +17,22 @@ def lookup(
     weight: str,
     spread: Column,
     null_safe: bool = True,
+    written: bool = False,
 ) -> DataFrame:
     """Left join ``rows`` to a ``table`` with one row per key.
 
     ``weight`` is a column of ``table`` that says how many of ``rows`` carry the
-    key. The HOT_KEYS heaviest keys are looked up by broadcast; that side has a
-    fixed number of rows whatever the data size, and every key with more than
-    1/HOT_KEYS of all rows is among them. All keys also go through an ordinary
-    shuffled join, but rows of heavy keys do so under a salt made from
-    ``spread``, which nothing matches: they are dealt evenly over the tasks
-    instead of piling up in one.
+    key. Keys with more than 1/HOT_KEYS of all the weight are looked up by
+    broadcast: there are fewer than HOT_KEYS of them, whatever the data size.
+    All keys also go through an ordinary shuffled join, which the engine may turn
+    into another kind by the sizes it meets; rows of heavy keys do so under a
+    salt made from ``spread``, which nothing matches: they are dealt evenly over
+    the tasks instead of piling up in one.
+
+    ``table`` is read three times, so it is written first unless it already is.
     """
+    if not written:
+        table = cut_lineage(table)
     values = [c for c in table.columns if c not in keys]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
@@ -34,7 +40,8 @@ def lookup(
             *[F.col(k).alias(f"__{tag}_{k}") for k in keys], F.struct(*values).alias(f"__{tag}")
         )
 
-    heavy = side(table.orderBy(F.desc(weight)).limit(config.HOT_KEYS), "hot")
+    everything = table.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
+    heavy = side(table.where(F.col(weight).cast("double") * config.HOT_KEYS > everything), "hot")
     every = side(table, "all").withColumn("__all_salt", F.lit(0))
     salt = F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1
     salted = rows.join(F.broadcast(heavy), _same(keys, "__hot_", null_safe), "left").withColumn(
@@ -46,27 +53,6 @@ def lookup(
     return joined.select(*[F.col(c) for c in rows.columns], *[found[v].alias(v) for v in values])
 
 
-def lookup_checked(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    spread: Column,
-    null_safe: bool = True,
-) -> DataFrame:
-    """``lookup`` for a ``table`` that is already written and usually small.
-
-    Its rows are counted first. Up to BROADCAST_ROWS it is broadcast, and
-    ``rows`` are not shuffled at all; beyond that it is an ordinary ``lookup``.
-    """
-    if table.count() > config.BROADCAST_ROWS:
-        return lookup(rows, table, keys, weight, spread, null_safe)
-    values = [c for c in table.columns if c not in keys]
-    side = table.select(*[F.col(k).alias(f"__t_{k}") for k in keys], *values)
-    joined = rows.join(F.broadcast(side), _same(keys, "__t_", null_safe), "left")
-    return joined.select(*rows.columns, *values)
-
-
 def _same(keys: Sequence[str], prefix: str, null_safe: bool) -> Column:
     on = F.lit(True)
     for k in keys:

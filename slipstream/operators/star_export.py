@@ -11,7 +11,7 @@ from slipstream import config
 from slipstream.functions.numbers import rounded
 from slipstream.operators.fixtures import matches_dim
 from slipstream.operators.rank import running_totals
-from slipstream.operators.skew import lookup, lookup_checked
+from slipstream.operators.skew import lookup
 from slipstream.session import cut_lineage
 
 SLIP_DICTIONARIES = {"uid": "uid", "unit": "unit", "currency": "currency"}
@@ -82,13 +82,12 @@ def brand_name(slips: DataFrame) -> DataFrame:
 
 
 def _coded(rows: DataFrame, dims: DataFrame, dim: str, column: str, spread: Column) -> DataFrame:
-    """Add ``<dim>_code``. Small dictionaries are broadcast; in a large one a
-    value with a third of all rows is no problem."""
+    """Add ``<dim>_code``; a value with a third of all rows is no problem. ``dims`` are written."""
     table = dims.where(F.col("dim") == dim).select(
         F.col("value").alias("__value"), F.col("code").alias(f"{dim}_code"), F.col("n").alias("__n")
     )
     keyed = rows.withColumn("__value", F.coalesce(F.col(column), F.lit("")))
-    found = lookup_checked(keyed, table, ["__value"], "__n", spread, null_safe=False)
+    found = lookup(keyed, table, ["__value"], "__n", spread, null_safe=False, written=True)
     return found.drop("__value", "__n")
 
 
@@ -133,26 +132,41 @@ def star_export_slips(slips: DataFrame, dims: DataFrame, index: DataFrame) -> Da
     )
 
 
-def star_export_legs(legs: DataFrame, dims: DataFrame, index: DataFrame) -> DataFrame:
-    """Legs as numbers, pointing at slips, matches, markets and dictionaries."""
+def match_codes(legs: DataFrame) -> DataFrame:
+    """The match dimension with its 0-based ``code``: ids in order, a missing id last."""
+    keyed = matches_dim(legs).withColumn("match_sort", F.coalesce("match_id", F.lit(2**63 - 1)))
+    return _with_place(keyed, "match_sort", "code").drop("match_sort")
+
+
+def market_codes(legs: DataFrame) -> DataFrame:
+    """The market dimension with its 0-based ``code`` in the order of the names."""
+    return _with_place(markets_dim(legs), "market_clean", "code")
+
+
+def star_export_legs(
+    legs: DataFrame,
+    dims: DataFrame,
+    index: DataFrame,
+    matches: DataFrame | None = None,
+    markets: DataFrame | None = None,
+) -> DataFrame:
+    """Legs as numbers, pointing at slips, matches, markets and dictionaries, all written.
+
+    Without ``match_codes`` and ``market_codes`` given, they are made here.
+    """
     spread = F.col("row_id")
-    matches, markets = cut_lineage(matches_dim(legs)), cut_lineage(markets_dim(legs))
-    # Match ids in order, a missing id last; market names in order.
-    match_sort = F.coalesce("match_id", F.lit(2**63 - 1))
-    match_codes = _with_place(matches.withColumn("match_sort", match_sort), "match_sort", "match_code")
-    market_codes = _with_place(markets, "market_clean", "market_code").select(
-        "market_clean", "legs", "market_code"
-    )
-    coded = lookup_checked(
-        legs, match_codes.select("match_id", "match_code", F.col("legs").alias("__n")), ["match_id"], "__n", spread
-    ).drop("__n")
-    coded = lookup_checked(
-        coded, market_codes.withColumnRenamed("legs", "__n"), ["market_clean"], "__n", spread
-    ).drop("__n")
+    matches = cut_lineage(match_codes(legs)) if matches is None else matches
+    markets = cut_lineage(market_codes(legs)) if markets is None else markets
+
+    def pointed(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+        table = table.select(key, F.col("code").alias(name), F.col("legs").alias("__n"))
+        return lookup(rows, table, [key], "__n", spread, written=True).drop("__n")
+
+    coded = pointed(pointed(legs, matches, "match_id", "match_code"), markets, "market_clean", "market_code")
     for dim, column in LEG_DICTIONARIES.items():
         coded = _coded(coded, dims, dim, column, spread)
     coded = lookup(
-        coded, index.withColumnRenamed("n_legs", "__n"), ["slip_id"], "__n", spread, null_safe=False
+        coded, index.withColumnRenamed("n_legs", "__n"), ["slip_id"], "__n", spread, null_safe=False, written=True
     )
     return coded.select(
         "row_id",
@@ -167,3 +181,10 @@ def star_export_legs(legs: DataFrame, dims: DataFrame, index: DataFrame) -> Data
         _epoch("betslip_ts").alias("ts"),
         _epoch("event_ts").alias("event_ts"),
     )
+
+
+def decoded_legs(legs: DataFrame, matches: DataFrame, markets: DataFrame) -> DataFrame:
+    """Exported legs with the names that their match and market codes stand for."""
+    match = matches.select(F.col("code").alias("match"), "match_id", "name", "competition")
+    market = markets.select(F.col("code").alias("market"), "market_clean", "market_group")
+    return legs.join(match, "match").join(market, "market", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slipstream.operators import (
     anomalies, customers, facts, findings, prices, reconcile, rollup, star_export,
@@ -42,7 +42,10 @@ def run_batch(spark: SparkSession, first_export: str, later_export: str, out: st
     star = f"{out}/star"
     store.write_table(dims, f"{star}/dims", ["dim"])
     store.write_table(star_export.star_export_slips(slips, dims, index), f"{star}/slips")
-    store.write_table(star_export.star_export_legs(legs, dims, index), f"{star}/legs")
+    store.write_table(star_export.match_codes(legs), f"{star}/matches")
+    store.write_table(star_export.market_codes(legs), f"{star}/markets")
+    matches, markets = (spark.read.parquet(f"{star}/{name}") for name in ("matches", "markets"))
+    store.write_table(star_export.star_export_legs(legs, dims, index, matches, markets), f"{star}/legs")
 
     cards = facts.headline_cards(slips)
     stats_of_files = reconcile.file_stats(a.unionByName(b))
@@ -63,6 +66,25 @@ def run_batch(spark: SparkSession, first_export: str, later_export: str, out: st
             "assumptions": customers.risk_assumptions(scored, stats),
             "watchlist": watch,
             "anomalies": flags,
+            "overlap": reconcile.overlap_rows(pairs).agg(F.count("*").alias("rows")),
+            "union": made.normalized.agg(F.count("*").alias("rows")),
+            "bet_types": findings.bet_type_stats(slips),
+            "channel_combined_mix": findings.channel_combined_mix(slips),
+            "daily_flow": findings.daily_flow(slips),
+            "worst_day_fixtures": findings.worst_day_fixtures(slips, legs),
+            "star_share": findings.star_share(legs),
+            "core_product_share": findings.core_product_share(legs),
+            "market_prefix_pocket": findings.market_prefix_pocket(legs),
+            "top10_customer_share": findings.top10_customer_share(slips),
+            "customer_gini": findings.customer_gini(slips),
+            "watchlist_digest": customers.watchlist_digest(watch),
+            "watch_reasons": customers.watch_reasons(watch),
+            "costliest_exposure": findings.costliest_exposure(anomalies.exposure(stats)),
+            "late_bets": findings.late_bets(slips),
+            "fixture_merge_counts": findings.fixture_merge_counts(legs),
+            "billing_tiers": findings.billing_tiers(slips),
+            "combined_composition": findings.combined_composition(slips),
+            "repeated_selection_share": findings.repeated_selection_share(legs),
         },
         f"{out}/facts",
     )

@@ -29,6 +29,18 @@ SOME_SLIPS = Filters(
     channels=["online", "retail"], currencies=["EUR", "PEN"],
 )
 
+# The fields that no other query sets.
+ONE_FIELD = {
+    "fixture": Filters(fixtures=[FIXTURE]),
+    "team": Filters(teams=["Team3"]),
+    "player": Filters(players=["Player 7"]),
+    "match": Filters(match_ids=[60302, 61002]),
+    "market": Filters(markets=["Anytime goalscorer [Star Sub]"]),
+    "customer": Filters(uids=["36", "139"]),
+    "unit": Filters(units=["UNIT PORTUGAL"]),
+    "bet_type": Filters(bet_types=["COMBINED"]),
+}
+
 
 @dataclass(frozen=True)
 class Run:
@@ -138,7 +150,15 @@ class Run:
 
     @property
     def leg_facts(self) -> DataFrame:
-        return star_export.star_export_legs(self.legs, self.dims, self.slip_index)
+        return star_export.star_export_legs(self.legs, self.dims, self.slip_index, self.matches, self.markets)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return cut_lineage(star_export.match_codes(self.legs))
+
+    @cached_property
+    def markets(self) -> DataFrame:
+        return cut_lineage(star_export.market_codes(self.legs))
 
 
 def plain(df: DataFrame, places: int = 6) -> DataFrame:
@@ -240,6 +260,9 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "star_export_dims": lambda r: star_export.star_export_dims(r.slips, r.legs),
     "star_export_facts": lambda r: r.slip_facts,
     "star_export_leg_facts": lambda r: r.leg_facts,
+    "star_export_decoded": lambda r: star_export.decoded_legs(r.leg_facts, r.matches, r.markets).select(
+        "row_id", "match_id", "name", "market_clean", "market_group"
+    ),
     "matches_dim": lambda r: fixtures.matches_dim(r.legs),
     "markets_dim": lambda r: star_export.markets_dim(r.legs),
     "brand_name": lambda r: star_export.brand_name(r.slips),
@@ -346,6 +369,10 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "filter_slips": lambda r: filters.filter_slips(r.slips, SOME_SLIPS).select("slip_id", "uid", "stake_eur"),
     "filter_by_legs": lambda r: filters.filter_by_legs(r.slips, r.legs, SOME_LEGS).select("slip_id", "stake_eur"),
     "filter_legs": lambda r: filters.filter_legs(r.legs, SOME_LEGS).select("row_id", "slip_id"),
+    **{
+        f"filter_by_{name}": lambda r, f=f: filters.totals(filters.filter_by_legs(r.slips, r.legs, f))
+        for name, f in ONE_FIELD.items()
+    },
     "totals": lambda r: filters.totals(filters.filter_slips(r.slips, SOME_SLIPS)),
     "share_of_total": lambda r: filters.share_of_total(filters.filter_slips(r.slips, SOME_SLIPS), r.slips),
     "group_by_slip_field": lambda r: filters.group_by_slip_field(r.slips, "unit"),

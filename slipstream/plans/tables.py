@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slipstream.operators.fixtures import with_fixture
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import pair_pulls, reconciled_union, row_identity
 from slipstream.operators.rollup import attribute_legs, build_slips, data_window
@@ -48,7 +49,7 @@ def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
     base = made.normalized
     tables.write_by_day(data_window(build_slips(base)), f"{path}/slips")
     # A leg has its slip's betslip time, so both sides can be cut beforehand.
-    tables.write_by_day(attribute_legs(data_window(base), made.slips), f"{path}/legs")
+    tables.write_by_day(with_fixture(attribute_legs(data_window(base), made.slips)), f"{path}/legs")
     return made
 
 

@@ -24,9 +24,13 @@ EXPORT_COLUMNS = {
     "Net Revenue": "net_revenue",
     "Currency Code": "currency_raw",
 }
-HEADER_ROW = 5
+# Two names that tell the header line from the report's preamble.
+HEADER_MARKS = ("MatchId", "Uid")
 EXPORT_TIME_FORMAT = "dd/MM/yyyy HH:mm:ss"
 
+# The partition column of written slips and legs.
+BY_DAY = "betslip_date"
+
 LEG_COLUMNS = list(EXPORT_COLUMNS.values())
 NUMBER_COLUMNS = ["price", "stake", "ggr", "net_revenue"]
 TIME_COLUMNS = ["event_ts", "betslip_ts"]
@@ -52,7 +56,7 @@ LEG_SCHEMA = T.StructType(
     ]
 )
 
-# What makes two rows the same bet. Settlement (ggr, net_revenue) is left out:
+# What makes two rows the same bet. Settlement (ggr, net_revenue) is left out:
 # it can move between two pulls.
 IDENTITY = [
     "uid",
@@ -66,5 +70,5 @@ IDENTITY = [
     "stake",
 ]
 
-# What makes two COMBINED legs part of one betslip. Native currency money.
+# What makes two COMBINED legs part of one betslip. Native currency money.
 SLIP_KEY = ["uid", "betslip_ts", "stake", "ggr", "net_revenue"]

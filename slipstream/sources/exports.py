@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from slipstream import schema
 from slipstream.functions.markets import strip
 
 # Names a report writer or reader gives the export's first, unnamed column.
 INDEX_NAMES = ("", "Unnamed: 0", "source_row")
+BROKEN = "_broken"
+
+# A plain decimal number and a whole one; casts would also take "10d" and "0x1".
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHOLE = r"^[+-]?\d+(\.0*)?$"
 
 
 def load_export(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -34,29 +39,60 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def _read_text(spark: SparkSession, path: str) -> DataFrame:
     """The lines below the header row, split by the header's names.
 
-    Only the few lines above the data come to the driver. A later line without a
-    row number is an error rather than a silently dropped bet.
+    The preamble ends, in every file, with the line whose fields are the header;
+    what stands above it is dropped by place, not by its text. Only headers come
+    to the driver. A line below without a row number, or with too few or too many fields, is
+    an error rather than a silently dropped or broken bet.
     """
-    lines = spark.read.text(path)
-    head = lines.where(F.col("_metadata.file_block_start") == 0).limit(schema.HEADER_ROW)
-    preamble = [r["value"] for r in head.collect()]
-    if len(preamble) < schema.HEADER_ROW:
-        raise ValueError(f"{path}: no header on row {schema.HEADER_ROW}")
-    names = next(csv.reader([preamble[-1]]))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    names = _header(lines, path)
     _check_columns(path, names)
     fields = [n if n in schema.EXPORT_COLUMNS else f"_{i}" for i, n in enumerate(names)]
     index = next((f for f, n in zip(fields, names) if n in INDEX_NAMES), None)
     if index is None:
         raise ValueError(f"{path}: no unnamed row-number column")
     as_text = ", ".join(f"`{f}` string" for f in fields)
-    body = lines.where((F.trim("value") != "") & ~F.col("value").isin(preamble))
-    row = body.select("value", F.from_csv("value", as_text, {"mode": "PERMISSIVE"}).alias("r"))
+    body = _below_header(lines).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN}
+    row = body.select("value", F.from_csv("value", f"{as_text}, `{BROKEN}` string", options).alias("r"))
     number = F.expr(f"try_cast(r.`{index}` as bigint)")
-    checked = F.coalesce(
-        number,
-        F.raise_error(F.concat(F.lit("export line without a row number: "), F.col("value"))).cast("long"),
+    refuse = lambda why: F.raise_error(F.concat(F.lit(why), F.col("value"))).cast("long")
+    checked = (
+        F.when(number.isNull(), refuse("export line without a row number: "))
+        .when(F.col(f"r.{BROKEN}").isNotNull(), refuse("export line with other fields than the header: "))
+        .otherwise(number)
+    )
+    return row.select(checked.alias("source_row"), *[F.col(f"r.`{f}`") for f in fields])
+
+
+def _is_header(value: Column) -> Column:
+    """Whether a line names the export's columns; they are spelled without quotes or commas."""
+    cells = F.transform(F.split(value, ","), lambda x: F.btrim(x, F.lit('" ')))
+    return F.array_contains(cells, schema.HEADER_MARKS[0]) & F.array_contains(cells, schema.HEADER_MARKS[1])
+
+
+def _header(lines: DataFrame, path: str) -> list[str]:
+    """The one header of all files of ``path``."""
+    heads = lines.where((F.col("block") == 0) & _is_header(F.col("value"))).select("value").distinct()
+    found = [next(csv.reader([r["value"]])) for r in heads.take(2)]
+    if not found:
+        raise ValueError(f"{path}: no header line")
+    if len(found) > 1:
+        raise ValueError(f"{path}: files with different headers")
+    return found[0]
+
+
+def _below_header(lines: DataFrame) -> DataFrame:
+    """Lines below the header of their file, by place: ids rise along a file's blocks' lines."""
+    heads = lines.where((F.col("block") == 0) & _is_header(F.col("value")))
+    heads = heads.groupBy(F.col("file").alias("head_file")).agg(F.min("place").alias("head_place"))
+    below = (F.col("file") == F.col("head_file")) & (
+        (F.col("block") > 0) | (F.col("place") > F.col("head_place"))
     )
-    return row.select(checked.alias("source_row"), "r.*")
+    return lines.join(heads, below).select("value")
 
 
 def _check_columns(path: str, names: list[str]) -> None:
@@ -77,6 +113,17 @@ def _project(raw: DataFrame, path: str) -> DataFrame:
     )
 
 
+def _whole_number(name: str, kind: T.DataType) -> Column:
+    """Whole numbers exactly; anything else is null."""
+    if isinstance(kind, T.IntegralType):
+        return F.col(name).cast("long")
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        number = F.col(name)
+        return F.when(number == F.floor(number), number).try_cast("long")
+    text = strip(F.col(name).cast("string"))
+    return F.regexp_replace(F.when(text.rlike(WHOLE), text), r"\.0*$", "").try_cast("long")
+
+
 def typed_legs(raw: DataFrame, source: str) -> DataFrame:
     """Strip text, parse dates and numbers (bad ones become null), tag the file."""
 
@@ -84,11 +131,11 @@ def typed_legs(raw: DataFrame, source: str) -> DataFrame:
         if name in schema.TIME_COLUMNS:
             return F.try_to_timestamp(strip(F.col(name)), F.lit(schema.EXPORT_TIME_FORMAT))
         if name in schema.NUMBER_COLUMNS:
-            number = F.col(name).try_cast("double")
-            return F.nullif(number, F.lit(float("nan")))
+            text = strip(F.col(name).cast("string"))
+            return F.when(text.rlike(NUMBER), text).try_cast("double")
         if name == "match_id":
-            return F.col(name).try_cast("double").try_cast("long")
-        return strip(F.col(name))
+            return _whole_number(name, raw.schema[name].dataType)
+        return strip(F.col(name).cast("string"))
 
     return raw.select(
         *[typed(c).alias(c) for c in schema.LEG_COLUMNS],

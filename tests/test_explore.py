@@ -101,3 +101,17 @@ def test_pulls_to_tables(spark, raw_legs):
     got = {r["uid"]: float(r["ggr_eur"]) for r in made.slips.collect()}
     assert got == {"1": -9.0, "2": 10.0, "3": 10.0}
     assert made.legs.count() == 3
+
+
+def test_missing_names_are_a_key_of_their_own(rolled):
+    slips, _ = rolled([{"uid": None, "stake": 5.0}, {"uid": "a", "stake": 7.0}, {"uid": "b", "unit": None, "stake": 9.0}])
+    for dim in ("uid", "unit"):
+        rows = {r["key"]: float(r["stake"]) for r in concentration.concentrate_slip(slips, dim).collect()}
+        assert "" in rows and sum(rows.values()) == 21.0
+
+
+def test_a_merged_fixture_filters_all_its_match_ids(rolled):
+    slips, legs = rolled([{"match_id": 1}, {"match_id": 2, "uid": "x"}, {"match_id": 3, "match": "C - D"}])
+    both = Filters(fixtures=[("Alpha - Beta", "2026-06-15")])
+    kept = filters.filter_by_legs(slips, fixtures.with_fixture(legs), both)
+    assert kept.count() == 2

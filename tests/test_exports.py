@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from slipstream import schema
 from slipstream.sources.exports import load_export
@@ -40,3 +41,54 @@ def test_a_line_without_row_number_is_an_error(spark, tmp_path):
     path = write(tmp_path / "a.csv", NAMES, [GOOD, "x" + GOOD[1:]])
     with pytest.raises(Exception, match="without a row number"):
         load_export(spark, path, "A").collect()
+
+
+def test_quotes_inside_quotes_exact_ids_and_odd_blanks(spark, tmp_path):
+    rows = [
+        '0,Football,Test Cup,9007199254740993,"Alpha ""X"" - Beta",15/06/2026 18:00:00,Match,SIMPLE,,Opt,'
+        "15/06/2026 12:00:00,12345,UNIT NORTH\u00a0,3.5,10d,1e1,.5,EUR,x",
+        GOOD.replace("0,", "1,", 1).replace(",100,", ",100.5,"),
+        GOOD.replace("0,", "2,", 1).replace(",100,", ",100.0,"),
+    ]
+    a, b, c = load_export(spark, write(tmp_path / "a.csv", NAMES, rows), "A").orderBy("source_row").collect()
+    assert (a["match_id"], a["match"], a["unit"]) == (9007199254740993, 'Alpha "X" - Beta', "UNIT NORTH")
+    assert (a["stake"], a["ggr"], a["net_revenue"]) == (None, 10.0, 0.5)
+    assert (b["match_id"], c["match_id"]) == (None, 100)
+
+
+def test_truncated_and_overlong_lines_are_errors(spark, tmp_path):
+    for line in ("4,Football,Test", GOOD + ",more,and more"):
+        path = write(tmp_path / f"{len(line)}.csv", NAMES, [GOOD, line])
+        with pytest.raises(Exception, match="other fields than the header"):
+            load_export(spark, path, "A").collect()
+
+
+def test_only_lines_above_the_header_are_dropped(spark, tmp_path):
+    """A data line may repeat a line of the preamble or of another file."""
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        rows = [GOOD.replace("0,", f"{10 * k},", 1), GOOD.replace("0,", f"{10 * k + 1},", 1)]
+        top = [rows[1]] * k + HEAD if k else HEAD
+        text = "\n".join([*top, ",".join(NAMES), *rows]) + "\n"
+        (tmp_path / "in" / f"{k}.csv").write_text(text, encoding="utf-8")
+    got = load_export(spark, str(tmp_path / "in"), "A")
+    assert sorted(r["source_row"] for r in got.collect()) == [0, 1, 10, 11, 20, 21]
+
+
+def test_files_with_different_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", NAMES, [GOOD])
+    write(tmp_path / "in" / "b.csv", [*NAMES[:-1], "Other"], [GOOD])
+    with pytest.raises(ValueError, match="different headers"):
+        load_export(spark, str(tmp_path / "in"), "A")
+
+
+def test_parquet_keeps_long_ids(spark, tmp_path):
+    loaded = load_export(spark, write(tmp_path / "a.csv", NAMES, [GOOD]), "A").drop("source")
+    back = {new: old for old, new in schema.EXPORT_COLUMNS.items()}
+    wide = loaded.withColumnsRenamed(back)
+    wide = wide.withColumn("MatchId", wide["MatchId"] + 9007199254740893)
+    for c in ("Event date (utc)", "Betslip date (utc)"):
+        wide = wide.withColumn(c, F.date_format(F.col(f"`{c}`"), schema.EXPORT_TIME_FORMAT))
+    wide.write.parquet(str(tmp_path / "x.parquet"))
+    assert load_export(spark, str(tmp_path / "x.parquet"), "A").first()["match_id"] == 9007199254740993

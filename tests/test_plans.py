@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from slipstream.plans.catalog import Run
+from slipstream.operators import filters
+from slipstream.operators.filters import Filters
+from slipstream.plans.catalog import QUERIES, Run
 
 SF_DIR = "/root/testdata/sf0.001"
 # A join without an equality would compare all rows with all rows; Python nodes
@@ -49,3 +51,36 @@ def test_day_filter_prunes_and_columns_are_cut(spark, table, column):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(betslip_date" in text
     assert re.search(rf"ReadSchema: struct<(channel:string,{column}:decimal\(18,6\)|{column}:decimal\(18,6\),channel:string)>", text)
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["filter_slips", "worst_day_fixtures", "spike_driver"])
+def test_registered_queries_prune_days(spark, name):
+    text = plan_text(QUERIES[name](Run(spark, SF_DIR)))
+    assert re.search(r"PartitionFilters: \[[^\]]*betslip_date", text)
+
+
+def test_leg_filters_prune_days(spark):
+    run, f = Run(spark, SF_DIR), Filters(date_from="2026-06-10", date_to="2026-06-10", players=["Player 7"])
+    for df in (filters.filter_by_legs(run.slips, run.legs, f), filters.filter_legs(run.legs, f)):
+        scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan_text(df))
+        assert scans and all("betslip_date" in s and ">=" in s for s in scans if s)
+        assert any("betslip_date" in s for s in scans)
+
+
+def test_one_fixture_is_a_plain_filter(spark):
+    assert "Join" not in plan_text(QUERIES["fixture_slips"](Run(spark, SF_DIR)))
+
+
+def test_combined_legs_are_folded_by_hash_first(spark):
+    text = plan_text(QUERIES["slips"](Run(spark, SF_DIR)))
+    assert "Expand" not in text
+    assert re.search(r"HashAggregate\(keys=\[uid[^\n]*partial_product", text)
+
+
+def test_lookups_neither_sort_a_table_nor_roll_up_twice(spark):
+    text = plan_text(QUERIES["leg_attribution"](Run(spark, SF_DIR)))
+    assert "TakeOrderedAndProject" not in text and "product(" not in text

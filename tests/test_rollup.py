@@ -85,3 +85,16 @@ def test_window_reports_what_it_drops(rolled):
     slips, legs = rolled([{"betslip_ts": early}, {}, {"betslip_ts": None}])
     assert rollup.data_window(slips).count() == rollup.data_window(legs).count() == 1
     assert rollup.window_report(slips).first() == (1, 1, 10, 1)
+
+
+@pytest.mark.parametrize("price", [20.0, 1e30, float("inf"), float("nan")])
+def test_a_very_long_slip_does_not_overflow(rolled, price):
+    from slipstream.operators import star_export
+    from slipstream.plans.catalog import plain
+
+    slips, _ = rolled([combined(price=price, option_raw=f"Leg {i}") for i in range(300)])
+    (slip,) = plain(slips).collect()
+    assert slip["n_legs"] == 300 and not slip["price"] < 1e30
+    dims = star_export.star_export_dims(slips, rolled([combined()])[1])
+    (fact,) = star_export.star_export_slips(slips, dims, star_export.slip_index(slips)).collect()
+    assert fact["price"] == -1.0
