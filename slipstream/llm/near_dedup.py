@@ -137,11 +137,12 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     group of copies rather than an edge of it. Both members of any bucket have its pivot.
     """
     rows = classes.select("fp", F.explode("bands").alias("band"))
-    crowded = rows.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
+    # written sides leave plain exchanges under the joins, which the engine can split at a hot band
+    crowded = written(rows.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1"))
     rows = written(rows.join(crowded, "band"))
     score = rows.groupBy("fp").agg(F.sum("mates").alias("score"))
     pivots = rows.join(score, "fp").groupBy("band").agg(F.max_by("fp", F.struct("score", "fp")).alias("pivot"))
-    return rows.join(pivots, "band").select("pivot", "fp").distinct()
+    return rows.join(written(pivots), "band").select("pivot", "fp").distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
@@ -213,7 +214,7 @@ def residual_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     Distances to the pivot differ by at most the distance of two members, which rules most pairs out.
     """
     sized = members.groupBy("pivot").agg(F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_out"))
-    sized = sized.where("n_out > 0 and n > 2")
+    sized = written(sized.where("n_out > 0 and n > 2"))
     n_blocks = lambda c: F.ceil(F.col(c) / BLOCK_MEMBERS).cast("long")
     rows = members.join(sized, "pivot")
     spread = F.xxhash64("fp")

@@ -251,7 +251,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     zipped = F.inline(F.arrays_zip("hash", "at", "context"))
     all_anchors = written(texts.where(f"n_bytes >= {WINDOW}").select("k1", "k2", "first", "copies", zipped))
-    often = all_anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written sides leave plain exchanges under the joins, which the engine can split at a hot anchor
+    often = written(all_anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     found = written(all_anchors.join(often, "hash"))
 
     classes = found.groupBy("hash", "context").agg(
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # a class with more members only helps to find the repeats of those that stand alone
     alone = (F.col("n") == 1) & (F.col("one.copies") == 1)
     groups = classes.groupBy("hash").agg(F.count("*").alias("contexts"), F.sum(alone.cast("long")).alias("n_alone"))
-    groups = groups.where("contexts > 1 and n_alone > 0")
+    groups = written(groups.where("contexts > 1 and n_alone > 0"))
     wanted = classes.join(groups, "hash").select("hash", "contexts", "one.*", alone.alias("alone"))
     wanted = written(wanted)
 
