@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, near_dedup, packing, quality, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
+from slipstream.llm.oracles import ORACLES
 
 
 def op1_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_variable_best_fit": op10_variable_best_fit,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

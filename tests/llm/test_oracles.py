@@ -1,0 +1,14 @@
+"""The queries that SQL can say against DuckDB on the smallest tables."""
+
+import pytest
+
+import check
+from slipstream.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_oracle(spark, name):
+    ours = QUERIES[name](spark, SF_DIR).toPandas()
+    assert check.difference(ours, check.oracle_connection(SF_DIR).execute(ORACLES[name]).df()) is None
