@@ -529,6 +529,13 @@ def conc_rows(inner: str) -> str:
     return f"{ROLL} select key, {ds('stake', 'ggr')}, n, customers from {inner}"
 
 
+def top_share(inner: str) -> str:
+    return f"""{ROLL}, rows as {inner} select row_number() over (order by stake desc, key) as place, key,
+        {d('stake', 'stake')}, {d(pct('stake', '(select sum(stake) from rows)'), 'share')},
+        {d(pct('sum(stake) over (order by stake desc, key rows unbounded preceding)', '(select sum(stake) from rows)'), 'running_share')}
+      from rows order by stake desc, key limit 25"""
+
+
 def totals_where(condition: str) -> str:
     return f"""{FIX} select count(*) as slips, {d('coalesce(sum(stake_eur), 0)', 'stake')}, {d('coalesce(sum(ggr_eur), 0)', 'ggr')},
         {d('coalesce(sum(net_revenue_eur), 0)', 'net_revenue')}, count(distinct uid) as customers,
@@ -606,10 +613,8 @@ EXPLORE = {
     "concentrate_leg_player": conc_rows(PLAYER_CONC),
     "concentrate_line": conc_rows(conc("legs", LINE_KEY, "stake_attr", "ggr_attr")),
     "concentrate_team": conc_rows(conc("legs", "nullif(entity_team, '')", "stake_attr", "ggr_attr")),
-    "top_n_share": f"""{ROLL}, rows as {PLAYER_CONC} select row_number() over (order by stake desc, key) as place, key,
-        {d('stake', 'stake')}, {d(pct('stake', '(select sum(stake) from rows)'), 'share')},
-        {d(pct('sum(stake) over (order by stake desc, key rows unbounded preceding)', '(select sum(stake) from rows)'), 'running_share')}
-      from rows order by stake desc, key limit 25""",
+    "top_n_share": top_share(PLAYER_CONC),
+    "top_n_share_selection": top_share(SEL_CONC),
     "top10_share": f"""{ROLL}, rows as {UID_CONC} select
         {d(pct('(select sum(stake) from (select stake from rows order by stake desc, key limit 10))', '(select sum(stake) from rows)'), 'top10_share')}""",
     "lorenz": f"""{ROLL}, v as (select row_number() over (order by stake) as i, count(*) over () as n, stake,

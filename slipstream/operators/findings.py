@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slipstream import config
 from slipstream.functions.numbers import percent, ratio, rounded, total, total_where
 from slipstream.functions import timing
-from slipstream.operators.fixtures import matches_dim
 from slipstream.operators.rank import gini, ordered_counts
 
 

@@ -402,6 +402,9 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "concentrate_line": lambda r: concentration.concentrate_leg(r.legs, "line"),
     "concentrate_team": lambda r: concentration.concentrate_leg(r.legs, "team"),
     "top_n_share": lambda r: concentration.top_n_share(concentration.concentrate_leg(r.legs, "player")),
+    "top_n_share_selection": lambda r: concentration.top_n_share(
+        concentration.concentrate_leg(r.legs, "selection")
+    ),
     "top10_share": lambda r: concentration.top10_share(concentration.concentrate_slip(r.slips, "uid")),
     "lorenz": lambda r: concentration.lorenz(concentration.concentrate_slip(r.slips, "uid")),
     "gini": lambda r: concentration.gini(concentration.concentrate_leg(r.legs, "selection"), "Selection"),

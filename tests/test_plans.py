@@ -20,6 +20,7 @@ BOUNDED_ORDER = {
     "anomalies": "days",
     "watchlist_digest": "60 customers",
     "top_n_share": "at most 100 rows",
+    "top_n_share_selection": "at most 100 rows",
     # totals of the range partitions of an ordered table
     "star_export_facts": "range partitions",
     "star_export_leg_facts": "range partitions",
