@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from slipstream.session import cut_lineage
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+SLICE_ROWS = 1000
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: Letters A-Z to lower case; ASCII other than letters and digits to blanks.
@@ -72,13 +73,20 @@ def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind, safe=False))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to SLICE_ROWS rows, so that few texts at once are held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
     """``df`` mapped batch by batch; ``make`` builds a task's state once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in slices(batches):
+            if (out := step(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import LETTERS, append_columns, id_and_text, letter_words, written
+from slipstream.llm.common import LETTERS, append_columns, id_and_text, letter_words, slices, written
 from slipstream.llm.suffix_automaton import ItemAutomaton, merged
 
 WINDOW = 10
@@ -131,7 +131,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.where(n_hit("__spans") <= F.col("__words") * MAX_COVERAGE)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             spans = batch.column("__spans").to_pylist()
             if any(spans):

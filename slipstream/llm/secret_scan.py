@@ -23,7 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import append_columns, id_and_text, text_bytes
+from slipstream.llm.common import append_columns, id_and_text, slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
@@ -167,7 +167,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         efficiency = Efficiency(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             new = {i: t for i, raw in enumerate(text_bytes(batch)) if (t := without_secrets(raw, efficiency)) is not None}
             if new:
                 for name in ["text", "n_chars"] if sized else ["text"]:
