@@ -55,7 +55,7 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
     if index is None:
         raise ValueError(f"{path}: no unnamed row-number column")
     as_text = ", ".join(f"`{f}` string" for f in fields)
-    body = _below_header(lines).where(F.trim("value") != "")
+    body = _below_header(lines)
     options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN}
     row = body.select("value", F.from_csv("value", f"{as_text}, `{BROKEN}` string", options).alias("r"))
     number = F.expr(f"try_cast(r.`{index}` as bigint)")
@@ -86,13 +86,16 @@ def _header(lines: DataFrame, path: str) -> list[str]:
 
 
 def _below_header(lines: DataFrame) -> DataFrame:
-    """Lines below the header of their file, by place: ids rise along a file's blocks' lines."""
+    """Lines below the header of their file, by place: ids rise along a file's blocks' lines.
+
+    A file with text but without a header line is an error; blank lines are none.
+    """
     heads = lines.where((F.col("block") == 0) & _is_header(F.col("value")))
     heads = heads.groupBy(F.col("file").alias("head_file")).agg(F.min("place").alias("head_place"))
-    below = (F.col("file") == F.col("head_file")) & (
-        (F.col("block") > 0) | (F.col("place") > F.col("head_place"))
-    )
-    return lines.join(heads, below).select("value")
+    missing = F.raise_error(F.concat(F.lit("export file without a header line: "), F.col("file"))).cast("boolean")
+    below = F.when(F.col("head_file").isNull(), missing).otherwise((F.col("block") > 0) | (F.col("place") > F.col("head_place")))
+    texts = lines.where(F.trim("value") != "")
+    return texts.join(heads, F.col("file") == F.col("head_file"), "left").where(below).select("value")
 
 
 def _check_columns(path: str, names: list[str]) -> None:

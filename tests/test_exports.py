@@ -92,3 +92,15 @@ def test_parquet_keeps_long_ids(spark, tmp_path):
         wide = wide.withColumn(c, F.date_format(F.col(f"`{c}`"), schema.EXPORT_TIME_FORMAT))
     wide.write.parquet(str(tmp_path / "x.parquet"))
     assert load_export(spark, str(tmp_path / "x.parquet"), "A").first()["match_id"] == 9007199254740993
+
+
+def test_a_file_without_a_header_is_an_error(spark, tmp_path):
+    """Part files after the first may lack the header; their rows must not vanish."""
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", NAMES, [GOOD])
+    (tmp_path / "in" / "b.csv").write_text("\n \n", encoding="utf-8")
+    assert load_export(spark, str(tmp_path / "in"), "A").count() == 1
+    (tmp_path / "in" / "c.csv").write_text(GOOD.replace("0,", "1,", 1) + "\n", encoding="utf-8")
+    for action in ("collect", "count"):
+        with pytest.raises(Exception, match="file without a header line"):
+            getattr(load_export(spark, str(tmp_path / "in"), "A"), action)()
