@@ -69,6 +69,37 @@ class Page:
                 out.add(node)
         return out
 
+    def chars(self) -> dict[int, int]:
+        """The characters at or below each path that no element's kind puts beside the article."""
+        out = dict.fromkeys(self.counts, 0)
+        for b in self.blocks:
+            if not b.aside:
+                out[b.node] += len(b.text)
+        for node, up in reversed(self.parent.items()):
+            out[up] += out[node]
+        return out
+
+    def beside(self, known: dict[int, bool]) -> set[int]:
+        """The paths that class or id words put beside the article.
+
+        A word is followed if the host's template says so (``known``), else if less than half of the
+        page's text is there; names of such words only are followed on all pages with text in an article.
+        An article ends an inherited mark unless its own words are of that kind.
+        """
+        chars = self.chars()
+        article = any(chars[n] for n in self.articles() if not hinted(self.role[n]))
+        out: set[int] = set()
+        for node, role in self.role.items():
+            hint = hinted(role)
+            if tag(role) in ARTICLE_TAGS:
+                if hint and tag(role) != "main" and self.parent[node] in out:
+                    out.add(node)
+            elif self.parent.get(node) in out:
+                out.add(node)
+            elif hint and (article and ASIDE_WORDS.issuperset(role.split(".")[1:]) or known.get(node, 2 * chars[node] < chars[ROOT])):
+                out.add(node)
+        return out
+
     def articles(self) -> set[int]:
         return {n for n, r in self.role.items() if tag(r) in ARTICLE_TAGS}
 
@@ -78,7 +109,7 @@ def tag(role: str) -> str:
 
 
 def element(name: str, rest: str, inside_article: bool) -> tuple[str, bool]:
-    """The role of an element in a path (name and class words), and whether it stands beside the article."""
+    """The role of an element in a path (name and class words), and whether its kind stands beside the article."""
     aside = name in ASIDE_TAGS or name == "header" and not inside_article
     words: list[str] = []
     if rest and "=" in rest:
@@ -88,11 +119,15 @@ def element(name: str, rest: str, inside_article: bool) -> tuple[str, bool]:
                 aside |= value in ASIDE_ROLES
             else:
                 words += [w for w in _SPLIT_NAME.split(value) if w]
-    if name not in ("html", "body", "article", "main"):
-        aside |= any(w in ASIDE_WORDS for w in words)
     return (f"{name}.{'.'.join(sorted(set(words)))}" if words else name), aside
 
 
+def hinted(role: str) -> bool:
+    """Whether a class or id word says that the element stands beside the article; only a hint, see ``Page.beside``."""
+    name, _, words = role.partition(".")
+    return name not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words.split("."))
+
+
 def read_page(page: str) -> Page:
     """The tokens of a page.
 
@@ -144,7 +179,7 @@ def read_page(page: str) -> Page:
         out.parent.setdefault(node, up)
         out.role.setdefault(node, role)
         if not m["rest"].endswith("/"):
-            stack.append((name, node, aside or aside_above, inside or name in ARTICLE_TAGS))
+            stack.append((name, node, aside or aside_above and name != "main", inside or name in ARTICLE_TAGS))
             open_names[name] = open_names.get(name, 0) + 1
     if last is None or last.end() < tags_end or _ENDED.search(last[0]):  # else a dropped element runs to the end of the page
         pending.append(page[at:])

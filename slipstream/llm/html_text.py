@@ -10,7 +10,8 @@ The tokens of a page are its elements, told apart by their path, and its blocks
 3. Text that shares the vector of the root class belongs to the template, like the tags around it.
    What is left are the slots. The main slots are found by descending from the root to the class that
    still holds nearly all slot text; slots of classes that stand beside the article (menus, notices,
-   adverts, forms, comments by element or class name) are not text of the article.
+   adverts, forms, comments by element or class name) are not text of the article. A class name is
+   only followed where less than half of the text of the pages with that class is in its slots.
 
 Pages are shuffled once, to meet their host's template; the templates are small, and a host with very many
 pages is dealt out by salt. Defined cases: null html is empty and has empty text; pages without a
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from slipstream.llm.common import map_batches, written
-from slipstream.llm.html_pages import ARTICLE_TAGS, CONTENT, ROOT, read_page, tag
+from slipstream.llm.html_pages import ARTICLE_TAGS, CONTENT, ROOT, hinted, read_page, tag
 
 LEAST_SUPPORT = 0.05
 LEAST_PAGES = 8
@@ -53,32 +54,30 @@ def _add(total: int, page: int, count: int) -> int:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: path, its parent and role, text hash (null for an element), support, vector, chars of slot text within."""
+    """Per host and token: path, its parent and role, text hash (null for an element), support, vector, chars of slot text within, and of the pages with it."""
 
     def make():
         def step(batch):
             support: dict = defaultdict(int)
             vector: dict = defaultdict(int)
             chars: dict = defaultdict(int)
+            around: dict = defaultdict(int)
             known: dict = {}
             for where, page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
                 page = read_page(html)
                 key = xxhash.xxh3_64_intdigest(f"{page_id} {url}") ^ xxhash.xxh3_64_intdigest(html)
                 counts: dict = {(node, None): n for node, n in page.counts.items()}
-                slot: dict = defaultdict(int)
+                slot = page.chars()
                 for b in page.blocks:
                     text = b.node, xxhash.xxh3_64_intdigest(b.text) >> 1
                     counts[text] = counts.get(text, 0) + 1
-                    if not b.aside:
-                        slot[b.node] += len(b.text)
-                for node, up in reversed(page.parent.items()):
-                    slot[up] += slot[node]
                 for (node, text), n in counts.items():
                     token = where, node, text
                     support[token] += 1
                     vector[token] = _add(vector[token], key, n)
                     if text is None:
                         chars[token] += slot[node]
+                        around[token] += slot[ROOT]
                         known[token] = page.parent.get(node), page.role[node]
             tokens = list(support)
             return pa.RecordBatch.from_arrays([
@@ -87,37 +86,39 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 pa.array([known.get(t, (None, None))[1] for t in tokens], pa.string()),
                 pa.array([t[2] for t in tokens], pa.int64()), pa.array([support[t] for t in tokens], pa.int64()),
                 pa.array(np.array([vector[t] for t in tokens], np.uint64).view(np.int64)),
-                pa.array([chars.get(t, 0) for t in tokens], pa.int64()),
-            ], ["host", "node", "parent", "role", "text", "support", "vector", "chars"])
+                pa.array([chars.get(t, 0) for t in tokens], pa.int64()), pa.array([around.get(t, 0) for t in tokens], pa.int64()),
+            ], ["host", "node", "parent", "role", "text", "support", "vector", "chars", "around"])
 
         return step
 
-    schema = "host string, node long, parent long, role string, text long, support long, vector long, chars long"
+    schema = "host string, node long, parent long, role string, text long, support long, vector long, chars long, around long"
     parts = map_batches(pages, make, schema)
     # sums of 64-bit hashes may wrap; decimals keep them exact under ANSI rules
     wide = F.sum(F.col("vector").cast("decimal(20,0)")) % F.lit(1 << 62).cast("decimal(20,0)")
     return parts.groupBy("host", "node", "text").agg(
         F.max("parent").alias("parent"), F.max("role").alias("role"), F.sum("support").alias("support"),
-        wide.cast("long").alias("vector"), F.sum("chars").alias("chars"),
+        wide.cast("long").alias("vector"), F.sum("chars").alias("chars"), F.sum("around").alias("around"),
     )
 
 
 def templates(vectors: DataFrame) -> DataFrame:
-    """Per host: the path of the main class, and the template's text (path, hash)."""
+    """Per host: the path of the main class, which paths with telling words stand beside the article, and the template's text (path, hash)."""
     root = vectors.where((F.col("node") == ROOT) & F.col("text").isNull())
     size = root.select("host", F.col("support").alias("pages"), F.col("vector").alias("root"))
     tokens = vectors.join(size, "host")
     elements = tokens.where(F.col("text").isNull() & (F.col("support") >= F.col("pages") * LEAST_SUPPORT))
-    elements = elements.select("host", F.struct("node", "parent", "role", "vector", "support", "chars").alias("element"))
+    elements = elements.select("host", F.struct("node", "parent", "role", "vector", "support", "chars", "around").alias("element"))
     shared = tokens.where(F.col("text").isNotNull() & (F.col("pages") >= LEAST_PAGES))
     shared = shared.where("support = pages and vector = root").select("host", "node", "text")
     texts = shared.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
 
     def deduce(t: pa.Table) -> pa.Table:
-        main = main_class(t["element"].to_pylist())
-        return pa.table({"host": t["host"].slice(0, 1), "main": pa.array([main], pa.int64())})
+        rows = t["element"].to_pylist()
+        hints = [{"node": e["node"], "beside": 2 * e["chars"] < e["around"]} for e in rows if hinted(e["role"])]
+        kind = pa.list_(pa.struct([("node", pa.int64()), ("beside", pa.bool_())]))
+        return pa.table({"host": t["host"].slice(0, 1), "main": pa.array([main_class(rows)], pa.int64()), "hints": pa.array([hints], kind)})
 
-    main = elements.groupBy("host").applyInArrow(deduce, "host string, main long")
+    main = elements.groupBy("host").applyInArrow(deduce, "host string, main long, hints array<struct<node:long,beside:boolean>>")
     return main.join(texts, "host", "left")
 
 
@@ -159,7 +160,7 @@ def main_class(elements: list[dict]) -> int:
         here = best
 
 
-def slot_text(html: str, main: int, texts: set) -> str:
+def slot_text(html: str, main: int, hints: dict, texts: set) -> str:
     """The article's blocks in page order, joined by one space."""
     page = read_page(html)
     articles = page.articles()
@@ -168,10 +169,10 @@ def slot_text(html: str, main: int, texts: set) -> str:
         tops = articles or {ROOT}
     else:
         tops = {main}
-    slots, inside = page.within(tops), page.within(articles)
+    slots, inside, beside = page.within(tops), page.within(articles), page.beside(hints)
     kept = []
     for b in page.blocks:
-        if b.aside or b.node not in slots:
+        if b.aside or b.node in beside or b.node not in slots:
             continue
         if b.node not in inside and texts and (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) in texts:
             continue
@@ -185,14 +186,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     template = written(templates(written(token_vectors(rows))))
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "main", "texts")
+    rows = rows.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "main", "hints", "texts")
 
     def make():
         def step(batch):
             out = []
-            for page, main, texts in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "texts"))):
+            for page, main, hints, texts in zip(*(batch.column(c).to_pylist() for c in ("html", "main", "hints", "texts"))):
                 known = {(t["node"], t["text"]) for t in texts or ()}
-                out.append(slot_text(page, ROOT if main is None else main, known))
+                beside = {h["node"]: h["beside"] for h in hints or ()}
+                out.append(slot_text(page, ROOT if main is None else main, beside, known))
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 

@@ -75,3 +75,17 @@ def test_blocks_follow_the_page():
 def test_long_broken_pages_take_linear_time():
     for page in ("<div " * 100_000, "<div>" * 20_000 + "x", "<a href=\"" * 50_000 + ">", "<p>x" * 50_000, "</div>" * 50_000 + "y"):
         assert len(read_page(page).blocks) <= 50_000
+
+
+def test_a_telling_word_on_the_wrapper_of_the_text_loses_nothing(spark):
+    """Many pages, a minority layout and single pages; small boxes of the same names still go."""
+    kinds = ["content has-sidebar", "header-fixed", "search-page widget", "content"]
+    page = "<body><div class='{0}'>{1}<div class=related>See {2}</div></div><div class='sidebar'>Top {2}</div></body>"
+    words = [f"Page {k} has a text of its own that is long enough, {k * k}." for k in range(24)]
+    wide = [(k, "http://wide.example/", page.format(kinds[k % 4], f"<article><p>{words[k]}</p></article>", k)) for k in range(12)]
+    plain = [(k, "http://plain.example/", page.format(kinds[1 if k == 12 else 3], f"<p>{words[k]}</p>", k)) for k in range(12, 23)]
+    single = [(23, "http://single.example/", page.format(kinds[0], f"<p>{words[23]}</p>", 1))]
+    got = texts(spark, wide + plain + single)
+    assert {k: got[k][0] for k in got} == dict(enumerate(words))
+    form = "<body><form><main class='content search'><p>Long text of the page.</p></main></form></body>"
+    assert texts(spark, [(1, "http://form.example/", form)])[1][0] == "Long text of the page."
