@@ -8,10 +8,12 @@ The tokens of a page are its elements, told apart by their path, and its blocks
 2. Classes with element tokens on at least LEAST_SUPPORT of the host's pages are valid. They are
    nested by path into the template of the host: a tree whose root class is on every page.
 3. Text that shares the vector of the root class belongs to the template, like the tags around it.
-   What is left are the slots. The main slots are found by descending from the root to the class that
-   still holds nearly all slot text; slots of classes that stand beside the article (menus, notices,
-   adverts, forms, comments by element or class name) are not text of the article. A class name is
-   only followed where less than half of the text of the pages with that class is in its slots.
+   What is left are the slots.
+4. All slots of a page are its text, whichever class they are in, but those of classes that stand
+   beside the article (menus, notices, adverts, forms, comments by element or class name). A class
+   name is only followed where less than half of the text of the pages with that class is in its slots.
+5. A page with nothing but template text, such as a copy, has the text of the host's main class, found
+   by descending from the root to the class that still holds nearly all slot text.
 
 Pages are shuffled once, to meet their host's template; the templates are small, and a host with very many
 pages is dealt out by salt. Defined cases: null html is empty and has empty text; pages without a
@@ -161,23 +163,15 @@ def main_class(elements: list[dict]) -> int:
 
 
 def slot_text(html: str, main: int, hints: dict, texts: set) -> str:
-    """The article's blocks in page order, joined by one space."""
+    """The blocks of all slots in page order, joined by one space."""
     page = read_page(html)
-    articles = page.articles()
-    if main not in page.counts:
-        # a page that lacks the host's main class: its own articles, or all that is not beside them
-        tops = articles or {ROOT}
-    else:
-        tops = {main}
-    slots, inside, beside = page.within(tops), page.within(articles), page.beside(hints)
-    kept = []
-    for b in page.blocks:
-        if b.aside or b.node in beside or b.node not in slots:
-            continue
-        if b.node not in inside and texts and (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) in texts:
-            continue
-        kept.append(b.text)
-    return " ".join(kept)
+    beside = page.beside(hints)
+    blocks = [b for b in page.blocks if not b.aside and b.node not in beside]
+    kept = [b for b in blocks if (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) not in texts]
+    if not kept:  # all of it is on many pages
+        slots = page.within({main} if main in page.counts else page.articles())
+        kept = [b for b in blocks if b.node in slots]
+    return " ".join(b.text for b in kept)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

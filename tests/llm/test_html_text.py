@@ -89,3 +89,16 @@ def test_a_telling_word_on_the_wrapper_of_the_text_loses_nothing(spark):
     assert {k: got[k][0] for k in got} == dict(enumerate(words))
     form = "<body><form><main class='content search'><p>Long text of the page.</p></main></form></body>"
     assert texts(spark, [(1, "http://form.example/", form)])[1][0] == "Long text of the page."
+
+
+def test_all_slots_of_a_page_are_kept(spark):
+    """Several articles with classes of their own, text beside them, and pages with their text in a sibling of main."""
+    two = "<body><div class=lead>Lead {0}.</div><article class='part-a'>First part {0}.</article><article class='part-b'>Second {0}.</article><div class=end>End {0}.</div></body>"
+    main = "<body><main><h1>Title {0}</h1><p>A long text of page {0} in main.</p></main></body>"
+    apart = "<body><main><h1>Title {0}</h1></main><div class=body><p>A long text of page {0} beside main.</p></div></body>"
+    pages = [(k, "http://two.example/", two.format(k)) for k in range(10)]
+    pages += [(k, "http://main.example/", (apart if k > 27 else main).format(k)) for k in range(10, 30)]
+    got = texts(spark, pages)
+    for k in range(30):
+        want = f"Lead {k}. First part {k}. Second {k}. End {k}." if k < 10 else f"Title {k} A long text of page {k} {'beside' if k > 27 else 'in'} main."
+        assert got[k][0] == want
