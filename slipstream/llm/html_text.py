@@ -7,8 +7,8 @@ The tokens of a page are its elements, told apart by their path, and its blocks
    list is ever gathered. Tokens with equal vectors form an equivalence class.
 2. Classes with element tokens on at least LEAST_SUPPORT of the host's pages are valid. They are
    nested by path into the template of the host: a tree whose root class is on every page.
-3. Text that shares the vector of the root class belongs to the template, like the tags around it.
-   What is left are the slots.
+3. Text in any valid class, not only the root's, belongs to the template, like the tags around it.
+   What is left are the slots. Empty pages are not counted.
 4. All slots of a page are its text, whichever class they are in, but those of classes that stand
    beside the article (menus, notices, adverts, forms, comments by element or class name). A class
    name is only followed where less than half of the text of the pages with that class is in its slots.
@@ -39,6 +39,9 @@ LEAST_PAGES = 8
 MOST_OF_TEXT, ARTICLE_SHARE = 0.8, 0.3
 SALTS = 16
 
+_HINTS = pa.list_(pa.struct([("node", pa.int64()), ("beside", pa.bool_())]))
+_TEXTS = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.int64())]))
+
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -67,6 +70,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             known: dict = {}
             for where, page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html"))):
                 page = read_page(html)
+                if not page.parent and not page.blocks:
+                    continue  # an empty page says nothing about the template
                 key = xxhash.xxh3_64_intdigest(f"{page_id} {url}") ^ xxhash.xxh3_64_intdigest(html)
                 counts: dict = {(node, None): n for node, n in page.counts.items()}
                 slot = page.chars()
@@ -106,22 +111,26 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 def templates(vectors: DataFrame) -> DataFrame:
     """Per host: the path of the main class, which paths with telling words stand beside the article, and the template's text (path, hash)."""
     root = vectors.where((F.col("node") == ROOT) & F.col("text").isNull())
-    size = root.select("host", F.col("support").alias("pages"), F.col("vector").alias("root"))
-    tokens = vectors.join(size, "host")
-    elements = tokens.where(F.col("text").isNull() & (F.col("support") >= F.col("pages") * LEAST_SUPPORT))
-    elements = elements.select("host", F.struct("node", "parent", "role", "vector", "support", "chars", "around").alias("element"))
-    shared = tokens.where(F.col("text").isNotNull() & (F.col("pages") >= LEAST_PAGES))
-    shared = shared.where("support = pages and vector = root").select("host", "node", "text")
-    texts = shared.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
+    tokens = vectors.join(root.select("host", F.col("support").alias("pages")), "host")
+    valid = F.col("support") >= F.col("pages") * LEAST_SUPPORT
+    tokens = tokens.where(valid & (F.col("text").isNull() | (F.col("support") >= LEAST_PAGES)))
+    tokens = tokens.select("host", F.struct("node", "parent", "role", "text", "vector", "support", "chars", "around").alias("token"))
 
     def deduce(t: pa.Table) -> pa.Table:
-        rows = t["element"].to_pylist()
-        hints = [{"node": e["node"], "beside": 2 * e["chars"] < e["around"]} for e in rows if hinted(e["role"])]
-        kind = pa.list_(pa.struct([("node", pa.int64()), ("beside", pa.bool_())]))
-        return pa.table({"host": t["host"].slice(0, 1), "main": pa.array([main_class(rows)], pa.int64()), "hints": pa.array([hints], kind)})
+        rows = t["token"].to_pylist()
+        elements = [e for e in rows if e["text"] is None]
+        hints = [{"node": e["node"], "beside": 2 * e["chars"] < e["around"]} for e in elements if hinted(e["role"])]
+        columns = {"main": (main_class(elements), pa.int64()), "hints": (hints, _HINTS), "texts": (template_text(rows), _TEXTS)}
+        return pa.table({"host": t["host"].slice(0, 1), **{name: pa.array([x], kind) for name, (x, kind) in columns.items()}})
+
+    schema = "host string, main long, hints array<struct<node:long,beside:boolean>>, texts array<struct<node:long,text:long>>"
+    return tokens.groupBy("host").applyInArrow(deduce, schema)
+
 
-    main = elements.groupBy("host").applyInArrow(deduce, "host string, main long, hints array<struct<node:long,beside:boolean>>")
-    return main.join(texts, "host", "left")
+def template_text(tokens: list[dict]) -> list[dict]:
+    """The text tokens in a class with elements: they occur as often as these in each page."""
+    classes = {(e["vector"], e["support"]) for e in tokens if e["text"] is None}
+    return [{"node": t["node"], "text": t["text"]} for t in tokens if t["text"] is not None and (t["vector"], t["support"]) in classes]
 
 
 def main_class(elements: list[dict]) -> int:

@@ -102,3 +102,16 @@ def test_all_slots_of_a_page_are_kept(spark):
     for k in range(30):
         want = f"Lead {k}. First part {k}. Second {k}. End {k}." if k < 10 else f"Title {k} A long text of page {k} {'beside' if k > 27 else 'in'} main."
         assert got[k][0] == want
+
+
+def test_template_text_of_a_host_with_empty_and_odd_pages(spark):
+    """No telling names: classes of parts of the pages are template as well, and in an article too."""
+    menu = "<div class='x1'><ul><li>Home<li>Offers</ul></div>"
+    page = "<body>{menu}<article class=z><h1>Item {k}</h1><p>Text {k} of its own.</p><div class=x4>Call us now.</div></article><div class=x5>Terms apply.</div></body>"
+    pages = [(k, "http://odd.example/", page.format(k=k, menu=menu if k % 5 else "")) for k in range(40)]
+    pages += [(k, "http://odd.example/", "" if k % 2 else None) for k in range(40, 80)] + [(80, "http://odd.example/", "<div class=q>Broken")]
+    pages += [(k, "http://part.example/", f"<body><div class=p>Text {k}</div>{'<div class=x7>Old site.</div>' if k < 10 else ''}</body>") for k in range(100, 140)]
+    pages += [(k, "http://part.example/", f"<body><div class=p>Text {k}</div><div class=x7>Old site.</div></body>") for k in range(140, 149)]
+    got = texts(spark, pages)
+    assert all(got[k][0] == f"Item {k} Text {k} of its own." for k in range(40)) and got[80][0] == "Broken"
+    assert all(got[k][0] == "" for k in range(40, 80)) and all(got[k][0] == f"Text {k}" for k in range(100, 149))
