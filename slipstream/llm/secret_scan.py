@@ -2,8 +2,10 @@
 
 A byte-pair vocabulary packs natural strings into few tokens and random ones into many. Long runs of
 key characters with at most MAX_CHARS_PER_TOKEN characters a token are spans of the kind ``random``,
-unless they overlap a base span or are known digests, UUIDs, numbers, paths or identifiers made of
-words. Base spans always stay.
+unless they overlap a base span or are known digests (of a digest's length, with a word for it before
+them), UUIDs, numbers, or paths or identifiers whose words encode efficiently. If a whole run is none,
+the stretches of it between words are tested, so that a path before a key does not hide it. Base spans
+always stay.
 
 The vocabulary file is a parameter; the driver reads it and sends it to the tasks (its size is
 checked). Texts are scanned whole, where they are read; nothing is shuffled. Defined cases: null and
@@ -41,8 +43,13 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _STEMS = (b"passw", b"secret", b"token", b"api")
 _DIGEST = re.compile(r"(?:sha\d+[-:=]|md5[-:=])?(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+_DIGEST_CHARS = frozenset((32, 40, 48, 56, 64, 96, 128))
+_DIGEST_WORD = re.compile(r"sha|md5|digest|checksum|hash|commit|blake|etag|integrity|fingerprint", re.I)
+CONTEXT_CHARS = 32
+_PARTS = re.compile(r"[^-_/+=]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=.]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*")
-_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+[0-9]*")
+_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)+[0-9]*")
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -89,11 +96,51 @@ class Efficiency:
     def __init__(self, vocabulary: bytes):
         self.vocabulary, self.encoding = vocabulary, None
 
-    def ratio(self, s: str) -> float:
+    def tokens(self, s: str) -> int:
         if self.encoding is None:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.vocabulary.splitlines())}
             self.encoding = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return len(s) / len(self.encoding.encode_ordinary(s))
+        return len(self.encoding.encode_ordinary(s))
+
+    def ratio(self, s: str) -> float:
+        return len(s) / self.tokens(s)
+
+
+def is_natural(s: str, before: str, efficiency: Efficiency) -> bool:
+    """Whether a known form is what it looks like: a digest by its length and context, a name by its words."""
+    if _UUID.fullmatch(s) or not re.search("[A-Za-z]", s) and is_known(s):
+        return True
+    if _DIGEST.fullmatch(s) and re.search("[0-9]", s):
+        hexed = re.split("[-:=]", s)[-1]
+        return len(hexed) in _DIGEST_CHARS and bool(_DIGEST_WORD.search(before + s[: len(s) - len(hexed)]))
+    if not (_WORDS.fullmatch(s) or _CAMEL.fullmatch(s)):
+        return False
+    words = _NAME.findall(s)
+    tokens = [efficiency.tokens(w) for w in words]
+    return max(tokens) == 1 or sum(map(len, words)) > MAX_CHARS_PER_TOKEN * sum(tokens)
+
+
+def random_stretches(s: str, before: str, efficiency: Efficiency) -> list[tuple[int, int]]:
+    """The whole run if it is a random string, else its random stretches between words."""
+    if efficiency.ratio(s) <= MAX_CHARS_PER_TOKEN and not is_natural(s, before, efficiency):
+        return [(0, len(s))]
+    known = [m.span() for m in _UUID.finditer(s)]
+    out, group = [], []
+    for m in [*_PARTS.finditer(s), None]:
+        if m is not None:
+            a, b = m.span()
+            small = b - a < 4 or m[0].isdigit()  # joins its neighbours, but is no random string by itself
+            odd = not small and not is_natural(m[0], (before + s[:a])[-CONTEXT_CHARS:], efficiency)
+            odd = odd and efficiency.ratio(m[0]) <= MAX_CHARS_PER_TOKEN and not any(lo < b and a < hi for lo, hi in known)
+            if odd or small and group:
+                group.append((a, b, odd))
+                continue
+        while group and not group[-1][2]:
+            group.pop()
+        if group and group[-1][1] - group[0][0] >= CANDIDATE_CHARS and efficiency.ratio(s[group[0][0] : group[-1][1]]) <= MAX_CHARS_PER_TOKEN:
+            out.append((group[0][0], group[-1][1]))
+        group = []
+    return out
 
 
 def secret_spans(raw: bytes, efficiency: Efficiency) -> list[tuple[int, int, int]]:
@@ -102,12 +149,11 @@ def secret_spans(raw: bytes, efficiency: Efficiency) -> list[tuple[int, int, int
     found = base_spans(text, raw)
     base = found[:]
     for a, b in runs(np.frombuffer(raw, np.uint8), _IS_KEY, CANDIDATE_CHARS):
-        s = raw[a:b].decode()
-        if is_known(s) or efficiency.ratio(s) > MAX_CHARS_PER_TOKEN:
-            continue
+        before = raw[max(0, a - CONTEXT_CHARS) : a].decode(errors="ignore")
         start = a if len(text) == len(raw) else len(raw[:a].decode())
-        if not any(lo < start + len(s) and start < hi for lo, _, hi in base):
-            found.append((start, 3, start + len(s)))
+        for lo, hi in random_stretches(raw[a:b].decode(), before, efficiency):
+            if not any(x < start + hi and start + lo < y for x, _, y in base):
+                found.append((start + lo, 3, start + hi))
     return sorted(found)
 
 

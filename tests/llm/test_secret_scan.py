@@ -1,6 +1,9 @@
+import random
+import string
+
 import brute
 
-from slipstream.llm.secret_scan import PLACEHOLDER, Efficiency, is_known, read_vocabulary, redact_secrets, secrets, VOCABULARY
+from slipstream.llm.secret_scan import PLACEHOLDER, Efficiency, is_known, read_vocabulary, redact_secrets, secret_spans, secrets, VOCABULARY
 
 KEY = "xK9vQ2mZr8TbW4nLp7JcYd3HsGf6Au1E"
 TEXTS = [
@@ -41,3 +44,22 @@ def test_the_stage_replaces_spans_and_keeps_the_rest(docs_of, odd_docs, no_docs)
     clean = "doc_id is null or doc_id <> 11"  # thirty thousand times the letter a is a hex run
     assert sorted(map(str, again.where(clean).collect())) == sorted(map(str, odd_docs.where(clean).collect()))
     assert redact_secrets(no_docs).count() == 0 and secrets(no_docs).count() == 0
+
+
+def test_random_strings_of_one_case_hex_and_behind_paths():
+    e = Efficiency(read_vocabulary(VOCABULARY))
+    g = random.Random(1)
+    found = lambda text: [(a, b) for a, k, b in secret_spans(text.encode(), e) if k == 3]
+    for chars in (string.ascii_lowercase, string.ascii_uppercase, "0123456789ABCDEF", "0123456789abcdef"):
+        keys = ["".join(g.choices(chars, k=24)) for _ in range(300)]
+        assert sum(found(f"see {key} there") == [(4, 28)] for key in keys) >= 285
+    for path in ("/account/settings/download/", "/download/2024/archive/documents/customers/"):
+        keys = ["".join(g.choices(string.ascii_letters + string.digits, k=24)) for _ in range(300)]
+        spans = [found(path + key) for key in keys]
+        assert sum(bool(s) and s[-1][1] == len(path) + 24 for s in spans) >= 290
+    assert found("key XKQZ-7291-PLMR-8834-TZWQ here") == [(4, 28)]
+    upper = "D41D8CD98F00B204E9800998ECF8427E"
+    assert found(f"md5 {upper}") == [] and found(f"use {upper}") == [(4, 36)]
+    for text in ("configuration-management-interface", "someVeryLongIdentifierName", "a_long_snake_case_name", "20240101120000000000",
+                 "/account/settings/download/123e4567-e89b-12d3-a456-426614174000", "-" * 60, "=" * 30 + "_" * 30):
+        assert found(text) == [], text
