@@ -1,6 +1,6 @@
 import pytest
 
-from slipstream.llm.license_scan import Templates, licenses
+from slipstream.llm.license_scan import Templates, licenses, notices
 from slipstream.llm.license_templates import TEMPLATES
 
 PROSE = "The weather was fine and we walked along the river until it was dark."
@@ -49,3 +49,28 @@ def test_all_notices_of_the_documents_are_found(documents):
     cues = ("Licensed under", "Released under", "is licensed under")
     want = {r.doc_id for r in documents.collect() if any(c in r.text for c in cues)}
     assert {r.doc_id for r in licenses(documents).where("n_notices > 0").collect()} == want
+
+
+def test_notices_that_share_their_line_with_other_text(templates):
+    mit, note = TEMPLATES["MIT"][0], "Released under the MIT License."
+    gpl = "This work is licensed under the GNU General Public License, version 2."
+    for text, want in (
+        (f"{note} See the file COPYING in the source tree for details.", [("MIT", note)]),
+        (f"Copyright 2020 Acme Inc. {note}", [("MIT", note)]),
+        (f"{PROSE} {note} {PROSE} {gpl} {PROSE}", [("MIT", note), ("GPL-2.0", gpl)]),
+        (f"{PROSE} {mit} {PROSE}", [("MIT", mit)]),
+        (f"{PROSE} Released under\nthe MIT License. {PROSE}", [("MIT", "Released under\nthe MIT License.")]),
+        (f"{gpl}\nÉté {note} {PROSE}", [("GPL-2.0", gpl), ("MIT", note)]),
+    ):
+        raw = text.encode()
+        assert [(f[2], raw[f[0] : f[1]].decode()) for f in notices(raw, templates)] == want
+
+
+def test_prose_with_cues_and_other_licences_give_no_inner_notice(templates):
+    for text in (
+        f"{PROSE} Licensed under the Apache License, Version 3.0. {PROSE}",
+        f"{PROSE} It was released under the BSD License. {PROSE}",
+        f"{PROSE} She was granted permission to use and copy the license, and the copyright notice was lost. {PROSE}",
+        f"{PROSE} This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License. {PROSE}",
+    ):
+        assert notices(text.encode(), templates) == []
