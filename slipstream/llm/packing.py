@@ -2,8 +2,9 @@
 
 Several sequence lengths are permitted, each with a cost. Pieces are taken from the longest down. A
 piece goes into the open bin with the least room that holds it, whatever the bin's length; if none
-does, the bin opened is the one with the least cost per token it can still be filled with. At the
-end each bin shrinks to the shortest permitted length that holds its contents.
+does, the bin opened is the one with the least cost per token it can still be filled with. While a
+shard has as many tokens left as the longest length, that is the longest, whatever the piece: the choice
+of a length takes part only at a shard's end. At the end each bin shrinks to the shortest permitted length that holds its contents.
 
 Lengths are token counts under a byte-pair vocabulary. Documents longer than the longest sequence
 are cut into pieces of that length and a rest, so no token is dropped. Pieces are dealt evenly into
