@@ -1,8 +1,8 @@
 """Toxicity scores by a bidirectional gated recurrent network over all overlapping windows.
 
 The network (``gru.py``) is trained in numpy on a bounded sample: at most TRAINING_ROWS labelled
-documents, those with the smallest hashes of their ids, out of the ids that are not held out, and at
-most TRAINING_WINDOWS windows of each. Scoring reads whole texts: windows of WINDOW words start every
+documents, those with the smallest hashes of their ids, out of the ids that are not held out, one text
+of each id, and at most TRAINING_WINDOWS windows of each. Scoring reads whole texts: windows of WINDOW words start every
 STRIDE words, and a document scores as its highest window.
 
 Labels, language, source and id are never inputs. Defined cases: null, empty or wordless texts score
@@ -42,7 +42,10 @@ def training_windows(docs: DataFrame, labels: DataFrame) -> list[tuple[int, floa
     usable = usable.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("double").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id")
+    rows = id_and_text(docs).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")
+    # of the texts of a repeated id the one with the least hash; reduced in each task before it is dealt out
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    rows = rows.groupBy("doc_id", "toxic").agg(one.alias("one")).select("doc_id", "toxic", "one.text")
 
     def make():
         def step(batch):

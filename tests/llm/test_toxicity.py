@@ -89,3 +89,13 @@ def test_the_stage_drops_what_scores_high_and_keeps_columns(spark, odd_docs, lab
     scores = score_texts(small_network(), [(r.text or "").encode() for r in odd_docs.collect()])
     kept = drop_toxic(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == (scores < 0.5).sum()
+
+
+def test_a_repeated_id_gives_one_text_to_the_sample(spark):
+    """However often an id is repeated, its rows do not all go to the driver."""
+    kept = next(i for i in range(100) if zlib.crc32(str(i).encode()) % toxicity.FOLDS)
+    rows = [(kept, f"text number {'abc'[k % 3]} of one document") for k in range(300)] + [(kept, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(kept, 1)] * 3, "doc_id long, toxic int")
+    got = toxicity.training_windows(docs, labels)
+    assert len(got) == 1 and got == toxicity.training_windows(docs.orderBy("text").repartition(5), labels)
