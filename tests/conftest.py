@@ -4,28 +4,19 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from leg_rows import DEFAULTS  # noqa: E402
+
 from slipstream.operators.normalize import normalize  # noqa: E402
 from slipstream.operators.reconcile import row_identity  # noqa: E402
 from slipstream.operators.rollup import attribute_legs, build_slips  # noqa: E402
 from slipstream.schema import LEG_SCHEMA  # noqa: E402
 from slipstream.session import local_session  # noqa: E402
 
-KICKOFF = datetime(2026, 6, 15, 18)
-NOON = datetime(2026, 6, 15, 12)
-DEFAULTS = dict(
-    sport="Football", competition="Test Cup", match_id=100, match="Alpha - Beta", event_ts=KICKOFF,
-    market_raw="Anytime goalscorer (Star Substitute)", bet_type="SIMPLE",
-    player_raw="Goleador durante el partido (Suplente Estrella)", option_raw="Test Player",
-    betslip_ts=NOON, uid="12345", unit="UNIT NORTH", price=3.5, stake=10.0, ggr=10.0, net_revenue=0.8,
-    currency_raw="EUR", source="A",
-)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -58,7 +49,3 @@ def rolled(norm):
         return slips, attribute_legs(legs, slips).cache()
 
     return build
-
-
-def column(df, name: str, order: str = "row_id") -> list:
-    return [r[name] for r in df.orderBy(order).select(name, order).collect()]

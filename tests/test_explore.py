@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import KICKOFF, NOON
+from leg_rows import KICKOFF, NOON
 from pyspark.sql import functions as F
 
 from slipstream.operators import concentration, facts, filters, findings, fixtures, series, star_export

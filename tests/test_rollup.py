@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import KICKOFF, NOON, column
+from leg_rows import KICKOFF, NOON, column
 from pyspark.sql import functions as F
 
 from slipstream import config
