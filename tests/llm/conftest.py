@@ -6,10 +6,11 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(__file__))
 
+from doc_rows import make_docs  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 SENTENCE = "the quick brown fox jumps over the lazy dog and runs far away from all the noise of the town "
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(40_000))
@@ -36,16 +37,6 @@ def labels(spark):
     return spark.read.parquet(f"{SF_DIR}/labels.parquet")
 
 
-def make_docs(spark, rows, extra=()):
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
-         T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
-        + [T.StructField(c, T.StringType()) for c in extra]
-    )
-    full = [(i, t, "en", "src0", None if t is None else len(t), *("x" for _ in extra)) for i, t in rows]
-    return spark.createDataFrame(full, schema)
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """All awkward rows, with extra columns whose names the operators use inside."""

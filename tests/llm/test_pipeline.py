@@ -4,7 +4,7 @@ import brute
 import pytest
 
 import corpus_pipeline
-from conftest import make_docs
+from doc_rows import make_docs
 from slipstream.llm import decontaminate, near_dedup, packing, secret_scan, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
