@@ -45,4 +45,48 @@ select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id
 from d left join n using (doc_id) join least using (doc_id)
 """
 
-ORACLES = {"op2_suffix_automaton": OP2, "op4_super_minhash": OP4}
+_CRC_TABLE = "list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+
+OP11 = f"""
+with recursive crc as materialized (select {_CRC_TABLE} as t),
+d as (
+  select row_number() over () as r, doc_id, lang, text, n_chars,
+    case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint)),
+      lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1]))) % 7 = 0, false) as tampered
+  from documents, crc),
+leaf as (
+  select r, doc_id, lang, tampered, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as h,
+    sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) as h2 from d),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by lang) as n from leaf),
+tree as (
+  select lang, 0 as level, pos, h, n from placed
+  union all
+  select lang, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from tree where n > 1 group by lang, level, pos // 2),
+sub as (select lang, level, h, row_number() over (order by lang nulls first) - 1 as g, count(*) over () as gs from tree where n = 1),
+top as (
+  select 0 as level, g as pos, h, gs as n from sub
+  union all
+  select level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from top where n > 1 group by level, pos // 2),
+height as (select max(level) as levels, max_by(h, level) as root from top),
+way as (
+  select p.r, t.level, (p.pos >> t.level) % 2 as side, s.h
+  from placed p join tree t on t.lang is not distinct from p.lang and t.pos = p.pos >> t.level and t.n > 1
+    left join tree s on s.lang is not distinct from p.lang and s.level = t.level and s.pos = xor(t.pos, 1)
+  union all
+  select p.r, 1000 + t.level, (u.g >> t.level) % 2, s.h
+  from placed p join sub u on u.lang is not distinct from p.lang join top t on t.pos = u.g >> t.level and t.n > 1
+    left join top s on s.level = t.level and s.pos = xor(t.pos, 1)),
+list as (
+  select r, list(struct_pack(side, h := coalesce(h, '')) order by level) as steps, string_agg(h, '' order by level) as proof from way group by r),
+folded as (
+  select r, 0 as k, case when tampered then h2 else h end as h, coalesce(steps, []) as steps, proof from placed left join list using (r)
+  union all
+  select r, k + 1, sha256(case when steps[k + 1].side = 1 then steps[k + 1].h || h else h || steps[k + 1].h end), steps, proof from folded where k < len(steps))
+select doc_id, p.h as leaf, u.h as subroot, root, sha256(coalesce(proof, '')) as proof_sha256, f.h as folded_root, f.h = root as verified
+from placed p join folded f on f.r = p.r and f.k = len(f.steps) join sub u on u.lang is not distinct from p.lang, height
+"""
+
+ORACLES = {"op2_suffix_automaton": OP2, "op4_super_minhash": OP4, "op11_bitmap_rank_manifest": OP11}

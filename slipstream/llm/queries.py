@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, near_dedup, packing, quality, repeats, secret_scan, toxicity
+from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, manifest, near_dedup, packing, quality, repeats, secret_scan, toxicity
 from slipstream.llm.common import table
 from slipstream.llm.oracles import ORACLES
 
@@ -51,6 +51,10 @@ def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_bitmap_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_difference": op1_entropy_difference,
     "op2_suffix_automaton": op2_suffix_automaton,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_efficiency": op8_token_efficiency,
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_variable_best_fit": op10_variable_best_fit,
+    "op11_bitmap_rank_manifest": op11_bitmap_rank_manifest,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
