@@ -89,4 +89,21 @@ select doc_id, p.h as leaf, u.h as subroot, root, sha256(coalesce(proof, '')) as
 from placed p join folded f on f.r = p.r and f.k = len(f.steps) join sub u on u.lang is not distinct from p.lang, height
 """
 
-ORACLES = {"op2_suffix_automaton": OP2, "op4_super_minhash": OP4, "op11_bitmap_rank_manifest": OP11}
+_TERMS = _words(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+OP13 = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS} as ws from documents),
+whole as (select count(*)::hugeint as n, sum(len(ws))::hugeint as l from d where len(ws) > 0),
+m as (select r, doc_id, ws, 75 + (25 * len(ws) * n) // l as m from d, whole where len(ws) > 0),
+tf as (select r, term, count(*) as tf from (select r, unnest(ws) as term from m) group by r, term),
+w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, whole group by term, n),
+q as (select distinct item_id, text from benchmark),
+i as (select item_id, text, unnest({_TERMS}) as term from q),
+s as (
+  select i.item_id, i.text, r, m.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from i join w using (term) join tf using (term) join m using (r) group by all),
+p as (select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as place from s where score > 0)
+select item_id, place::int as rank, doc_id, score from p where place <= 20
+"""
+
+ORACLES = {"op2_suffix_automaton": OP2, "op4_super_minhash": OP4, "op11_bitmap_rank_manifest": OP11, "op13_length_strata_search": OP13}
