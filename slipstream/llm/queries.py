@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, manifest, near_dedup, packing, quality, repeats, search, secret_scan, toxicity
+from slipstream.llm import decontaminate, html_text, license_scan, lm_scoring, manifest, near_dedup, packing, quality, quality_classifier, repeats, search, secret_scan, toxicity
 from slipstream.llm.common import table
 from slipstream.llm.oracles import ORACLES
 
@@ -55,6 +55,10 @@ def op11_bitmap_rank_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_length_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_recurrent_toxicity": op9_recurrent_toxicity,
     "op10_variable_best_fit": op10_variable_best_fit,
     "op11_bitmap_rank_manifest": op11_bitmap_rank_manifest,
+    "op12_attention_quality": op12_attention_quality,
     "op13_length_strata_search": op13_length_strata_search,
 }
 
