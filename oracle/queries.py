@@ -143,6 +143,15 @@ SOURCES = {
         {d('sum(cast(stake as decimal(18,6)))', 'stake')}, {d('sum(cast(ggr as decimal(18,6)))', 'ggr')},
         {ts('min(betslip_ts)', 'first_bet')}, {n('max(src_row)', 'last_row')}
       from bound group by competition, bet_type, currency_raw""",
+    "load_export_text": f"""{BOUND}, spelled as (select *, option_raw || case when src_row % 3 = 0 then '|"second" line, x'
+          when src_row % 7 = 0 then ' ""' else '' end as opt from bound)
+      select 'A' as source, competition, bet_type, currency_raw, count(*) as legs,
+        count(event_ts) as with_kickoff, count(distinct match_id) as match_ids,
+        {d('sum(cast(stake as decimal(18,6)))', 'stake')}, {d('sum(cast(ggr as decimal(18,6)))', 'ggr')},
+        {ts('min(betslip_ts)', 'first_bet')}, {n('max(src_row)', 'last_row')},
+        {n('sum(length(opt))', 'option_chars')}, max(opt) as last_option,
+        count(*) filter (where src_row % 3 = 0 and option_raw is not null) as broken_options
+      from spelled group by competition, bet_type, currency_raw""",
     "typed_legs": f"""{BOUND} select {TEXT_LEG}, {ts('event_ts', 'event_ts')}, {ts('betslip_ts', 'betslip_ts')},
         {ds('price', 'stake', 'ggr', 'net_revenue')}, 'A' as source, {n('src_row', 'source_row')} from bound""",
     "write_slips_legs": f"""{ROLL} select 'slips' as name, {day('betslip_ts', 'betslip_date')}, count(*) as rows,

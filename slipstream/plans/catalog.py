@@ -200,7 +200,36 @@ def _as_export(run: Run) -> DataFrame:
 def _load_export(run: Run) -> DataFrame:
     path = scratch_table(run.spark, "export.parquet")
     _as_export(run).write.parquet(path)
-    loaded = load_export(run.spark, path, "A")
+    return _export_groups(load_export(run.spark, path, "A"))
+
+
+def _load_export_text(run: Run) -> DataFrame:
+    """A delimited copy whose options hold line breaks, quotes and commas, read in about 50 blocks or more."""
+    path = scratch_table(run.spark, "export")
+    more = F.when(F.col("source_row") % 3 == 0, '\n"second" line, x').when(F.col("source_row") % 7 == 0, ' ""').otherwise("")
+    spelled = _as_export(run).withColumn("Option", F.concat(F.rtrim("Option"), more))
+    keep = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    spelled.write.options(header=True, **keep).csv(path)
+    conf, name = run.spark.conf, "spark.sql.files.maxPartitionBytes"
+    usual = conf.get(name)
+    conf.set(name, str(min(max(4 * run.bound.count(), 1 << 14), 1 << 27)))
+    try:
+        loaded = cut_lineage(load_export(run.spark, path, "A"))
+    finally:
+        conf.set(name, usual)
+    shown = F.replace("option_raw", F.lit("\n"), F.lit("|"))
+    texts = loaded.groupBy("source", "competition", "bet_type", "currency_raw").agg(
+        F.sum(F.length("option_raw")).alias("option_chars"), F.max(shown).alias("last_option"),
+        F.count_if(F.col("option_raw").contains("\n")).alias("broken_options"),
+    )
+    by = ["source", "competition", "bet_type", "currency_raw"]
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    return _export_groups(loaded).alias("g").join(texts.alias("t"), same).select(
+        "g.*", "option_chars", "last_option", "broken_options"
+    )
+
+
+def _export_groups(loaded: DataFrame) -> DataFrame:
     return loaded.groupBy("source", "competition", "bet_type", "currency_raw").agg(
         F.count("*").alias("legs"),
         F.count("event_ts").alias("with_kickoff"),
@@ -254,6 +283,7 @@ def _digest(run: Run) -> DataFrame:
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     # sources, sinks, star export
     "load_export": _load_export,
+    "load_export_text": _load_export_text,
     "typed_legs": _typed_legs,
     "write_slips_legs": _write_slips_legs,
     "write_facts": _write_facts,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from slipstream import schema
 from slipstream.functions.markets import strip
+from slipstream.sources.records import below, header_lines, read_lines, records
 
 # Names a report writer or reader gives the export's first, unnamed column.
 INDEX_NAMES = ("", "Unnamed: 0", "source_row")
@@ -37,26 +38,27 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_text(spark: SparkSession, path: str) -> DataFrame:
-    """The lines below the header row, split by the header's names.
+    """The records below the header row, split by the header's names.
 
     The preamble ends, in every file, with the line whose fields are the header;
-    what stands above it is dropped by place, not by its text. Only headers come
-    to the driver. A line below without a row number, or with too few or too many fields, is
-    an error rather than a silently dropped or broken bet.
+    what stands above it is dropped by place, not by its text. Quoted fields may hold line
+    breaks and doubled quotes. Only headers come to the driver. A record without a row number,
+    or with too few or too many fields, is an error rather than a silently dropped or broken bet.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
-    names = _header(lines, path)
+    lines = read_lines(spark, path)
+    heads = header_lines(lines, _is_header)
+    names = _header(heads, path)
     _check_columns(path, names)
     fields = [n if n in schema.EXPORT_COLUMNS else f"_{i}" for i, n in enumerate(names)]
     index = next((f for f, n in zip(fields, names) if n in INDEX_NAMES), None)
     if index is None:
         raise ValueError(f"{path}: no unnamed row-number column")
     as_text = ", ".join(f"`{f}` string" for f in fields)
-    body = _below_header(lines)
-    options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN}
+    body = records(below(lines, heads))
+    options = {
+        "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n",
+        "columnNameOfCorruptRecord": BROKEN,
+    }
     row = body.select("value", F.from_csv("value", f"{as_text}, `{BROKEN}` string", options).alias("r"))
     number = F.expr(f"try_cast(r.`{index}` as bigint)")
     refuse = lambda why: F.raise_error(F.concat(F.lit(why), F.col("value"))).cast("long")
@@ -70,14 +72,13 @@ def _read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def _is_header(value: Column) -> Column:
     """Whether a line names the export's columns; they are spelled without quotes or commas."""
-    cells = F.transform(F.split(value, ","), lambda x: F.btrim(x, F.lit('" ')))
+    cells = F.transform(F.split(value, ","), lambda x: F.btrim(x, F.lit('" \r')))
     return F.array_contains(cells, schema.HEADER_MARKS[0]) & F.array_contains(cells, schema.HEADER_MARKS[1])
 
 
-def _header(lines: DataFrame, path: str) -> list[str]:
+def _header(heads: DataFrame, path: str) -> list[str]:
     """The one header of all files of ``path``."""
-    heads = lines.where((F.col("block") == 0) & _is_header(F.col("value"))).select("value").distinct()
-    found = [next(csv.reader([r["value"]])) for r in heads.take(2)]
+    found = [next(csv.reader([r["value"]])) for r in heads.select("value").distinct().take(2)]
     if not found:
         raise ValueError(f"{path}: no header line")
     if len(found) > 1:
@@ -85,19 +86,6 @@ def _header(lines: DataFrame, path: str) -> list[str]:
     return found[0]
 
 
-def _below_header(lines: DataFrame) -> DataFrame:
-    """Lines below the header of their file, by place: ids rise along a file's blocks' lines.
-
-    A file with text but without a header line is an error; blank lines are none.
-    """
-    heads = lines.where((F.col("block") == 0) & _is_header(F.col("value")))
-    heads = heads.groupBy(F.col("file").alias("head_file")).agg(F.min("place").alias("head_place"))
-    missing = F.raise_error(F.concat(F.lit("export file without a header line: "), F.col("file"))).cast("boolean")
-    below = F.when(F.col("head_file").isNull(), missing).otherwise((F.col("block") > 0) | (F.col("place") > F.col("head_place")))
-    texts = lines.where(F.trim("value") != "")
-    return texts.join(heads, F.col("file") == F.col("head_file"), "left").where(below).select("value")
-
-
 def _check_columns(path: str, names: list[str]) -> None:
     missing = [c for c in schema.EXPORT_COLUMNS if c not in names]
     if missing:

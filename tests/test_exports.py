@@ -104,3 +104,60 @@ def test_a_file_without_a_header_is_an_error(spark, tmp_path):
     for action in ("collect", "count"):
         with pytest.raises(Exception, match="file without a header line"):
             getattr(load_export(spark, str(tmp_path / "in"), "A"), action)()
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of 64 bytes, far shorter than a record."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def multi_line(n: int, option: str) -> str:
+    quoted = option.replace('"', '""')
+    return GOOD.replace("0,", f"{n},", 1).replace(",Opt,", f',"{quoted}",')
+
+
+OPTIONS = ["plain", "two\nlines", 'a "quoted" word', '"\n"\n,', "blank\n\n\nlines", "long " * 40 + "\n" + "tail " * 40, "x\r\ny", '""', "end"]
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_line_breaks_inside_quotes_over_many_blocks(spark, tmp_path, small_blocks, line_end):
+    (tmp_path / "in").mkdir()
+    expected = {}
+    for k in range(2):
+        rows = [multi_line(100 * k + i, o) for i, o in enumerate(OPTIONS * 3)]
+        expected |= {100 * k + i: o.strip() for i, o in enumerate(OPTIONS * 3)}
+        top = ["Billing 'report", 'a 5" screen', ""]  # quotes above the header say nothing
+        text = line_end.join([*top, ",".join(NAMES), *rows, "", ""])
+        (tmp_path / "in" / f"{k}.csv").write_bytes(text.encode())
+    got = {r["source_row"]: r["option_raw"] for r in load_export(spark, str(tmp_path / "in"), "A").collect()}
+    assert got == expected
+
+
+def test_a_header_far_below_and_one_record_of_many_blocks(spark, tmp_path):
+    rows = [multi_line(1, "\n".join(f"line {i}" for i in range(500))), GOOD]
+    path = write(tmp_path / "a.csv", NAMES, rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = {r["source_row"]: r["option_raw"] for r in load_export(spark, path, "A").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == "Opt" and got[1].count("\n") == 499
+
+
+def test_quotes_that_do_not_close_are_an_error(spark, tmp_path):
+    path = write(tmp_path / "a.csv", NAMES, [GOOD, GOOD.replace(",Opt,", ',"Opt,'), GOOD])
+    with pytest.raises(Exception, match="quotes do not close"):
+        load_export(spark, path, "A").collect()
+
+
+def test_lines_without_breaks_are_not_shuffled(spark, tmp_path):
+    """Blocks with one record a line go straight to the parser."""
+    plan = load_export(spark, write(tmp_path / "a.csv", NAMES, [GOOD] * 9), "A")._jdf.queryExecution().executedPlan().toString()
+    first_branch = plan.split("Union", 1)[1].split("Window", 1)[0]
+    assert "Exchange hashpartitioning" not in first_branch
