@@ -7,8 +7,10 @@ is half-up on a decimal, never on the binary double.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+# The column that says how many slips or legs a row stands for, where rows are folded.
+ROWS = "rows_folded"
 MONEY = "decimal(18,6)"
 FRACTION = "decimal(18,12)"
 
@@ -23,6 +25,11 @@ def total(name: str | Column) -> Column:
     return F.coalesce(F.sum(c.cast(MONEY)), F.lit(0).cast("decimal(28,6)"))
 
 
+def count_rows(df: DataFrame) -> Column:
+    """How many slips or legs there are, whether rows are folded or not."""
+    return F.coalesce(F.sum(ROWS), F.lit(0)).cast("long") if ROWS in df.columns else F.count("*")
+
+
 def total_where(name: str, condition: Column) -> Column:
     return total(F.when(condition, F.col(name)))
 

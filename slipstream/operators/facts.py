@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
-from slipstream.functions.numbers import euro, fixed, percent, total
+from slipstream.functions.numbers import ROWS, count_rows, euro, fixed, percent, total
 
 METRICS = [
     "turnover", "ggr", "margin", "slips", "customers", "window", "legs", "net_revenue",
@@ -15,29 +17,48 @@ METRICS = [
 def headline_totals(slips: DataFrame) -> DataFrame:
     """One row of headline numbers. Each slip is rounded to what an export of it
     carries before it is summed, so every surface adds up the same numbers."""
-    stake = F.sum(F.round("stake_eur", 2))
-    ggr = F.sum(F.round("ggr_eur", 2))
+    return _headline(
+        slips, F.sum(F.round("stake_eur", 2)), F.sum(F.round("ggr_eur", 2)), F.sum(F.round("net_revenue_eur", 4)),
+        F.count("*"), lambda kind: F.count_if(F.col("bet_type") == kind), F.count_distinct("uid"), F.max("betslip_ts"),
+    )
+
+
+def headline_of_cube(flow: DataFrame, customers: DataFrame) -> DataFrame:
+    """``headline_totals`` from folded slips and a row per customer."""
+    known = customers.agg(F.count("uid").alias("n")).scalar()
+    of_kind = lambda kind: F.coalesce(F.sum(F.when(F.col("bet_type") == kind, F.col(ROWS))), F.lit(0))
+    return _headline(
+        flow, F.sum("stake_shown"), F.sum("ggr_shown"), F.sum("net_shown"), count_rows(flow), of_kind,
+        F.coalesce(F.first(known), F.lit(0)), F.max("last_ts"),
+    )
+
+
+def _headline(
+    slips: DataFrame, stake: Column, ggr: Column, net: Column, count: Column, of_kind: Callable[[str], Column],
+    customers: Column, last: Column,
+) -> DataFrame:
     return slips.agg(
         F.coalesce(stake, F.lit(0)).alias("turnover_eur"),
         F.coalesce(ggr, F.lit(0)).alias("ggr_eur"),
-        F.coalesce(F.round(F.sum(F.round("net_revenue_eur", 4)), 2), F.lit(0)).alias("net_revenue_eur"),
+        F.coalesce(F.round(net, 2), F.lit(0)).alias("net_revenue_eur"),
         F.round(percent(ggr, stake).cast("decimal(28,9)"), 2).alias("margin_pct"),
-        F.count("*").alias("slips"),
-        F.count_if(F.col("bet_type") == "SIMPLE").alias("slips_simple"),
-        F.count_if(F.col("bet_type") == "COMBINED").alias("slips_combined"),
-        F.count_distinct("uid").alias("customers"),
+        count.alias("slips"),
+        of_kind("SIMPLE").alias("slips_simple"),
+        of_kind("COMBINED").alias("slips_combined"),
+        customers.alias("customers"),
         F.min("betslip_ts").alias("betslip_min"),
-        F.max("betslip_ts").alias("betslip_max"),
+        last.alias("betslip_max"),
     )
 
 
 def raw_row_totals(legs: DataFrame) -> DataFrame:
     """One row: sums over legs, where a combined slip's money is repeated."""
+    inferred = F.coalesce(F.sum("currency_inferred"), F.lit(0)) if ROWS in legs.columns else F.count_if("currency_inferred")
     return legs.agg(
-        F.count("*").alias("legs"),
+        count_rows(legs).alias("legs"),
         F.round(total("stake_eur"), 2).alias("raw_turnover_eur"),
         F.round(total("ggr_eur"), 2).alias("raw_ggr_eur"),
-        F.count_if("currency_inferred").alias("currency_rows_inferred"),
+        inferred.alias("currency_rows_inferred"),
     )
 
 
@@ -49,7 +70,10 @@ def phase_counts(slips: DataFrame) -> DataFrame:
 
 def recon_table(stats: DataFrame, slips: DataFrame, legs: DataFrame) -> DataFrame:
     """Four lines from raw files to headline: rows, turnover, GGR."""
-    head, raw = headline_totals(slips), raw_row_totals(legs)
+    return recon_lines(stats, headline_totals(slips), raw_row_totals(legs))
+
+
+def recon_lines(stats: DataFrame, head: DataFrame, raw: DataFrame) -> DataFrame:
     files = stats.select(
         F.concat(F.lit("file "), F.col("source")).alias("name"),
         "rows",
@@ -76,7 +100,10 @@ def recon_table(stats: DataFrame, slips: DataFrame, legs: DataFrame) -> DataFram
 
 def headline_cards(slips: DataFrame) -> DataFrame:
     """Six label and value pairs, formatted for display."""
-    h = headline_totals(slips)
+    return cards_of(headline_totals(slips))
+
+
+def cards_of(headline: DataFrame) -> DataFrame:
     cards = {
         "Turnover": euro(F.col("turnover_eur")),
         "GGR": euro(F.col("ggr_eur")),
@@ -85,7 +112,7 @@ def headline_cards(slips: DataFrame) -> DataFrame:
         "Customers": F.format_number("customers", 0),
         "Window": _window(F.col("betslip_min"), F.col("betslip_max")),
     }
-    return _long(h, cards, "label")
+    return _long(headline, cards, "label")
 
 
 def _window(low: Column, high: Column) -> Column:
@@ -98,20 +125,23 @@ def _long(row: DataFrame, values: dict[str, Column], key: str, value: str = "val
 
 
 def consistency_check(
-    slips: DataFrame,
-    legs: DataFrame,
-    cards: DataFrame,
-    slip_facts: DataFrame,
-    leg_facts: DataFrame,
+    slips: DataFrame, legs: DataFrame, cards: DataFrame, slip_facts: DataFrame, leg_facts: DataFrame,
+    strict: bool = False,
+) -> DataFrame:
+    return compare_surfaces(headline_totals(slips), raw_row_totals(legs), cards, slip_facts, leg_facts, strict)
+
+
+def compare_surfaces(
+    headline: DataFrame, raw: DataFrame, cards: DataFrame, slip_facts: DataFrame, leg_facts: DataFrame,
     strict: bool = False,
-) -> DataFrame:
+) -> DataFrame:
     """The same headline from the facts, the findings and the exported columns.
 
     One row per metric with ``ok``. ``strict`` stops the job on a mismatch. A
     surface that does not show a metric has null there and is not compared.
     """
     recon = _long(
-        headline_totals(slips),
+        headline,
         {
             "turnover": euro(F.col("turnover_eur")),
             "ggr": euro(F.col("ggr_eur")),
@@ -124,7 +154,7 @@ def consistency_check(
         "metric",
         "recon",
     ).unionByName(
-        _long(raw_row_totals(legs), {"legs": F.format_number("legs", 0)}, "metric", "recon")
+        _long(raw, {"legs": F.format_number("legs", 0)}, "metric", "recon")
     )
     shown = {
         "Turnover": "turnover", "GGR": "ggr", "Blended margin": "margin",

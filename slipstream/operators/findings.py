@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
-from slipstream.functions.numbers import percent, ratio, rounded, total, total_where
+from slipstream.functions.numbers import count_rows, percent, ratio, rounded, total, total_where
 from slipstream.functions import timing
 from slipstream.operators.rank import gini, ordered_counts
 
@@ -23,7 +23,7 @@ def _scaled(groups: DataFrame, name: str, stake_total: Column) -> DataFrame:
 def phase_stats(slips: DataFrame) -> DataFrame:
     """Stake, GGR, slips, share and margin per phase, with its fixed place."""
     by = slips.groupBy("phase").agg(
-        total("stake_eur").alias("stake"), total("ggr_eur").alias("ggr"), F.count("*").alias("slips")
+        total("stake_eur").alias("stake"), total("ggr_eur").alias("ggr"), count_rows(slips).alias("slips")
     )
     all_stake = by.agg(F.sum("stake")).scalar()
     place = F.array_position(F.array(*[F.lit(p) for p in config.PHASES]), F.col("phase"))
@@ -140,7 +140,7 @@ def costliest_exposure(found: DataFrame) -> DataFrame:
 
 def late_bets(slips: DataFrame) -> DataFrame:
     return slips.where(F.col("lead_minutes") < config.LATE_LEAD_MIN).agg(
-        F.count("*").alias("slips"), total("stake_eur").alias("stake")
+        count_rows(slips).alias("slips"), total("stake_eur").alias("stake")
     )
 
 
@@ -155,31 +155,39 @@ def fixture_merge_counts(legs: DataFrame) -> DataFrame:
     )
 
 
+def net_rate() -> Column:
+    return rounded(ratio(F.col("net_revenue_eur"), F.col("ggr_eur")), 4)
+
+
 def billing_tiers(slips: DataFrame, top: int = 2) -> DataFrame:
     """The most common net-revenue rates."""
-    rate = rounded(ratio(F.col("net_revenue_eur"), F.col("ggr_eur")), 4)
+    rated = slips if "rate" in slips.columns else slips.where(F.col("ggr_eur") != 0).withColumn("rate", net_rate())
     return (
-        slips.where(F.col("ggr_eur") != 0)
-        .groupBy(rate.alias("rate"))
-        .agg(F.count("*").alias("slips"))
+        rated.groupBy("rate")
+        .agg(count_rows(rated).alias("slips"))
         .where(F.col("rate").isNotNull())
         .orderBy(F.desc("slips"), "rate")
         .limit(top)
     )
 
 
-def combined_composition(slips: DataFrame) -> DataFrame:
-    """COMBINED slips by what they hold: one leg, one game, or several games."""
-    kind = (
+def slip_kind() -> Column:
+    """What a slip holds: one leg, one game, or several games."""
+    return (
         F.when(F.col("n_matches") >= 2, "cross-game")
         .when(F.col("n_legs") == 1, "single-leg")
         .when(F.col("n_matches") == 1, "same-game")
     )
+
+
+def combined_composition(slips: DataFrame) -> DataFrame:
+    """COMBINED slips by what they hold: one leg, one game, or several games."""
+    kind = F.col("kind") if "kind" in slips.columns else slip_kind()
     everything = slips.agg(total("stake_eur")).scalar()
     return (
         slips.where(F.col("bet_type") == "COMBINED")
         .groupBy(kind.alias("kind"))
-        .agg(F.count("*").alias("slips"), total("stake_eur").alias("stake"), total("ggr_eur").alias("ggr"))
+        .agg(count_rows(slips).alias("slips"), total("stake_eur").alias("stake"), total("ggr_eur").alias("ggr"))
         .where(F.col("kind").isNotNull())
         .select(
             "kind",
@@ -196,8 +204,13 @@ def repeated_selection_share(legs: DataFrame) -> DataFrame:
         (F.col("bet_type") == "COMBINED") & (F.col("n_legs") >= 2) & (F.col("n_matches") == 1)
     )
     selection = F.struct("match_id", "market_raw", "option_raw", "price")
-    per_slip = same_game.groupBy("slip_id").agg(F.count_distinct(selection).alias("selections"))
-    repeated = F.count_if(F.col("selections") == 1)
+    per_slip = same_game.groupBy("slip_id").agg((F.count_distinct(selection) == 1).alias("one_selection"))
+    return repeated_slips(per_slip)
+
+
+def repeated_slips(per_slip: DataFrame) -> DataFrame:
+    """One row, from a row per same-game slip that says whether it repeats ``one_selection``."""
+    repeated = F.count_if("one_selection")
     return per_slip.agg(
         F.count("*").alias("same_game_slips"),
         repeated.alias("repeated_slips"),

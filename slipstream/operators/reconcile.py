@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from slipstream import config
 from slipstream.functions.numbers import total
 from slipstream.schema import IDENTITY, LEG_COLUMNS
+from slipstream.session import cut_lineage
 
 SETTLEMENT = ["ggr", "net_revenue"]
 
@@ -131,10 +132,30 @@ def row_identity(legs: DataFrame) -> DataFrame:
     return legs.withColumn("row_id", F.shiftleft(known, 56) + F.col("source_row"))
 
 
-def exact_duplicates(legs: DataFrame) -> DataFrame:
-    """One row: legs equal in every export column, counting all their copies."""
+def fingerprints() -> list[Column]:
+    """Two 64-bit hashes of everything that makes two legs exact copies; copies have equal ones."""
+    columns = [*LEG_COLUMNS, "stake_eur"]
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)]
+
+
+def shared_fingerprints(legs: DataFrame) -> DataFrame:
+    """``print_1``, ``print_2`` of which there are several legs: what is shuffled is 16 bytes and a count."""
+    prints = legs.select(*[c.alias(f"print_{i}") for i, c in enumerate(fingerprints(), 1)])
+    several = prints.groupBy("print_1", "print_2").agg(F.count("*").alias("n")).where("n > 1")
+    return several.select("print_1", "print_2")
+
+
+def exact_duplicates(legs: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """One row: legs equal in every export column, counting all their copies.
+
+    Legs whose fingerprint several share are candidates; only they are compared by their columns,
+    so a false match of fingerprints changes nothing.
+    """
+    shared = cut_lineage(shared_fingerprints(legs)) if shared is None else shared
+    printed = legs.withColumns({f"print_{i}": c for i, c in enumerate(fingerprints(), 1)})
+    candidates = printed.join(shared.select("print_1", "print_2"), ["print_1", "print_2"], "left_semi")
     copies = (
-        legs.groupBy(*LEG_COLUMNS, "stake_eur").agg(F.count("*").alias("copies")).where("copies > 1")
+        candidates.groupBy(*LEG_COLUMNS, "stake_eur").agg(F.count("*").alias("copies")).where("copies > 1")
     )
 
     def rows_of(bet_type: str) -> Column:

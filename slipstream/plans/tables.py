@@ -22,8 +22,15 @@ class Tables:
     path: str
 
     def read(self, name: str) -> DataFrame:
+        if name == "slips":
+            return data_window(self.all_slips)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    @property
+    def all_slips(self) -> DataFrame:
+        """All slips, before the data window, which is a choice of day folders."""
+        return self.read("all_slips")
+
     @property
     def normalized(self) -> DataFrame:
         """All legs, normalised, before the data window."""
@@ -47,7 +54,7 @@ def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
     made = Tables(spark, path)
     tables.write_table(normalize(legs), f"{path}/normalized", ["bet_type"])
     base = made.normalized
-    tables.write_by_day(data_window(build_slips(base)), f"{path}/slips")
+    tables.write_by_day(build_slips(base), f"{path}/all_slips")
     # A leg has its slip's betslip time, so both sides can be cut beforehand.
     tables.write_by_day(with_fixture(attribute_legs(data_window(base), made.slips)), f"{path}/legs")
     return made
