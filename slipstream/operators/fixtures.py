@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from slipstream import config
 from slipstream.functions import timing
-from slipstream.functions.numbers import ratio_or_zero, rounded, total, total_where
+from slipstream.functions.numbers import count_rows, ratio_or_zero, rounded, total, total_where
 from slipstream.operators.series import drop_empty
 from slipstream.operators.skew import lookup
 
@@ -21,7 +21,7 @@ def matches_dim(legs: DataFrame) -> DataFrame:
     id is a group too.
     """
     folded = legs.groupBy("match_id", "match", "competition").agg(
-        F.min("row_id").alias("row"), F.min("event_ts").alias("kickoff"), F.count("*").alias("legs")
+        F.min("row_id").alias("row"), F.min("event_ts").alias("kickoff"), count_rows(legs).alias("legs")
     )
 
     def first(c: str) -> Column:

@@ -76,15 +76,12 @@ def run_batch(spark: SparkSession, first_export: str, later_export: str, out: st
     watch = customers.watchlist(scored)
     flags = cut_lineage(anomalies.anomalies(slips, legs, stats))
 
-    dims = cut_lineage(star_export.star_export_dims(slips, legs))
-    index = cut_lineage(star_export.slip_index(slips))
-    star = f"{out}/star"
-    store.write_table(dims, f"{star}/dims", ["dim"])
-    store.write_table(star_export.star_export_slips(slips, dims, index), f"{star}/slips")
-    store.write_table(star_export.match_codes(legs), f"{star}/matches")
-    store.write_table(star_export.market_codes(legs), f"{star}/markets")
-    matches, markets = (spark.read.parquet(f"{star}/{name}") for name in ("matches", "markets"))
-    store.write_table(star_export.star_export_legs(legs, dims, index, matches, markets), f"{star}/legs")
+    star, made_star = f"{out}/star", star_export.StarExport(slips, legs)
+    store.write_table(made_star.dims, f"{star}/dims", ["dim"])
+    for name in ("matches", "markets"):
+        store.write_table(getattr(made_star, name), f"{star}/{name}")
+    store.write_table(made_star.slip_facts, f"{star}/slips")
+    store.write_table(made_star.leg_facts, f"{star}/legs")
 
     stats_of_files = reconcile.file_stats(a.unionByName(b))
     documents, headline, raw = additive_facts(slips, legs)

@@ -137,28 +137,8 @@ class Run:
         ).scalar()
 
     @cached_property
-    def dims(self) -> DataFrame:
-        return cut_lineage(star_export.star_export_dims(self.slips, self.legs))
-
-    @cached_property
-    def slip_index(self) -> DataFrame:
-        return cut_lineage(star_export.slip_index(self.slips))
-
-    @property
-    def slip_facts(self) -> DataFrame:
-        return star_export.star_export_slips(self.slips, self.dims, self.slip_index)
-
-    @property
-    def leg_facts(self) -> DataFrame:
-        return star_export.star_export_legs(self.legs, self.dims, self.slip_index, self.matches, self.markets)
-
-    @cached_property
-    def matches(self) -> DataFrame:
-        return cut_lineage(star_export.match_codes(self.legs))
-
-    @cached_property
-    def markets(self) -> DataFrame:
-        return cut_lineage(star_export.market_codes(self.legs))
+    def star(self) -> star_export.StarExport:
+        return star_export.StarExport(self.slips, self.legs)
 
 
 def plain(df: DataFrame, places: int = 6) -> DataFrame:
@@ -287,10 +267,10 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "typed_legs": _typed_legs,
     "write_slips_legs": _write_slips_legs,
     "write_facts": _write_facts,
-    "star_export_dims": lambda r: star_export.star_export_dims(r.slips, r.legs),
-    "star_export_facts": lambda r: r.slip_facts,
-    "star_export_leg_facts": lambda r: r.leg_facts,
-    "star_export_decoded": lambda r: star_export.decoded_legs(r.leg_facts, r.matches, r.markets).select(
+    "star_export_dims": lambda r: r.star.dims,
+    "star_export_facts": lambda r: r.star.slip_facts,
+    "star_export_leg_facts": lambda r: r.star.leg_facts,
+    "star_export_decoded": lambda r: star_export.decoded_legs(r.star.leg_facts, r.star.matches, r.star.markets).select(
         "row_id", "match_id", "name", "market_clean", "market_group"
     ),
     "matches_dim": lambda r: fixtures.matches_dim(r.legs),
@@ -342,7 +322,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
         reconcile.file_stats(r.pulls[0].unionByName(r.pulls[1])), r.slips, r.legs
     ),
     "consistency_check": lambda r: facts.consistency_check(
-        r.slips, r.legs, facts.headline_cards(r.slips), r.slip_facts, r.leg_facts, strict=True
+        r.slips, r.legs, facts.headline_cards(r.slips), r.star.slip_facts, r.star.leg_facts, strict=True
     ),
     # prices and customers
     "price_legs": lambda r: r.priced.select("row_id", "sel_key", "pre_ko"),

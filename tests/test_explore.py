@@ -77,10 +77,8 @@ def test_fixture_money_counts_once_per_touched_fixture(mixed):
 
 def test_surfaces_agree_and_strict_stops(mixed):
     slips, legs = mixed
-    dims = star_export.star_export_dims(slips, legs)
-    index = star_export.slip_index(slips)
-    slip_facts = star_export.star_export_slips(slips, dims, index)
-    leg_facts = star_export.star_export_legs(legs, dims, index)
+    star = star_export.StarExport(slips, legs)
+    slip_facts, leg_facts = star.slip_facts, star.leg_facts
     cards = facts.headline_cards(slips)
     good = facts.consistency_check(slips, legs, cards, slip_facts, leg_facts, strict=True)
     assert good.count() == 8 and good.where("not ok").count() == 0

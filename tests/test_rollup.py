@@ -95,6 +95,5 @@ def test_a_very_long_slip_does_not_overflow(rolled, price):
     slips, _ = rolled([combined(price=price, option_raw=f"Leg {i}") for i in range(300)])
     (slip,) = plain(slips).collect()
     assert slip["n_legs"] == 300 and not slip["price"] < 1e30
-    dims = star_export.star_export_dims(slips, rolled([combined()])[1])
-    (fact,) = star_export.star_export_slips(slips, dims, star_export.slip_index(slips)).collect()
+    (fact,) = star_export.StarExport(slips, rolled([combined()])[1]).slip_facts.collect()
     assert fact["price"] == -1.0
