@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from slipstream.schema import BY_DAY
+
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Parquet, optionally partitioned. The rebalance hint lets AQE split a
@@ -15,9 +17,24 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+# Rows of a day lie in this order as far as a table has the columns, so that Parquet's page statistics
+# tell a reader which pages hold one fixture or, inside a fixture, one customer.
+CLUSTER = ["fixture", "uid"]
+PAGE_ROWS = 2000
+BLOOM_COLUMNS = ["uid", "fixture"]
+
+
 def write_by_day(df: DataFrame, path: str) -> None:
-    """Slips or legs, partitioned by betslip date."""
-    write_table(df.withColumn("betslip_date", F.to_date("betslip_ts")), path, ["betslip_date"])
+    """Slips or legs, partitioned by betslip date and clustered inside a day.
+
+    The rebalance hint splits a heavy day; every piece is then ordered by CLUSTER. Pages are short, and
+    row groups carry Bloom filters, so a filter on one customer or fixture skips most of a day.
+    """
+    dated = df.withColumn(BY_DAY, F.to_date("betslip_ts")).hint("rebalance", BY_DAY)
+    order = [c for c in CLUSTER if c in df.columns]
+    writer = dated.sortWithinPartitions(BY_DAY, *order).write.mode("errorifexists").partitionBy(BY_DAY)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS if c in df.columns}
+    writer.options(**{"parquet.page.row.count.limit": str(PAGE_ROWS), **blooms}).parquet(path)
 
 
 def read_by_day(spark: SparkSession, path: str) -> DataFrame:
