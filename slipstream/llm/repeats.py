@@ -157,21 +157,28 @@ def with_contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def repeat_groups(contexts: DataFrame) -> DataFrame:
-    """Maximal repeats of the anchors: hash, depth, k1, k2, start, end, alone, one row per occurrence."""
-    names = ["hash", "depth", "k1", "k2", "start", "end", "alone"]
+    """What the maximal repeats of the anchors cover: k1, k2, start, end, alone, one row per occurrence.
+
+    All repeats of an occurrence hold its anchor, so together they are one stretch of bytes.
+    """
+    names = ["k1", "k2", "start", "end", "alone"]
 
     def solve(group: list[tuple]) -> list[tuple]:
-        out = []
+        covered: dict[int, tuple[int, int]] = {}
         if len(group) > 1:
             for depth, found in maximal_repeats([g[5] for g in group], [g[6] for g in group], WINDOW):
                 for i, left in found:
-                    h, k1, k2, at, alone = group[i][:5]
-                    out.append((h, depth, k1, k2, at - left, at + depth, alone))
+                    most, deepest = covered.get(i, (0, 0))
+                    covered[i] = max(most, left), max(deepest, depth)
+        out = []
+        for i, (left, depth) in covered.items():
+            _, k1, k2, at, alone = group[i][:5]
+            out.append((k1, k2, at - left, at + depth, alone))
         return out
 
     def run(batches):
         group: list[tuple] = []
-        kinds = [pa.int64()] * 6 + [pa.bool_()]
+        kinds = [pa.int64()] * 4 + [pa.bool_()]
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -187,31 +194,33 @@ def repeat_groups(contexts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
     sorted_ = contexts.repartition("hash").sortWithinPartitions("hash")
-    return sorted_.mapInArrow(run, "hash long, depth long, k1 long, k2 long, start long, end long, alone boolean")
+    return sorted_.mapInArrow(run, "k1 long, k2 long, start long, end long, alone boolean")
 
 
 def crowded_repeats(contexts: DataFrame) -> DataFrame:
-    """(k1, k2, start, end) of the repeated windows of anchors with too many contexts for one task."""
+    """(k1, k2, start, end) that repeated windows of each anchor cover, for anchors with too many contexts for one task."""
 
     def make():
         def step(batch):
-            hashes, k1s, k2s, starts, windows = [], [], [], [], []
+            hashes, k1s, k2s, ats, starts, windows = [], [], [], [], [], []
             for h, k1, k2, at, _, before, after in zip(*(c.to_pylist() for c in batch.columns)):
                 text = before[::-1] + after
                 for i in range(len(text) - WINDOW + 1):
                     hashes.append(h)
                     k1s.append(k1)
                     k2s.append(k2)
+                    ats.append(at)
                     starts.append(at - len(before) + i)
                     windows.append(xxhash.xxh3_64_intdigest(text[i : i + WINDOW], len(before) - i))
-            columns = [hashes, k1s, k2s, starts, np.array(windows, np.uint64).view(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "k1", "k2", "start", "window"])
+            columns = [hashes, k1s, k2s, ats, starts, np.array(windows, np.uint64).view(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "k1", "k2", "at", "start", "window"])
 
         return step
 
-    rows = map_batches(contexts, make, "hash long, k1 long, k2 long, start long, window long")
+    rows = map_batches(contexts, make, "hash long, k1 long, k2 long, at long, start long, window long")
     again = rows.groupBy("hash", "window").count().where("count > 1").drop("count")
-    return rows.join(again, ["hash", "window"]).select("k1", "k2", "start", (F.col("start") + WINDOW).alias("end"))
+    found = rows.join(again, ["hash", "window"]).groupBy("k1", "k2", "at")
+    return found.agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end")).drop("at")
 
 
 def cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
