@@ -35,16 +35,21 @@ def matches_dim(legs: DataFrame) -> DataFrame:
     )
 
 
-def _matches_with_day(legs: DataFrame) -> DataFrame:
+def matches_with_day(legs: DataFrame) -> DataFrame:
+    """The match dimension with the day that its kickoff counts for."""
     return matches_dim(legs).withColumn("day", timing.fixture_day(F.col("kickoff")))
 
 
 def fixture_groups(legs: DataFrame) -> DataFrame:
     """Match ids of one game merged by name and shifted kickoff day. The books
     list a game under separate ids before and during play."""
+    return groups_of(matches_with_day(legs))
+
+
+def groups_of(matches: DataFrame) -> DataFrame:
+    """``fixture_groups`` from a match dimension with days."""
     return (
-        _matches_with_day(legs)
-        .groupBy("name", "day")
+        matches.groupBy("name", "day")
         .agg(
             F.min_by("competition", F.coalesce("match_id", F.lit(2**63 - 1))).alias("competition"),
             F.min("kickoff").alias("kickoff"),
@@ -53,15 +58,16 @@ def fixture_groups(legs: DataFrame) -> DataFrame:
     )
 
 
-def with_fixture(legs: DataFrame) -> DataFrame:
+def with_fixture(legs: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """Legs with ``fixture`` and ``fixture_day`` of their match id. Written legs
-    carry them already, and are returned as they are."""
+    carry them already, and are returned as they are. ``matches``, where given, is a
+    written match dimension with days of these legs."""
     if "fixture" in legs.columns:
         return legs
-    named = _matches_with_day(legs).select(
+    named = (matches_with_day(legs) if matches is None else matches).select(
         "match_id", F.col("name").alias("fixture"), F.col("day").alias("fixture_day"), F.col("legs").alias("of_match")
     )
-    return lookup(legs, named, ["match_id"], "of_match", F.col("row_id")).drop("of_match")
+    return lookup(legs, named, ["match_id"], "of_match", F.col("row_id"), written=matches is not None).drop("of_match")
 
 
 SLIP_ONCE = ["slip_id", "uid", "betslip_ts", "phase", "slip_stake_eur", "slip_ggr_eur"]
@@ -75,11 +81,26 @@ def fixture_slips(fixture_legs: DataFrame, name: str, day: date | str) -> DataFr
 
 def fixture_table(fixture_legs: DataFrame, groups: DataFrame) -> DataFrame:
     """Per fixture: full slip money, once per fixture a slip touches, so the
-    stakes of all fixtures may add up to more than the headline."""
+    stakes of all fixtures may add up to more than the headline.
+
+    A SIMPLE leg is its slip, so a customer's SIMPLE legs on a fixture are summed at once; a COMBINED
+    slip is a row per fixture, whatever the number of its legs. Both are one aggregate over the legs.
+    """
     in_play = config.PHASES[-1]
-    once = fixture_legs.select("fixture", "fixture_day", *SLIP_ONCE).distinct()
+    combined = F.coalesce(F.col("bet_type") == "COMBINED", F.lit(False))
+    several = F.col("several").isNotNull()
+    once_or_all = lambda c: F.when(several, F.max(c).cast("decimal(28,6)")).otherwise(total(c)).alias(c)
+    once = (
+        fixture_legs.withColumn("several", F.when(combined, F.col("slip_id")))
+        .groupBy("fixture", "fixture_day", "uid", "phase", "several")
+        .agg(
+            F.when(several, F.lit(1).cast("long")).otherwise(F.count("*")).alias("slips"),
+            once_or_all("slip_stake_eur"),
+            once_or_all("slip_ggr_eur"),
+        )
+    )
     played = once.groupBy("fixture", "fixture_day").agg(
-        F.count("*").alias("slips"),
+        F.sum("slips").alias("slips"),
         total("slip_stake_eur").alias("stake"),
         total("slip_ggr_eur").alias("ggr"),
         F.count_distinct("uid").alias("customers"),

@@ -122,7 +122,7 @@ class Run:
 
     @property
     def fixture_table(self) -> DataFrame:
-        return fixtures.fixture_table(self.fixture_legs, fixtures.fixture_groups(self.legs))
+        return fixtures.fixture_table(self.fixture_legs, fixtures.groups_of(self.tables.matches))
 
     @property
     def one_fixture(self) -> DataFrame:
@@ -131,7 +131,7 @@ class Run:
     @property
     def kickoff(self):
         name, day = FIXTURE
-        groups = fixtures.fixture_groups(self.legs)
+        groups = fixtures.groups_of(self.tables.matches)
         return groups.where((F.col("name") == name) & (F.col("day") == F.lit(day).cast("date"))).select(
             "kickoff"
         ).scalar()

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slipstream.operators.fixtures import with_fixture
+from slipstream.operators.fixtures import matches_with_day, with_fixture
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import pair_pulls, reconciled_union, row_identity
 from slipstream.operators.rollup import attribute_legs, build_slips, data_window
@@ -44,6 +44,11 @@ class Tables:
     def legs(self) -> DataFrame:
         return self.read("legs")
 
+    @property
+    def matches(self) -> DataFrame:
+        """The match dimension of the legs, with the day each match counts for."""
+        return self.read("matches")
+
 
 def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
     """Normalise, roll up, cut the window and write.
@@ -56,7 +61,9 @@ def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
     base = made.normalized
     tables.write_by_day(build_slips(base), f"{path}/all_slips")
     # A leg has its slip's betslip time, so both sides can be cut beforehand.
-    tables.write_by_day(with_fixture(attribute_legs(data_window(base), made.slips)), f"{path}/legs")
+    kept = data_window(base)
+    tables.write_table(matches_with_day(kept), f"{path}/matches")
+    tables.write_by_day(with_fixture(attribute_legs(kept, made.slips), made.matches), f"{path}/legs")
     return made
 
 

@@ -85,3 +85,9 @@ def test_combined_legs_are_folded_by_hash_first(spark):
 def test_lookups_neither_sort_a_table_nor_roll_up_twice(spark):
     text = plan_text(QUERIES["leg_attribution"](Run(spark, SF_DIR)))
     assert "TakeOrderedAndProject" not in text and "product(" not in text
+
+
+def test_fixture_table_reads_legs_once_and_has_no_distinct(spark):
+    text = plan_text(QUERIES["fixture_table"](Run(spark, SF_DIR)))
+    assert len(re.findall(r"FileScan parquet [^\n]*tables/legs", text)) == 1
+    assert "betslip_ts" not in text  # no wide rows of a slip are made distinct
