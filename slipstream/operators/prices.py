@@ -48,7 +48,7 @@ def selection_stats(priced: DataFrame) -> DataFrame:
 
     Legs are first folded to (selection, price), which map-side aggregation
     shrinks to a few rows even for a selection with a third of all bets; the
-    number of prices is then a plain count. Customers are counted on their own
+    distinct prices are then counted over these rows. Customers are counted on their own
     so the fold does not have to carry them.
     """
     pre = _pre_kickoff(priced).withColumn("__order", _time_order())
