@@ -14,6 +14,7 @@ from slipstream.session import cut_lineage
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 100_000
 SLICE_ROWS = 1000
+FILTER_BITS = 24
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: Letters A-Z to lower case; ASCII other than letters and digits to blanks.
@@ -123,6 +124,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def probably_in(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` and ``likely``: false only where the columns ``on`` are surely not in ``keys``.
+
+    Hashed keys set bits of a filter of 2^FILTER_BITS bits, kept as a table of 64-bit words. That table has at most
+    2^(FILTER_BITS - 6) rows, whatever the input, so it is broadcast; more keys than bits make it less telling, never
+    wrong. Texts that are surely not asked for then stay where they are.
+    """
+    at = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
+    bits = keys.select(at.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word"))
+    bits = written(bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(__at & 63 as int))")).alias("__bits")))
+    found = rows.withColumn("__at", at).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(bits), "__word", "left")
+    likely = F.coalesce(F.getbit("__bits", F.col("__at").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return found.withColumn("likely", likely).drop("__at", "__word", "__bits")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that all executors share, and read back."""
     return cut_lineage(df)

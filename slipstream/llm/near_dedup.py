@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from slipstream.llm.common import GOLDEN, WordHashes, doc_bytes, map_batches, mix, ragged, text_hash, written
+from slipstream.llm.common import GOLDEN, WordHashes, doc_bytes, map_batches, mix, probably_in, ragged, text_hash, written
 from slipstream.llm.components import connected
 
 SLOTS, BAND_ROWS = 252, 6
@@ -146,8 +146,9 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
-    """(fp, words48): the sets of the classes in ``wanted`` (``doc_id``, ``fp``), hashes cut to 48 bits."""
-    rows = doc_bytes(docs).join(wanted, "doc_id")
+    """(fp, words48): the sets of the classes in ``wanted`` (``doc_id``, ``text_hash``, ``fp``), hashes cut to 48 bits."""
+    key = ["doc_id", "text_hash"]
+    rows = probably_in(doc_bytes(docs), wanted, key).where("likely").drop("likely").join(wanted, key)
 
     def make():
         hashes = WordHashes()
@@ -156,7 +157,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFram
             fps, out = [], []
             for t, fp in zip(batch.column("text").to_pylist(), batch.column("fp").to_pylist()):
                 s = shingles(t, hashes, words)
-                if len(s) and fingerprint(s) == fp:  # rows that repeat the doc_id may hold other texts
+                if len(s) and fingerprint(s) == fp:
                     fps.append(fp)
                     out.append(pack48(s))
             return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(out, pa.binary())], ["fp", "words48"])
@@ -266,10 +267,12 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     classes = written(
         signed.where("fp is not null and doc_id is not null")
         .groupBy("fp")
-        .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+        .select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("text_hash"), "bands", "n")
     )
     clusters = written(candidate_clusters(classes))
-    wanted = clusters.select("fp").distinct().join(classes, "fp").select(F.col("first_id").alias("doc_id"), "fp")
+    wanted = clusters.select("fp").distinct().join(classes, "fp")
+    wanted = written(wanted.select(F.col("first_id").alias("doc_id"), "text_hash", "fp"))
     sets = written(shingle_sets(docs, wanted, words))
 
     stars = written(pivot_overlap(clusters, sets))
@@ -287,10 +290,12 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     more = written(residual_links(members, sets))
     final = connected(links.unionByName(more)) if more.take(1) else groups
 
-    named = classes.select("fp", "first_id").join(final.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    named = named.withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = named.join(smallest, "root").select("fp", "component_id")
+    # only classes with links or copies need a name; written sides let the engine split a large component or class
+    first = classes.select("fp", "first_id", "n")
+    linked = written(first.join(final.select(F.col("node").alias("fp"), "root"), "fp"))
+    smallest = written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    alone = first.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
+    component = written(linked.join(smallest, "root").select("fp", "component_id").unionByName(alone))
     out = signed.select("doc_id", "text_hash", "n_shingles", "fp").join(component, "fp", "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
@@ -302,16 +307,19 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row per group of near duplicates, the one with the smallest doc_id.
 
-    Rows that repeat both the doc_id and the text are one row after this. Rows without a doc_id stay.
+    Rows that repeat both the doc_id and the text are one row after this. Rows without a doc_id stay. Columns may have
+    any names. Only rows that may be dropped or repeat are shuffled with their texts.
     """
-    rows = near_duplicates(docs, words).where("doc_id is not null")
-    rows = rows.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    rows = rows.agg(F.first("kept").alias("__kept"), F.count("*").alias("__copies"))
-    special = written(rows.where("not __kept or __copies > 1"))
-    out = docs.withColumn("__text", text_hash())
-    out = out.join(special, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
-    out = out.where("__kept is null or __kept")
-    copied = out.where("__copies > 1")
-    first = Window.partitionBy("__id", "__hash").orderBy("__id")
-    copied = copied.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-    return out.where("__copies is null or __copies = 1").unionByName(copied.drop("__nth")).select(*docs.columns)
+    key = ["id", "hash"]
+    judged = near_duplicates(docs, words).where("doc_id is not null")
+    judged = judged.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    judged = judged.agg(F.first("kept").alias("kept"), F.count("*").alias("copies"))
+    special = written(judged.where("not kept or copies > 1"))
+    # the columns of docs travel as one, so that none can clash with those used here
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+    rows = probably_in(rows, special, key)
+    asked = rows.where("likely").join(special, key, "left").where("kept is null or kept")
+    first = Window.partitionBy(*key).orderBy("id")
+    copied = asked.where("copies > 1").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    out = rows.where("not likely").select("row").unionByName(asked.where("copies is null or copies = 1").select("row"))
+    return out.unionByName(copied.select("row")).select("row.*")
