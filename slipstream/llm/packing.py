@@ -1,31 +1,32 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted, each with a cost. Pieces are taken from the longest down. A
-piece goes into the open bin with the least room that holds it, whatever the bin's length; if none
-does, the bin opened is the one with the least cost per token it can still be filled with. While a
-shard has as many tokens left as the longest length, that is the longest, whatever the piece: the choice
-of a length takes part only at a shard's end. At the end each bin shrinks to the shortest permitted length that holds its contents.
+piece goes into the open bin with the least room that holds it, whatever the bin's length. If none
+does, each permitted length is tried on the pieces that remain: filled with the piece and then, again
+and again, with the longest remaining one that fits. The length with the least cost per token so
+filled is opened. At the end each bin shrinks to the shortest permitted length that holds its contents.
 
 Lengths are token counts under a byte-pair vocabulary. Documents longer than the longest sequence
 are cut into pieces of that length and a rest, so no token is dropped. Pieces are dealt evenly into
-shards of about SHARD_TOKENS tokens by the written row they come from, and each shard is packed on
-its own: a task holds one shard's lengths, and the loss is at most a few open bins a shard.
+shards of about SHARD_TOKENS tokens by doc_id, text, piece and number among equal rows, and each shard is
+packed on its own: a task holds one shard's lengths, and the loss is at most a few open bins a shard.
+Nothing depends on how the input is partitioned, so two runs give equal rows.
 
 Defined cases: null and empty texts have no tokens and one row with null bin columns; equal lengths
-are taken in the order of doc_id (null first) and piece; rows that repeat are packed each; other
-columns are ignored.
+are taken in the order of doc_id (null last), text hash, piece and number; rows that repeat are packed
+each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import append_columns, id_and_text, written
+from slipstream.llm.common import append_columns, id_and_text, text_hash, written
 from slipstream.llm.secret_scan import SPLIT, VOCABULARY, read_vocabulary
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -51,7 +52,7 @@ def stretches(text: str) -> list[str]:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id`` and ``tokens`` per row of ``docs``."""
+    """``doc_id``, ``text_hash`` and ``tokens`` per row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def make():
@@ -60,18 +61,45 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         count = lambda raw: sum(len(encoding.encode_ordinary(s)) for s in stretches(raw.decode()))
         return lambda texts: [[count(raw) if raw else 0 for raw in texts]]
 
-    return append_columns(id_and_text(docs), make, [("tokens", T.LongType(), pa.int64())]).drop("text")
+    rows = id_and_text(docs).withColumn("text_hash", text_hash())
+    return append_columns(rows, make, [("tokens", T.LongType(), pa.int64())]).drop("text")
+
+
+def filled(length: int, first: int, left: Counter, present: int) -> int:
+    """Tokens in a bin of ``length`` that holds ``first`` and then always the longest piece of ``left`` that fits."""
+    room = length - first
+    while room and (fits := present & ((1 << room + 1) - 1)):
+        n = fits.bit_length() - 1
+        room -= n * min(left[n], room // n)
+        present = fits & ~(1 << n)
+    return length - room
 
 
 def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = SEQUENCE_COST) -> list[tuple[int, int]]:
     """(bin, final length) of each size; ``sizes`` fall, and none is above the longest length."""
     lengths = tuple(sorted(lengths))
-    rest = sum(sizes)
+    left = Counter(sizes)
+    present = 0  # bit n is set while pieces of n tokens are left
+    for n in left:
+        present |= 1 << n
     by_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0  # bit r is set while a bin with r tokens of room is open
     used: list[int] = []
     chosen: list[int] = []
+
+    def opened(n: int) -> int:
+        """The length to open for ``n``; a trial bin costs what it shrinks to."""
+        trials = []
+        for c in lengths:
+            if c >= n:
+                held = filled(c, n, left, present)
+                trials.append(((min(x for x in lengths if x >= held) + overhead) / held, -held, c))
+        return min(trials)[2]
+
     for n in sizes:
+        left[n] -= 1
+        if not left[n]:
+            present &= ~(1 << n)
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -82,8 +110,7 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int
         else:
             k = len(used)
             used.append(0)
-            room = min((c for c in lengths if c >= n), key=lambda c: ((c + overhead) / min(c, rest), c))
-        rest -= n
+            room = opened(n)
         used[k] += n
         chosen.append(k)
         room -= n
@@ -100,18 +127,20 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, lengths: tuple[int, ...]
     counted = written(token_counts(docs, vocabulary))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
-    at = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-    rows = counted.select("doc_id", "tokens", at.alias("at"))
+    rows = counted.groupBy("doc_id", "text_hash", "tokens").agg(F.count("*").alias("copies"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    rows = rows.select("doc_id", "text_hash", "tokens", upto(F.col("copies")).alias("nth"))
     number = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("tokens") / longest))
-    pieces = rows.select("doc_id", "tokens", "at", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("piece"))
+    pieces = rows.select("*", upto(number).alias("piece"))
     pieces = pieces.select(
-        "doc_id", "piece", (F.col("piece") * longest).alias("first_token"),
+        "doc_id", "text_hash", "nth", "piece", (F.col("piece") * longest).alias("first_token"),
         F.least(F.lit(longest).cast("long"), F.col("tokens") - F.col("piece") * longest).alias("n_tokens"),
-        F.pmod(F.xxhash64("at", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "text_hash", "nth", "piece"), F.lit(shards)).alias("shard"),
     )
 
     def pack_shard(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        order = ("doc_id", "text_hash", "piece", "nth")
+        t = t.sort_by([("n_tokens", "descending"), *((c, "ascending") for c in order)])
         bins = best_fit(t["n_tokens"].to_pylist(), lengths)
         shard = t["shard"][0].as_py()
         used, at, position = defaultdict(int), defaultdict(int), []
@@ -123,11 +152,11 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, lengths: tuple[int, ...]
             "bin_id": [(shard << 32) + k for k, _ in bins], "bin_length": [c for _, c in bins],
             "bin_used": [used[k] for k, _ in bins], "position": position,
         }
-        t = t.drop_columns(["shard"])
+        t = t.drop_columns(["shard", "text_hash", "nth"])
         for name, values in new.items():
             t = t.append_column(name, pa.array(values, pa.int64()))
         return t
 
     packed = pieces.where("n_tokens > 0").groupBy("shard").applyInArrow(pack_shard, SCHEMA)
-    nothing = pieces.where("n_tokens = 0").drop("shard")
+    nothing = pieces.where("n_tokens = 0").drop("shard", "text_hash", "nth")
     return packed.unionByName(nothing, allowMissingColumns=True)

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import brute
-from slipstream.llm import near_dedup
+from slipstream.llm import common, near_dedup
 from slipstream.llm.components import connected
 from slipstream.llm.near_dedup import near_duplicates, super_minhash
 
@@ -59,6 +61,36 @@ def test_the_stage_keeps_one_row_a_group_and_all_columns(odd_docs):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_the_stage_takes_columns_of_any_name(docs_of):
+    text = "one text that is long enough to have some shingles of five words"
+    names = ["__id", "__hash", "__kept", "__text", "row", "id", "hash", "likely", "copies", "nth", "kept", "__at", "a.b"]
+    docs = docs_of([(1, text), (2, text), (3, "other"), (3, "other"), (None, text), (4, None)])
+    docs = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.schema == docs.schema
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert sorted(rows, key=str) == [1, 3, 4, None] and kept.count() == 4
+    assert all(rows[i][n] == f"{n}{i}" for i in (1, 3, 4) for n in names)
+
+
+@pytest.mark.parametrize("bits", [6, 10])
+def test_a_crowded_filter_changes_no_row(documents, monkeypatch, bits):
+    """With few bits nearly all rows are taken for likely ones."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    got = result(near_duplicates(documents))
+    want = brute.near_groups([(r.doc_id, r.text) for r in documents.collect()])
+    assert got == sorted(((i, n, c, i == c) for i, (n, c) in want.items()), key=str)
+
+
+def test_the_filter_never_rules_out_a_key(spark):
+    rows = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
+    keys = rows.where("a % 50 = 0")
+    marked = common.probably_in(rows, keys, ["a", "b"])
+    assert marked.columns[-1] == "likely" and marked.count() == 5000
+    assert marked.where("a % 50 = 0 and not likely").count() == 0
+    assert marked.where("a % 50 <> 0 and likely").count() < 50
+
+
 def test_signatures_estimate_similarity_with_little_variance():
     g = np.random.default_rng(1)
     errors = []

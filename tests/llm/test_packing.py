@@ -60,6 +60,45 @@ def test_best_fit_wastes_less_than_first_fit_in_one_length(seed):
     assert sum(length.values()) <= 8192 * len(rooms)
 
 
+def test_the_opened_length_is_the_cheapest_when_filled_from_what_remains():
+    """Two pieces of 3,000 leave a quarter of 8,192 empty, so the shorter length is opened from the first piece on."""
+    assert best_fit([3000] * 10, (3000, 8192)) == [(k, 3000) for k in range(10)]
+    assert best_fit([8000, 3000, 3000], (3000, 8192)) == [(0, 8192), (1, 3000), (2, 3000)]
+    assert packing.filled(10, 4, packing.Counter([3, 3, 1]), 0b1010) == 10
+
+
+def least_cost(sizes, lengths, overhead):
+    """The least cost over all ways to split the pieces into bins."""
+    n = len(sizes)
+    sums = [sum(s for i, s in enumerate(sizes) if m >> i & 1) for m in range(1 << n)]
+    cost = [min((c + overhead for c in lengths if c >= s), default=1 << 40) for s in sums]
+    best = [0] + [1 << 40] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        low = m & -m
+        rest = sub = m ^ low
+        while True:
+            best[m] = min(best[m], cost[sub | low] + best[rest ^ sub])
+            if not sub:
+                break
+            sub = sub - 1 & rest
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_cost_is_near_the_least_possible(seed):
+    g = random.Random(seed)
+    sizes = sorted((g.randint(1, g.choice([400, 2000, 8192])) for _ in range(8)), reverse=True)
+    final = dict(best_fit(sizes))
+    assert sum(c + packing.SEQUENCE_COST for c in final.values()) <= 1.15 * least_cost(sizes, LENGTHS, packing.SEQUENCE_COST)
+
+
+def test_two_runs_are_equal_however_the_rows_lie(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    docs = documents.unionByName(documents.where("doc_id < 30"))
+    a, b = (sorted(map(tuple, pack(d).collect()), key=str) for d in (docs.repartition(2), docs.repartition(7, "text")))
+    assert a == b and len({r[4] >> 32 for r in a if r[4] is not None}) > 3
+
+
 def test_awkward_rows(odd_docs, no_docs):
     rows = pack(odd_docs).collect()
     assert sorted({r.doc_id for r in rows if r.doc_id is not None}) == list(range(1, 14))
