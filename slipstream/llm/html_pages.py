@@ -29,6 +29,12 @@ ASIDE_WORDS = frozenset(
     " comments disqus discussion replies respond share sharing social related recommended newsletter subscribe signup"
     " subscription popup modal overlay login widget widgets form search pagination pager copyright".split()
 )
+#: Say nothing of their own beside a word of ASIDE_WORDS, as in "comment-list" or "ad-slot".
+PLAIN_WORDS = frozenset(
+    "area block bottom box button buttons container content group inline inner item items left link links list lists outer post"
+    " posts reader readers right row section slot thread top unit user users wrap wrapper zone".split()
+)
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -84,9 +90,12 @@ class Page:
 
         A word is followed if the host's template says so (``known``), else if less than half of the
         page's text is there; names of such words only are followed on all pages with text in an article.
-        An article ends an inherited mark unless its own words are of that kind.
+        An article ends an inherited mark unless its own words are of that kind. Inside an article or main
+        element all words of the name must be of that kind, but for plain ones: "comment-list" goes,
+        "comments-on-theory" and "related-work" stay.
         """
         chars = self.chars()
+        inside = self.within(self.articles())
         article = any(chars[n] for n in self.articles() if not hinted(self.role[n]))
         out: set[int] = set()
         for node, role in self.role.items():
@@ -96,6 +105,10 @@ class Page:
                     out.add(node)
             elif self.parent.get(node) in out:
                 out.add(node)
+            elif hint and node in inside:
+                words = {w for w in role.split(".")[1:] if len(w) > 1}
+                if words - PLAIN_WORDS <= ASIDE_WORDS:
+                    out.add(node)
             elif hint and (article and ASIDE_WORDS.issuperset(role.split(".")[1:]) or known.get(node, 2 * chars[node] < chars[ROOT])):
                 out.add(node)
         return out

@@ -8,7 +8,8 @@ The tokens of a page are its elements, told apart by their path, and its blocks
 2. Classes with element tokens on at least LEAST_SUPPORT of the host's pages are valid. They are
    nested by path into the template of the host: a tree whose root class is on every page.
 3. Text in any valid class, not only the root's, belongs to the template, like the tags around it.
-   What is left are the slots. Empty pages are not counted.
+   What is left are the slots; headings and paragraphs inside an article are slots even if they
+   repeat from page to page. Empty pages are not counted.
 4. All slots of a page are its text, whichever class they are in, but those of classes that stand
    beside the article (menus, notices, adverts, forms, comments by element or class name). A class
    name is only followed where less than half of the text of the pages with that class is in its slots.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from slipstream.llm.common import map_batches, written
-from slipstream.llm.html_pages import ARTICLE_TAGS, CONTENT, ROOT, hinted, read_page, tag
+from slipstream.llm.html_pages import ARTICLE_TAGS, CONTENT, ROOT, TEXT_TAGS, hinted, read_page, tag
 
 LEAST_SUPPORT = 0.05
 LEAST_PAGES = 8
@@ -176,7 +177,8 @@ def slot_text(html: str, main: int, hints: dict, texts: set) -> str:
     page = read_page(html)
     beside = page.beside(hints)
     blocks = [b for b in page.blocks if not b.aside and b.node not in beside]
-    kept = [b for b in blocks if (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) not in texts]
+    article = {n for n in page.within(page.articles()) if tag(page.role[n]) in TEXT_TAGS}
+    kept = [b for b in blocks if b.node in article or (b.node, xxhash.xxh3_64_intdigest(b.text) >> 1) not in texts]
     if not kept:  # all of it is on many pages
         slots = page.within({main} if main in page.counts else page.articles())
         kept = [b for b in blocks if b.node in slots]

@@ -115,3 +115,15 @@ def test_template_text_of_a_host_with_empty_and_odd_pages(spark):
     got = texts(spark, pages)
     assert all(got[k][0] == f"Item {k} Text {k} of its own." for k in range(40)) and got[80][0] == "Broken"
     assert all(got[k][0] == "" for k in range(40, 80)) and all(got[k][0] == f"Text {k}" for k in range(100, 149))
+
+
+def test_words_and_repetition_take_nothing_from_an_article(spark):
+    page = (
+        "<body><nav>Menu</nav><article><h1>Item {0}</h1><h2>Summary</h2><p>Text {0} of its own.</p><div class='related-work'><p>On login forms {0}.</p></div>"
+        "<section id='comments-on-theory'><p>Theory {0} here.</p></section><p>One closing line.</p><div class='ad-slot-2'>Buy {0}</div>"
+        "<div class='comment-list'><p>Nice one, {0}!</p></div></article><footer>Foot</footer></body>"
+    )
+    pages = [(k, "http://many.example/" if k < 12 else "http://one.example/", page.format(k)) for k in range(13)]
+    got = texts(spark, pages)
+    for k in range(13):
+        assert got[k][0] == f"Item {k} Summary Text {k} of its own. On login forms {k}. Theory {k} here. One closing line."
