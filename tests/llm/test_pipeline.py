@@ -64,6 +64,6 @@ def test_registered_queries_are_all_there():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert not set(entry.oracle_sql()) - set(entry.queries())
     assert os.path.exists(os.path.join(os.path.dirname(entry.__file__), "corpus_pipeline.py")) and near_dedup.LINK_PER_CENT == 80
