@@ -8,7 +8,8 @@ tasks hold, one bounded automaton at a time, however large the benchmark is.
 
 Defined cases: null, empty or wordless texts have no words and are clean; items without words match
 nothing; item rows with the same id are one item; an item without an id counts as the id "";
-with an empty benchmark all documents are clean; other columns are ignored or carried along.
+with an empty benchmark all documents are clean; rows that repeat are judged each; other columns are
+ignored or carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import LETTERS, append_columns, id_and_text, letter_words, slices, written
+from slipstream.llm.common import LETTERS, append_columns, id_and_text, letter_words, map_batches, unused_prefix, written
 from slipstream.llm.suffix_automaton import ItemAutomaton, merged
 
 WINDOW = 10
@@ -44,7 +45,7 @@ def automata(benchmark: DataFrame):
         yield ItemAutomaton([(name, letter_words(text.encode())) for name, text in block], WINDOW)
 
 
-def _scanned(docs: DataFrame, automaton: ItemAutomaton, suffix: str) -> DataFrame:
+def _scanned(docs: DataFrame, automaton: ItemAutomaton, names: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def make():
@@ -62,26 +63,25 @@ def _scanned(docs: DataFrame, automaton: ItemAutomaton, suffix: str) -> DataFram
 
         return derive
 
-    fields = [
-        (f"__words{suffix}", T.LongType(), pa.int64()),
-        (f"__spans{suffix}", _SPANS, pa.list_(pa.int64())),
-        (f"__items{suffix}", T.ArrayType(T.StringType()), pa.list_(pa.string())),
-    ]
-    return append_columns(docs, make, fields)
+    kinds = [(T.LongType(), pa.int64()), (_SPANS, pa.list_(pa.int64())), (T.ArrayType(T.StringType()), pa.list_(pa.string()))]
+    return append_columns(docs, make, [(name, *kind) for name, kind in zip(names, kinds)])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with ``__words``, ``__spans`` (flat start, end pairs of words) and ``__items``."""
+def scan(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with words, spans (flat start, end pairs of words) and items, and the names of these columns."""
+    mark = unused_prefix(docs.columns)
+    names = [f"{mark}{name}" for name in ("words", "spans", "items")]
+    more = [f"{name}_next" for name in names]
     out = None
     for automaton in automata(benchmark):
         if out is None:
-            out = _scanned(docs, automaton, "")
+            out = _scanned(docs, automaton, names)
             continue
-        out = _scanned(written(out), automaton, "_next").withColumns({
-            "__spans": F.concat("__spans", "__spans_next"),
-            "__items": F.array_sort(F.array_union("__items", "__items_next")),
-        }).drop("__words_next", "__spans_next", "__items_next")
-    return out
+        out = _scanned(written(out), automaton, more).withColumns({
+            names[1]: F.concat(names[1], more[1]),
+            names[2]: F.array_sort(F.array_union(names[2], more[2])),
+        }).drop(*more)
+    return out, names
 
 
 def _pairs(flat: list[int]) -> list[tuple[int, int]]:
@@ -90,12 +90,12 @@ def _pairs(flat: list[int]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = scan(id_and_text(docs), benchmark).drop("text")
+    found, (words, spans, items) = scan(id_and_text(docs), benchmark)
     return found.select(
-        "doc_id", F.col("__words").alias("n_words"), n_hit("__spans").alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
-        (F.size("__spans") > 0).alias("contaminated"),
+        "doc_id", F.col(words).alias("n_words"), n_hit(spans).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size(spans) > 0).alias("contaminated"),
     )
 
 
@@ -127,21 +127,23 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Clean documents stay as they are; where a text is cut, ``n_chars``, if there, follows it.
     """
-    found = scan(docs, benchmark)
-    found = found.where(n_hit("__spans") <= F.col("__words") * MAX_COVERAGE)
+    found, (words, hit, items) = scan(docs, benchmark)
+    found = found.where(n_hit(hit) <= F.col(words) * MAX_COVERAGE)
 
-    def run(batches):
-        for batch in slices(batches):
+    def make():
+        def step(batch):
             at = batch.schema.get_field_index("text")
-            spans = batch.column("__spans").to_pylist()
+            spans = batch.column(hit).to_pylist()
             if any(spans):
                 texts = batch.column("text").to_pylist()
                 new = [without_spans(t.encode(), _pairs(s)).decode() if s else t for t, s in zip(texts, spans)]
                 batch = batch.set_column(at, "text", pa.array(new, batch.schema.field(at).type))
-            yield batch
+            return batch
+
+        return step
 
-    cut = found.mapInArrow(run, found.schema)
+    cut = map_batches(found, make, found.schema)
     if "n_chars" in docs.columns:
         length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.size("__spans") > 0, length).otherwise(F.col("n_chars")))
-    return cut.drop("__words", "__spans", "__items")
+        cut = cut.withColumn("n_chars", F.when(F.size(hit) > 0, length).otherwise(F.col("n_chars")))
+    return cut.drop(words, hit, items)

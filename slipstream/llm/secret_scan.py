@@ -25,7 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import append_columns, id_and_text, slices, text_bytes
+from slipstream.llm.common import append_columns, id_and_text, map_batches, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY_BYTES = 16 << 20
@@ -211,9 +211,10 @@ def redact_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     sized = "n_chars" in docs.columns
 
-    def run(batches):
+    def make():
         efficiency = Efficiency(shared.value)
-        for batch in slices(batches):
+
+        def step(batch):
             new = {i: t for i, raw in enumerate(text_bytes(batch)) if (t := without_secrets(raw, efficiency)) is not None}
             if new:
                 for name in ["text", "n_chars"] if sized else ["text"]:
@@ -222,7 +223,9 @@ def redact_secrets(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     for i, t in new.items():
                         values[i] = t if name == "text" else len(t)
                     batch = batch.set_column(at, batch.schema.field(at), pa.array(values, batch.schema.field(at).type))
-            yield batch
+            return batch
+
+        return step
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    return typed.mapInArrow(run, typed.schema)
+    return map_batches(typed, make, typed.schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from slipstream.llm.common import append_columns, id_and_text, letter_words, map_batches, text_bytes
+from slipstream.llm.common import append_columns, id_and_text, letter_words, map_batches, text_bytes, unused_prefix
 from slipstream.llm.gru import CHAR_DIM, NGRAM_BITS, UNKNOWN, Adam, Network, character_features, top_by_word
 
 TRAINING_ROWS, TRAINING_WINDOWS, MAX_VOCABULARY, MIN_DOCUMENTS = 4000, 32, 30_000, 4
@@ -230,8 +230,9 @@ def with_toxicity(docs: DataFrame, net: Network, name: str = "toxicity") -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents whose score is at least THRESHOLD; columns stay as they are."""
-    scored = with_toxicity(docs, train(docs, labels), "__toxicity")
-    return scored.where(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
+    name = unused_prefix(docs.columns) + "toxicity"
+    scored = with_toxicity(docs, train(docs, labels), name)
+    return scored.where(F.col(name) < THRESHOLD).drop(name)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

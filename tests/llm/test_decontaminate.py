@@ -66,3 +66,12 @@ def test_the_stage_cuts_spans_and_drops_covered_documents(spark, docs_of, odd_do
     text, n = got[3]
     assert "alpha" not in text.lower() and text.startswith(cut[0]) and text.endswith(cut[1]) and n == len(text)
     assert remove_contamination(odd_docs, items).count() == odd_docs.count()
+
+
+def test_columns_with_names_of_our_own_stay(spark, docs_of):
+    items = spark.createDataFrame([("a", ITEM)], "item_id string, text string")
+    docs = docs_of([(1, "Plain text."), (2, "x " * 40 + ITEM)])
+    named = docs.selectExpr("*", "1 __spans", "'w' __words", "2 __items", "3 ___spans")
+    got = {r.doc_id: r for r in remove_contamination(named, items).collect()}
+    assert list(got[1].asDict()) == named.columns and got[1].text == "Plain text."
+    assert got[2].text.split() == ["x"] * 40 and (got[2]["__spans"], got[2]["__words"], got[2]["__items"], got[2]["___spans"]) == (1, "w", 2, 3)

@@ -89,6 +89,8 @@ def test_the_stage_drops_what_scores_high_and_keeps_columns(spark, odd_docs, lab
     scores = score_texts(small_network(), [(r.text or "").encode() for r in odd_docs.collect()])
     kept = drop_toxic(odd_docs, labels)
     assert kept.columns == odd_docs.columns and kept.count() == (scores < 0.5).sum()
+    named = odd_docs.selectExpr("*", "7 __toxicity")
+    assert drop_toxic(named, labels).columns == named.columns
 
 
 def test_a_repeated_id_gives_one_text_to_the_sample(spark):
