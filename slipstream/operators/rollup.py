@@ -65,7 +65,7 @@ def _simple_slips(legs: DataFrame) -> DataFrame:
     )
 
 
-def _combined_slips(legs: DataFrame) -> DataFrame:
+def combined_slips(legs: DataFrame) -> DataFrame:
     """COMBINED legs with one key are one slip.
 
     Legs are folded to (slip, match, first-row attributes) first: a hash aggregate of
@@ -111,9 +111,11 @@ def _combined_slips(legs: DataFrame) -> DataFrame:
     )
 
 
-def build_slips(legs: DataFrame) -> DataFrame:
-    """One row per betslip, with lead time and phase."""
-    return _simple_slips(legs).unionByName(_combined_slips(legs))
+def build_slips(legs: DataFrame, combined: DataFrame | None = None) -> DataFrame:
+    """One row per betslip, with lead time and phase.
+
+    ``combined`` are the ``combined_slips`` of these legs, where they have been written."""
+    return _simple_slips(legs).unionByName(combined_slips(legs) if combined is None else combined)
 
 
 def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
@@ -121,23 +123,12 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
 
     ``slips`` are those of ``build_slips``. Only COMBINED legs look theirs up.
     """
+    return share_out(look_up_slips(legs, slips)).select(*legs.columns, *SLIP_ON_LEG)
 
-    alone = legs.where(~_is_combined())
-    lead = timing.lead_minutes(F.col("betslip_ts"), F.col("event_ts"))
-    simple = alone.withColumns(
-        {
-            "slip_id": _slip_id("S", F.col("row_id")),
-            "n_legs": F.lit(1).cast("long"),
-            "n_matches": F.when(F.col("match_id").isNotNull(), F.lit(1)).otherwise(0).cast("long"),
-            "phase": timing.phase(lead),
-            "slip_unit": F.col("unit"),
-            "slip_currency": F.col("currency"),
-            "slip_stake_eur": F.col("stake_eur"),
-            "slip_ggr_eur": F.col("ggr_eur"),
-            "stake_attr": F.col("stake_eur"),
-            "ggr_attr": F.col("ggr_eur"),
-        }
-    )
+
+def look_up_slips(legs: DataFrame, slips: DataFrame, written: bool = False) -> DataFrame:
+    """Legs, COMBINED ones with what they take from their slip; it is null on all others, which are slips
+    of their own. Legs need not be normalised. ``written`` says that ``slips`` are a written table."""
     of_slip = slips.where(_is_combined()).select(
         *SLIP_KEY,
         "slip_id",
@@ -150,15 +141,33 @@ def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:
         F.col("ggr_eur").alias("slip_ggr_eur"),
     )
     combined = lookup(
-        legs.where(_is_combined()), of_slip, SLIP_KEY, "n_legs", F.col("row_id")
+        legs.where(_is_combined()), of_slip, SLIP_KEY, "n_legs", F.col("row_id"), written=written
     )
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in of_slip.schema if f.name not in SLIP_KEY]
+    return legs.where(~_is_combined()).select("*", *nulls).unionByName(combined)
+
+
+def share_out(legs: DataFrame) -> DataFrame:
+    """Normalised legs of ``look_up_slips`` with all of SLIP_ON_LEG: a projection, no shuffle."""
+    lead = timing.lead_minutes(F.col("betslip_ts"), F.col("event_ts"))
+    alone = {
+        "slip_id": _slip_id("S", F.col("row_id")),
+        "n_legs": F.lit(1).cast("long"),
+        "n_matches": F.when(F.col("match_id").isNotNull(), F.lit(1)).otherwise(0).cast("long"),
+        "phase": timing.phase(lead),
+        "slip_unit": F.col("unit"),
+        "slip_currency": F.col("currency"),
+        "slip_stake_eur": F.col("stake_eur"),
+        "slip_ggr_eur": F.col("ggr_eur"),
+    }
     # Decimal division: exact, and half-up like every other money value.
-    share = lambda c: money(F.col(c) / F.col("n_legs"))
-    combined = combined.withColumns(
-        {"stake_attr": share("slip_stake_eur"), "ggr_attr": share("slip_ggr_eur")}
-    )
-    columns = [*legs.columns, *SLIP_ON_LEG]
-    return simple.select(*columns).unionByName(combined.select(*columns))
+    share = lambda c: money(F.col(f"slip_{c}") / F.col("n_legs"))
+    shares = {
+        f"{c.removesuffix('_eur')}_attr": F.when(_is_combined(), share(c)).otherwise(F.col(c))
+        for c in ("stake_eur", "ggr_eur")
+    }
+    own = {c: F.when(_is_combined(), F.col(c)).otherwise(value).alias(c) for c, value in alone.items()}
+    return legs.withColumns(shares).withColumns(own)
 
 
 def data_window(df: DataFrame, start: str = config.DATA_START) -> DataFrame:

@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from slipstream.operators.fixtures import matches_with_day, with_fixture
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import pair_pulls, reconciled_union, row_identity
-from slipstream.operators.rollup import attribute_legs, build_slips, data_window
+from slipstream.operators.rollup import SLIP_ON_LEG, build_slips, combined_slips, data_window, look_up_slips, share_out
+from slipstream.schema import BY_DAY
 from slipstream.sources import binding, tables
 from slipstream.session import scratch_table
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Where one run's tables lie, and how to read them."""
+    """Where one run's tables lie, and how to read them.
+
+    ``legs_from`` names the written table of raw legs. Of all other tables one is written when it is first
+    read; it reads those it is made from, and no more.
+    """
 
     spark: SparkSession
     path: str
+    legs_from: str = "raw"
+    written: set[str] = field(default_factory=set)
 
     def read(self, name: str) -> DataFrame:
         if name == "slips":
             return data_window(self.all_slips)
+        if name in MAKERS and name not in self.written:
+            MAKERS[name](self, f"{self.path}/{name}")
+            self.written.add(name)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    @property
+    def raw(self) -> DataFrame:
+        """All legs as they came, with ``row_id``."""
+        legs = self.read(self.legs_from)
+        return legs if "row_id" in legs.columns else row_identity(legs.drop("ok"))
+
     @property
     def all_slips(self) -> DataFrame:
         """All slips, before the data window, which is a choice of day folders."""
@@ -33,8 +50,8 @@ class Tables:
 
     @property
     def normalized(self) -> DataFrame:
-        """All legs, normalised, before the data window."""
-        return self.read("normalized")
+        """All legs, normalised, before the data window: a projection of the raw ones, so it is not written."""
+        return normalize(self.raw)
 
     @property
     def slips(self) -> DataFrame:
@@ -50,21 +67,41 @@ class Tables:
         return self.read("matches")
 
 
-def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
-    """Normalise, roll up, cut the window and write.
+def _write_combined(made: Tables, path: str) -> None:
+    tables.write_plain(combined_slips(made.normalized), path)
 
-    ``legs`` carry ``row_id``. Normalised legs are written first, split by bet
-    type, because the roll-up reads SIMPLE and COMBINED legs separately.
-    """
-    made = Tables(spark, path)
-    tables.write_table(normalize(legs), f"{path}/normalized", ["bet_type"])
-    base = made.normalized
-    tables.write_by_day(build_slips(base), f"{path}/all_slips")
-    # A leg has its slip's betslip time, so both sides can be cut beforehand.
-    kept = data_window(base)
-    tables.write_table(matches_with_day(kept), f"{path}/matches")
-    tables.write_by_day(with_fixture(attribute_legs(kept, made.slips), made.matches), f"{path}/legs")
-    return made
+
+def _write_slips(made: Tables, path: str) -> None:
+    tables.write_by_day(build_slips(made.normalized, made.read("combined_slips")), path)
+
+
+def _write_matches(made: Tables, path: str) -> None:
+    # A leg has its slip's betslip time, so both can be cut beforehand.
+    tables.write_table(matches_with_day(data_window(made.raw)), path)
+
+
+def _write_legs(made: Tables, path: str) -> None:
+    """Legs are shuffled as they came, with what only others know: their slip and their fixture. All that
+    follows from these is worked out after they are dealt to days."""
+    looked_up = look_up_slips(data_window(made.raw), data_window(made.read("combined_slips")), written=True)
+    columns = [*made.normalized.columns, *SLIP_ON_LEG, "fixture", "fixture_day", BY_DAY]
+    tables.write_by_day(
+        with_fixture(looked_up, made.matches), path, lambda legs: share_out(normalize(legs)).select(*columns)
+    )
+
+
+MAKERS: dict[str, Callable[[Tables, str], None]] = {
+    "combined_slips": _write_combined,
+    "all_slips": _write_slips,
+    "matches": _write_matches,
+    "legs": _write_legs,
+}
+
+
+def build_tables(spark: SparkSession, legs: DataFrame, path: str) -> Tables:
+    """Write the legs, which carry ``row_id``; roll-up, window and the rest are written when first read."""
+    tables.write_table(legs, f"{path}/raw")
+    return Tables(spark, path)
 
 
 def from_pulls(spark: SparkSession, a: DataFrame, b: DataFrame, path: str) -> Tables:
@@ -76,13 +113,12 @@ _built: dict[tuple[str, str], Tables] = {}
 
 
 def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Tables over the bound legs of ``sf_dir``, written once per application."""
+    """Tables over the bound legs of ``sf_dir``, each written once per application, when first read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         path = scratch_table(spark, "tables")
-        tables.write_table(binding.bound_legs(spark, sf_dir), f"{path}/bound")
-        raw = spark.read.parquet(f"{path}/bound")
-        _built[key] = build_tables(spark, row_identity(raw.drop("ok")), path)
+        tables.write_plain(binding.bound_legs(spark, sf_dir), f"{path}/bound")
+        _built[key] = Tables(spark, path, "bound")
     return _built[key]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +17,11 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_plain(df: DataFrame, path: str) -> None:
+    """Parquet in the partitions that the rows have: they are not shuffled for it."""
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+
+
 # Rows of a day lie in this order as far as a table has the columns, so that Parquet's page statistics
 # tell a reader which pages hold one fixture or, inside a fixture, one customer.
 CLUSTER = ["fixture", "uid"]
@@ -24,17 +29,22 @@ PAGE_ROWS = 2000
 BLOOM_COLUMNS = ["uid", "fixture"]
 
 
-def write_by_day(df: DataFrame, path: str) -> None:
+def write_by_day(df: DataFrame, path: str, derived: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Slips or legs, partitioned by betslip date and clustered inside a day.
 
     The rebalance hint splits a heavy day; every piece is then ordered by CLUSTER. Pages are short, and
     row groups carry Bloom filters, so a filter on one customer or fixture skips most of a day.
+    ``derived`` adds the columns that follow from a row alone: after the rows are dealt, so that they are
+    not shuffled.
     """
     dated = df.withColumn(BY_DAY, F.to_date("betslip_ts")).hint("rebalance", BY_DAY)
-    order = [c for c in CLUSTER if c in df.columns]
+    if derived is not None:
+        dated = derived(dated)
+    order = [c for c in CLUSTER if c in dated.columns]
     writer = dated.sortWithinPartitions(BY_DAY, *order).write.mode("errorifexists").partitionBy(BY_DAY)
-    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS if c in df.columns}
-    writer.options(**{"parquet.page.row.count.limit": str(PAGE_ROWS), **blooms}).parquet(path)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS if c in dated.columns}
+    pages = {"compression": "zstd", "parquet.page.row.count.limit": str(PAGE_ROWS)}
+    writer.options(**pages, **blooms).parquet(path)
 
 
 def read_by_day(spark: SparkSession, path: str) -> DataFrame:
