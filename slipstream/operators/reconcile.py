@@ -21,19 +21,31 @@ def occurrence_key(legs: DataFrame, chunk_rows: int = config.OCCURRENCE_CHUNK_RO
     have any.
     """
     # As one struct the nulls of a bet's columns are equal in a plain join, which
-    # then reuses the window's partitioning instead of moving the legs again.
-    parts = legs.withColumns(
-        {
-            "__bet": F.struct("source", *IDENTITY),
-            "__stretch": F.floor(F.col("source_row") / F.lit(chunk_rows)),
-        }
+    # then reuses the window's partitioning instead of moving the legs again. The
+    # struct stands for its columns, so that they are not shuffled twice.
+    bet = ["source", *IDENTITY]
+    parts = legs.select(
+        F.struct(*bet).alias("__bet"),
+        F.floor(F.col("source_row") / F.lit(chunk_rows)).alias("__stretch"),
+        *[c for c in legs.columns if c not in bet],
     )
     in_stretch = Window.partitionBy("__bet", "__stretch").orderBy("source_row")
+    # Bets in several stretches are few. A bet alone with its hash is in one stretch if the hash is; of the
+    # others the copies are counted by the bet itself, so a false match of hashes changes nothing.
+    hashed = parts.withColumn("__hash", F.xxhash64("__bet"))
+    # They are written, so that a plan made later knows how few they are.
+    spanning = cut_lineage(
+        hashed.groupBy("__hash")
+        .agg(F.min("__stretch").alias("__first"), F.max("__stretch").alias("__last"))
+        .where(F.col("__first") < F.col("__last"))
+        .select("__hash")
+    )
     earlier = (
         Window.partitionBy("__bet").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        parts.groupBy("__bet", "__stretch")
+        hashed.join(spanning, "__hash", "left_semi")
+        .groupBy("__bet", "__stretch")
         .agg(F.count("*").alias("__copies"))
         .withColumn("__offset", F.sum("__copies").over(earlier))
         .where(F.col("__offset") > 0)
@@ -41,7 +53,7 @@ def occurrence_key(legs: DataFrame, chunk_rows: int = config.OCCURRENCE_CHUNK_RO
     )
     numbered = parts.withColumn("__nth", F.row_number().over(in_stretch) - 1)
     return numbered.join(offsets, ["__bet", "__stretch"], "left").select(
-        *legs.columns,
+        *[F.col("__bet")[c].alias(c) if c in bet else F.col(c) for c in legs.columns],
         (F.col("__nth") + F.coalesce(F.col("__offset"), F.lit(0))).cast("long").alias("occurrence"),
     )
 

@@ -1,3 +1,5 @@
+import re
+
 from slipstream.operators import reconcile as rc
 
 
@@ -58,3 +60,25 @@ def test_exact_duplicates_count_every_copy(rolled):
     _, legs = rolled([{}, {}, {"uid": "99"}])
     (d,) = rc.exact_duplicates(legs).collect()
     assert (d["dup_rows"], d["dup_rows_simple"], d["dup_rows_combined"], d["dup_stake_eur"]) == (2, 2, 0, 20)
+
+
+def test_zero_and_null_prices_of_one_bet_are_numbered_across_stretches(raw_legs):
+    rows = [{"price": (0.0, -0.0, None)[i % 3]} for i in range(12)]
+    got = rc.occurrence_key(raw_legs(rows), chunk_rows=3).orderBy("source_row").collect()
+    assert [r["occurrence"] for r in got if r["price"] is None] == list(range(4))
+    assert sorted(r["occurrence"] for r in got if r["price"] is not None) == list(range(8))
+
+
+def test_a_false_match_of_hashes_changes_no_number(raw_legs, monkeypatch):
+    legs = raw_legs([{"uid": str(i % 4)} for i in range(20)])
+    want = rc.occurrence_key(legs, chunk_rows=6).collect()
+    monkeypatch.setattr(rc.F, "xxhash64", lambda *c: rc.F.lit(7).cast("long"))
+    assert sorted(map(str, rc.occurrence_key(legs, chunk_rows=6).collect())) == sorted(map(str, want))
+
+
+def test_a_bet_is_shuffled_once_and_counted_only_if_it_may_span_stretches(spark, raw_legs):
+    plan = rc.occurrence_key(raw_legs([{"uid": str(i)} for i in range(9)]))._jdf.queryExecution()
+    text = spark._jvm.PythonSQLUtils.explainString(plan, "formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+    assert moved and not [x for x in moved if "__bet#" in x and "uid#" in x]
+    assert "LeftSemi" in plan.optimizedPlan().toString()
