@@ -44,7 +44,8 @@ ONE_FIELD = {
 
 @dataclass(frozen=True)
 class Run:
-    """What the queries of one data folder read."""
+    """What the queries of one data folder read. Queries of one run share its tables, and only they: what
+    another query has read before does not change what a query costs."""
 
     spark: SparkSession
     sf_dir: str
@@ -53,6 +54,22 @@ class Run:
     def tables(self) -> Tables:
         return bound_tables(self.spark, self.sf_dir)
 
+    @property
+    def slip_rows(self) -> DataFrame:
+        return self.tables.slip_rows
+
+    @property
+    def window_legs(self) -> DataFrame:
+        return self.tables.window_legs
+
+    @property
+    def plain_legs(self) -> DataFrame:
+        return self.tables.plain_legs
+
+    @property
+    def money_legs(self) -> DataFrame:
+        return self.tables.money_legs
+
     @property
     def bound(self) -> DataFrame:
         return self.tables.read("bound").drop("ok")
@@ -81,7 +98,7 @@ class Run:
 
     @property
     def pulls(self) -> tuple[DataFrame, DataFrame]:
-        return bound_pulls(self.spark, self.sf_dir)
+        return bound_pulls(self.tables)
 
     @property
     def pairs(self) -> DataFrame:
@@ -89,7 +106,7 @@ class Run:
 
     @property
     def priced(self) -> DataFrame:
-        return prices.price_legs(self.legs)
+        return prices.price_legs(self.money_legs)
 
     @property
     def stats(self) -> DataFrame:
@@ -106,7 +123,7 @@ class Run:
 
     @property
     def scored(self) -> DataFrame:
-        return customers.scored_customers(self.slips, self.legs, self.clv_legs)
+        return customers.scored_customers(self.slip_rows, self.money_legs, self.clv_legs)
 
     @property
     def watchlist(self) -> DataFrame:
@@ -114,7 +131,7 @@ class Run:
 
     @property
     def anomalies(self) -> DataFrame:
-        return anomalies.anomalies(self.slips, self.legs, self.stats_once)
+        return anomalies.anomalies(self.slip_rows, self.money_legs, self.stats_once)
 
     @property
     def fixture_legs(self) -> DataFrame:
@@ -138,7 +155,7 @@ class Run:
 
     @cached_property
     def star(self) -> star_export.StarExport:
-        return star_export.StarExport(self.slips, self.legs)
+        return star_export.StarExport(self.slip_rows, self.tables.leg_rows(), self.window_legs)
 
 
 def plain(df: DataFrame, places: int = 6) -> DataFrame:
@@ -228,7 +245,7 @@ def _typed_legs(run: Run) -> DataFrame:
 
 def _write_slips_legs(run: Run) -> DataFrame:
     path = scratch_table(run.spark, "written")
-    store.write_slips_legs(run.slips.drop("betslip_date"), run.legs.drop("betslip_date"), path)
+    store.write_slips_legs(run.slip_rows, run.tables.leg_rows(fixtures=True), path)
 
     def days(name: str, stake: str) -> DataFrame:
         return store.read_by_day(run.spark, f"{path}/{name}").groupBy(F.lit(name).alias("name"), "betslip_date").agg(
@@ -240,7 +257,7 @@ def _write_slips_legs(run: Run) -> DataFrame:
 
 def _write_facts(run: Run) -> DataFrame:
     path = scratch_table(run.spark, "facts")
-    cards, counts = facts.headline_cards(run.slips), plain(facts.phase_counts(run.slips), 2)
+    cards, counts = facts.headline_cards(run.slip_rows), plain(facts.phase_counts(run.slip_rows), 2)
     store.write_facts({"cards": cards, "phases": counts}, path)
     back = store.read_fact(run.spark, path, "cards", cards)
     phases = store.read_fact(run.spark, path, "phases", counts)
@@ -273,9 +290,9 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "star_export_decoded": lambda r: star_export.decoded_legs(r.star.leg_facts, r.star.matches, r.star.markets).select(
         "row_id", "match_id", "name", "market_clean", "market_group"
     ),
-    "matches_dim": lambda r: fixtures.matches_dim(r.legs),
-    "markets_dim": lambda r: star_export.markets_dim(r.legs),
-    "brand_name": lambda r: star_export.brand_name(r.slips),
+    "matches_dim": lambda r: fixtures.matches_dim(r.window_legs),
+    "markets_dim": lambda r: star_export.markets_dim(r.window_legs),
+    "brand_name": lambda r: star_export.brand_name(r.slip_rows),
     # reconciliation
     "occurrence_key": lambda r: reconcile.occurrence_key(r.pulls[0].unionByName(r.pulls[1])).select(
         "source", "source_row", "occurrence"
@@ -292,7 +309,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
         "source", "source_row", "uid", "betslip_ts", "match_id", "option_raw", "stake", "ggr", "net_revenue"
     ),
     "row_identity": lambda r: reconcile.reconciled_union(r.pairs).select("source", "source_row", "row_id"),
-    "exact_duplicates": lambda r: reconcile.exact_duplicates(r.legs),
+    "exact_duplicates": lambda r: reconcile.exact_duplicates(r.window_legs),
     # normalisation
     "market_clean": lambda r: _labels(r, "market_raw", "market_clean"),
     "market_group": lambda r: _labels(r, "market_raw", "market_group"),
@@ -315,33 +332,33 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "phase": lambda r: r.all_slips.select("slip_id", "phase"),
     "data_window": lambda r: rollup.window_report(r.all_slips),
     # facts
-    "headline_totals": lambda r: facts.headline_totals(r.slips),
-    "raw_row_totals": lambda r: facts.raw_row_totals(r.legs),
-    "phase_counts": lambda r: facts.phase_counts(r.slips),
+    "headline_totals": lambda r: facts.headline_totals(r.slip_rows),
+    "raw_row_totals": lambda r: facts.raw_row_totals(r.window_legs),
+    "phase_counts": lambda r: facts.phase_counts(r.slip_rows),
     "recon_table": lambda r: facts.recon_table(
-        reconcile.file_stats(r.pulls[0].unionByName(r.pulls[1])), r.slips, r.legs
+        reconcile.file_stats(r.pulls[0].unionByName(r.pulls[1])), r.slip_rows, r.window_legs
     ),
     "consistency_check": lambda r: facts.consistency_check(
-        r.slips, r.legs, facts.headline_cards(r.slips), r.star.slip_facts, r.star.leg_facts, strict=True
+        r.slip_rows, r.window_legs, facts.headline_cards(r.slip_rows), r.star.slip_facts, r.star.leg_facts, strict=True
     ),
     # prices and customers
-    "price_legs": lambda r: r.priced.select("row_id", "sel_key", "pre_ko"),
+    "price_legs": lambda r: prices.price_legs(r.window_legs).select("row_id", "sel_key", "pre_ko"),
     "selection_stats": lambda r: r.stats,
     "selection_exposure": lambda r: prices.selection_exposure(r.stats),
     "eligible_selections": lambda r: prices.eligible_selections(r.stats).select("sel_key", "n_legs", "n_prices"),
     "proxy_clv": lambda r: r.clv_legs.select("row_id", "uid", "ref_price", "proxy_clv"),
-    "customer_stats": lambda r: customers.customer_stats(r.slips).select(
+    "customer_stats": lambda r: customers.customer_stats(r.slip_rows).select(
         "uid", "slips", "stake", "ggr", "avg_stake", "channel", "n_units", "customer_margin"
     ),
-    "win_rate": lambda r: customers.win_rate(r.slips),
-    "phase_shares": lambda r: customers.phase_shares(r.slips),
+    "win_rate": lambda r: customers.win_rate(r.slip_rows),
+    "phase_shares": lambda r: customers.phase_shares(r.slip_rows),
     "customer_clv": lambda r: customers.customer_clv(r.clv_legs),
-    "eligible_customers": lambda r: customers.eligible_customers(customers.customer_stats(r.slips)).select(
+    "eligible_customers": lambda r: customers.eligible_customers(customers.customer_stats(r.slip_rows)).select(
         "uid", "slips", "stake"
     ),
     "percentile_components": lambda r: r.scored.select("uid", "c_clv", "c_win", "c_lineup", "c_stake", "c_focus"),
-    "market_focus_hhi": lambda r: customers.market_focus(r.legs).select("uid", "hhi"),
-    "top_market_group": lambda r: customers.top_market_group(r.legs),
+    "market_focus_hhi": lambda r: customers.market_focus(r.money_legs).select("uid", "hhi"),
+    "top_market_group": lambda r: customers.top_market_group(r.money_legs),
     "sharpness_score": lambda r: r.scored.select("uid", "score"),
     "watchlist": _listed,
     "watch_reasons": lambda r: customers.watch_reasons(r.watchlist),
@@ -350,80 +367,81 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "price_drift": lambda r: anomalies.price_drift(r.stats),
     "repeated_support": lambda r: anomalies.repeated_support(r.stats_once),
     "exposure": lambda r: anomalies.exposure(r.stats),
-    "negative_pocket": lambda r: anomalies.negative_pocket(r.legs),
+    "negative_pocket": lambda r: anomalies.negative_pocket(r.money_legs),
     "turnover_spike": lambda r: anomalies.turnover_spike(r.slips, r.legs),
     "spike_driver": lambda r: anomalies.spike_driver(anomalies.spike_days(r.slips), r.legs),
     "anomalies": lambda r: anomalies.anomaly_counts(r.anomalies),
     # findings
-    "phase_stats": lambda r: findings.phase_stats(r.slips),
-    "market_group_stats": lambda r: findings.market_group_stats(r.legs),
-    "channel_stats": lambda r: findings.channel_stats(r.slips),
-    "bet_type_stats": lambda r: findings.bet_type_stats(r.slips),
-    "channel_combined_mix": lambda r: findings.channel_combined_mix(r.slips),
-    "daily_flow": lambda r: findings.daily_flow(r.slips),
+    "phase_stats": lambda r: findings.phase_stats(r.slip_rows),
+    "market_group_stats": lambda r: findings.market_group_stats(r.plain_legs),
+    "channel_stats": lambda r: findings.channel_stats(r.slip_rows),
+    "bet_type_stats": lambda r: findings.bet_type_stats(r.slip_rows),
+    "channel_combined_mix": lambda r: findings.channel_combined_mix(r.slip_rows),
+    "daily_flow": lambda r: findings.daily_flow(r.slip_rows),
     "worst_day_fixtures": lambda r: findings.worst_day_fixtures(r.slips, r.legs),
-    "star_share": lambda r: findings.star_share(r.legs),
-    "core_product_share": lambda r: findings.core_product_share(r.legs),
-    "market_prefix_pocket": lambda r: findings.market_prefix_pocket(r.legs),
-    "top10_customer_share": lambda r: findings.top10_customer_share(r.slips),
-    "customer_gini": lambda r: findings.customer_gini(r.slips),
+    "star_share": lambda r: findings.star_share(r.plain_legs),
+    "core_product_share": lambda r: findings.core_product_share(r.plain_legs),
+    "market_prefix_pocket": lambda r: findings.market_prefix_pocket(r.plain_legs),
+    "top10_customer_share": lambda r: findings.top10_customer_share(r.slip_rows),
+    "customer_gini": lambda r: findings.customer_gini(r.slip_rows),
     "watchlist_digest": _digest,
     "costliest_exposure": lambda r: findings.costliest_exposure(anomalies.exposure(r.stats)),
-    "late_bets": lambda r: findings.late_bets(r.slips),
-    "fixture_merge_counts": lambda r: findings.fixture_merge_counts(r.legs),
-    "billing_tiers": lambda r: findings.billing_tiers(r.slips),
-    "combined_composition": lambda r: findings.combined_composition(r.slips),
-    "repeated_selection_share": lambda r: findings.repeated_selection_share(r.legs),
-    "headline_cards": lambda r: facts.headline_cards(r.slips),
+    "late_bets": lambda r: findings.late_bets(r.slip_rows),
+    "fixture_merge_counts": lambda r: findings.fixture_merge_counts(r.window_legs),
+    "billing_tiers": lambda r: findings.billing_tiers(r.slip_rows),
+    "combined_composition": lambda r: findings.combined_composition(r.slip_rows),
+    "repeated_selection_share": lambda r: findings.repeated_selection_share(r.plain_legs),
+    "headline_cards": lambda r: facts.headline_cards(r.slip_rows),
     # interactive queries
     "filter_slips": lambda r: filters.filter_slips(r.slips, SOME_SLIPS).select("slip_id", "uid", "stake_eur"),
     "filter_by_legs": lambda r: filters.filter_by_legs(r.slips, r.legs, SOME_LEGS).select("slip_id", "stake_eur"),
-    "filter_legs": lambda r: filters.filter_legs(r.legs, SOME_LEGS).select("row_id", "slip_id"),
+    "filter_legs": lambda r: filters.filter_legs(r.plain_legs, SOME_LEGS).select("row_id", "slip_id"),
     **{
         f"filter_by_{name}": lambda r, f=f: filters.totals(filters.filter_by_legs(r.slips, r.legs, f))
         for name, f in ONE_FIELD.items()
     },
     "totals": lambda r: filters.totals(filters.filter_slips(r.slips, SOME_SLIPS)),
     "share_of_total": lambda r: filters.share_of_total(filters.filter_slips(r.slips, SOME_SLIPS), r.slips),
-    "group_by_slip_field": lambda r: filters.group_by_slip_field(r.slips, "unit"),
-    "competition_breakdown": lambda r: filters.competition_breakdown(r.slips),
-    "time_series": lambda r: series.time_series(r.slips, "turnover", "phase", series.DAY),
-    "time_series_hourly": lambda r: series.time_series(r.slips, "customers", "channel", series.HOUR),
-    "time_series_avg": lambda r: series.time_series(r.slips, "avg_stake", "bet_type", series.DAY),
-    "time_series_ggr": lambda r: series.time_series(r.slips, "ggr", "none", series.DAY),
-    "time_series_slips": lambda r: series.time_series(r.slips, "slips", "bet_type", series.HOUR),
-    "series_totals": lambda r: series.series_totals(r.slips, "customers", "channel", series.DAY),
-    "fixture_groups": lambda r: fixtures.fixture_groups(r.legs),
+    "group_by_slip_field": lambda r: filters.group_by_slip_field(r.slip_rows, "unit"),
+    "competition_breakdown": lambda r: filters.competition_breakdown(r.slip_rows),
+    "time_series": lambda r: series.time_series(r.slip_rows, "turnover", "phase", series.DAY),
+    "time_series_hourly": lambda r: series.time_series(r.slip_rows, "customers", "channel", series.HOUR),
+    "time_series_avg": lambda r: series.time_series(r.slip_rows, "avg_stake", "bet_type", series.DAY),
+    "time_series_ggr": lambda r: series.time_series(r.slip_rows, "ggr", "none", series.DAY),
+    "time_series_slips": lambda r: series.time_series(r.slip_rows, "slips", "bet_type", series.HOUR),
+    "series_totals": lambda r: series.series_totals(r.slip_rows, "customers", "channel", series.DAY),
+    "fixture_groups": lambda r: fixtures.fixture_groups(r.window_legs),
     "fixture_slips": lambda r: r.one_fixture,
     "fixture_table": lambda r: r.fixture_table,
     "fixture_search": lambda r: fixtures.fixture_search(r.fixture_table, "side4"),
-    "fixture_flow": lambda r: fixtures.fixture_flow(r.one_fixture, r.kickoff),
+    "fixture_flow": lambda r: fixtures.fixture_flow(fixtures.fixture_slips(r.tables.leg_rows(fixtures=True), *FIXTURE), r.kickoff),
     "fixture_detail": lambda r: fixtures.fixture_detail(r.one_fixture),
-    "concentrate_slip": lambda r: concentration.concentrate_slip(r.slips, "uid"),
-    "concentrate_leg": lambda r: concentration.concentrate_leg(r.legs, "selection"),
+    "concentrate_slip": lambda r: concentration.concentrate_slip(r.slip_rows, "uid"),
+    "concentrate_leg": lambda r: concentration.concentrate_leg(r.plain_legs, "selection"),
     **{
-        f"concentrate_slip_{dim}": lambda r, dim=dim: concentration.concentrate_slip(r.slips, dim)
+        f"concentrate_slip_{dim}": lambda r, dim=dim: concentration.concentrate_slip(r.slip_rows, dim)
         for dim in concentration.SLIP_DIMS[1:]
     },
     **{
-        f"concentrate_leg_{dim}": lambda r, dim=dim: concentration.concentrate_leg(r.legs, dim)
+        f"concentrate_leg_{dim}": lambda r, dim=dim: concentration.concentrate_leg(r.plain_legs, dim)
         for dim in ("competition", "market_group", "market", "player")
     },
-    "concentrate_line": lambda r: concentration.concentrate_leg(r.legs, "line"),
-    "concentrate_team": lambda r: concentration.concentrate_leg(r.legs, "team"),
-    "top_n_share": lambda r: concentration.top_n_share(concentration.concentrate_leg(r.legs, "player")),
+    "concentrate_line": lambda r: concentration.concentrate_leg(r.plain_legs, "line"),
+    "concentrate_team": lambda r: concentration.concentrate_leg(r.plain_legs, "team"),
+    "top_n_share": lambda r: concentration.top_n_share(concentration.concentrate_leg(r.plain_legs, "player")),
     "top_n_share_selection": lambda r: concentration.top_n_share(
-        concentration.concentrate_leg(r.legs, "selection")
+        concentration.concentrate_leg(r.plain_legs, "selection")
     ),
-    "top10_share": lambda r: concentration.top10_share(concentration.concentrate_slip(r.slips, "uid")),
-    "lorenz": lambda r: concentration.lorenz(concentration.concentrate_slip(r.slips, "uid")),
-    "gini": lambda r: concentration.gini(concentration.concentrate_leg(r.legs, "selection"), "Selection"),
-    "drill_rows": lambda r: concentration.drill_rows(r.legs, "market_group", "Team stats"),
-    "drill_total": lambda r: concentration.drill_total(r.legs, "market_group", "Team stats"),
-    "price_trace": lambda r: prices.price_trace(r.legs, *SELECTION),
+    "top10_share": lambda r: concentration.top10_share(concentration.concentrate_slip(r.slip_rows, "uid")),
+    "lorenz": lambda r: concentration.lorenz(concentration.concentrate_slip(r.slip_rows, "uid")),
+    "gini": lambda r: concentration.gini(concentration.concentrate_leg(r.plain_legs, "selection"), "Selection"),
+    "drill_rows": lambda r: concentration.drill_rows(r.plain_legs, "market_group", "Team stats"),
+    "drill_total": lambda r: concentration.drill_total(r.plain_legs, "market_group", "Team stats"),
+    "price_trace": lambda r: prices.price_trace(r.plain_legs, *SELECTION),
 }
 
 
-def run_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_query(name: str, spark: SparkSession, sf_dir: str, run: Run | None = None) -> DataFrame:
+    """A registered query, over tables of its own or those of ``run``."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return plain(QUERIES[name](Run(spark, sf_dir)))
+    return plain(QUERIES[name](run or Run(spark, sf_dir)))

@@ -21,7 +21,9 @@ class Tables:
     """Where one run's tables lie, and how to read them.
 
     ``legs_from`` names the written table of raw legs. Of all other tables one is written when it is first
-    read; it reads those it is made from, and no more.
+    read; it reads those it is made from, and no more. Tables dealt to days serve filters on days, customers
+    and fixtures; what reads all rows reads ``slip_rows``, ``window_legs``, ``leg_rows``, ``plain_legs`` or
+    ``money_legs``, for which no whole rows are shuffled.
     """
 
     spark: SparkSession
@@ -61,6 +63,37 @@ class Tables:
     def legs(self) -> DataFrame:
         return self.read("legs")
 
+    @property
+    def slip_rows(self) -> DataFrame:
+        """The rows of ``slips``, derived where they are read: SIMPLE legs are projected, COMBINED slips are a
+        written table, so nothing is shuffled or written for it."""
+        return data_window(build_slips(self.normalized, self.read("combined_slips")))
+
+    @property
+    def window_legs(self) -> DataFrame:
+        """The rows of ``legs`` without their slip and fixture: a projection."""
+        return normalize(data_window(self.raw))
+
+    def leg_rows(self, fixtures: bool = False) -> DataFrame:
+        """The rows of ``legs``, derived where they are read. Only with ``fixtures`` have they theirs; it is
+        looked up first, so that a filter on it spares the other legs the look-up of their slip."""
+        legs = data_window(self.raw)
+        return share_out(normalize(self._with_slips(with_fixture(legs, self.matches) if fixtures else legs)))
+
+    @property
+    def plain_legs(self) -> DataFrame:
+        """``leg_rows`` without fixtures, written in the partitions that they have, for queries that read them
+        more than once."""
+        return self.read("plain_legs")
+
+    @property
+    def money_legs(self) -> DataFrame:
+        """``plain_legs`` with the columns only that prices, customer scores and anomalies read."""
+        return self.read("money_legs")
+
+    def _with_slips(self, legs: DataFrame) -> DataFrame:
+        return look_up_slips(legs, data_window(self.read("combined_slips")), written=True)
+
     @property
     def matches(self) -> DataFrame:
         """The match dimension of the legs, with the day each match counts for."""
@@ -83,18 +116,34 @@ def _write_matches(made: Tables, path: str) -> None:
 def _write_legs(made: Tables, path: str) -> None:
     """Legs are shuffled as they came, with what only others know: their slip and their fixture. All that
     follows from these is worked out after they are dealt to days."""
-    looked_up = look_up_slips(data_window(made.raw), data_window(made.read("combined_slips")), written=True)
+    looked_up = made._with_slips(data_window(made.raw))
     columns = [*made.normalized.columns, *SLIP_ON_LEG, "fixture", "fixture_day", BY_DAY]
     tables.write_by_day(
         with_fixture(looked_up, made.matches), path, lambda legs: share_out(normalize(legs)).select(*columns)
     )
 
 
+def _write_plain_legs(made: Tables, path: str) -> None:
+    tables.write_plain(made.leg_rows(), path)
+
+
+MONEY_COLUMNS = [
+    "row_id", "uid", "match", "competition", "market_clean", "market_group", "option_raw", "price", "event_ts",
+    "betslip_ts", "stake_attr", "ggr_attr",
+]
+
+
+def _write_money_legs(made: Tables, path: str) -> None:
+    tables.write_plain(made.leg_rows().select(*MONEY_COLUMNS), path)
+
+
 MAKERS: dict[str, Callable[[Tables, str], None]] = {
     "combined_slips": _write_combined,
     "all_slips": _write_slips,
     "matches": _write_matches,
     "legs": _write_legs,
+    "plain_legs": _write_plain_legs,
+    "money_legs": _write_money_legs,
 }
 
 
@@ -109,20 +158,14 @@ def from_pulls(spark: SparkSession, a: DataFrame, b: DataFrame, path: str) -> Ta
     return build_tables(spark, reconciled_union(pair_pulls(a, b)), path)
 
 
-_built: dict[tuple[str, str], Tables] = {}
-
-
 def bound_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Tables over the bound legs of ``sf_dir``, each written once per application, when first read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        path = scratch_table(spark, "tables")
-        tables.write_plain(binding.bound_legs(spark, sf_dir), f"{path}/bound")
-        _built[key] = Tables(spark, path, "bound")
-    return _built[key]
+    """Tables over the bound legs of ``sf_dir``, for one run. Bound legs are written here, all else when first read."""
+    path = scratch_table(spark, "tables")
+    tables.write_plain(binding.bound_legs(spark, sf_dir), f"{path}/bound")
+    return Tables(spark, path, "bound")
 
 
-def bound_pulls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def bound_pulls(made: Tables) -> tuple[DataFrame, DataFrame]:
     """The bound legs split into the two overlapping pulls."""
-    legs = bound_tables(spark, sf_dir).read("bound")
+    legs = made.read("bound")
     return binding.pull_a(legs), binding.pull_b(legs)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import row_identity
 from slipstream.operators.rollup import attribute_legs, build_slips
-from slipstream.plans.tables import bound_tables, build_tables
+from slipstream.plans.catalog import QUERIES, Run
+from slipstream.plans.tables import MONEY_COLUMNS, bound_tables, build_tables
 from slipstream.session import scratch_table
 from slipstream.sources import binding
 
@@ -65,3 +66,50 @@ def test_written_tables_equal_the_operators(spark, raw_legs):
     assert rows(made.all_slips, slips) == rows(slips, slips)
     shared = attribute_legs(whole, slips)
     assert rows(made.legs, shared) == rows(shared, shared)
+
+
+def test_rows_derived_where_they_are_read_are_those_of_the_written_tables(spark, small):
+    made = bound_tables(spark, small)
+    rows = lambda df, columns: sorted(map(str, df.select(*columns).collect()))
+    own = [c for c in made.slips.columns if c != "betslip_date"]
+    assert rows(made.slip_rows, own) == rows(made.slips, own) != []
+    columns = [c for c in made.legs.columns if c != "betslip_date"]
+    alone = [c for c in columns if c not in ("fixture", "fixture_day")]
+    assert rows(made.leg_rows(fixtures=True), columns) == rows(made.legs, columns) != []
+    assert rows(made.plain_legs, alone) == rows(made.legs, alone)
+    assert rows(made.money_legs, MONEY_COLUMNS) == rows(made.legs, MONEY_COLUMNS)
+    assert rows(made.window_legs, made.window_legs.columns) == rows(made.legs, made.window_legs.columns)
+
+
+DEALT_TO_DAYS = {"all_slips", "legs"}
+
+
+@pytest.mark.parametrize(
+    "name,writes",
+    [
+        ("fixture_groups", {"bound"}),
+        ("headline_cards", {"bound", "combined_slips"}),
+        ("group_by_slip_field", {"bound", "combined_slips"}),
+        ("slips", {"bound"}),
+        ("star_export_facts", {"bound", "combined_slips"}),
+        ("star_export_decoded", {"bound", "combined_slips"}),
+        ("fixture_flow", {"bound", "combined_slips", "matches"}),
+        ("proxy_clv", {"bound", "combined_slips", "money_legs"}),
+        ("sharpness_score", {"bound", "combined_slips", "money_legs"}),
+        ("anomalies", {"bound", "combined_slips", "money_legs"}),
+        ("filter_legs", {"bound", "combined_slips", "plain_legs"}),
+    ],
+)
+def test_queries_of_all_rows_deal_none_to_days(spark, small, name, writes):
+    other = Run(spark, small)
+    QUERIES[name](other).count()
+    assert set(os.listdir(other.tables.path.removeprefix("file:"))) == writes
+    assert not writes & DEALT_TO_DAYS
+
+
+def test_what_one_run_has_written_is_not_read_by_another(spark, small):
+    """A query costs the same whatever ran before it."""
+    first, second = Run(spark, small), Run(spark, small)
+    assert first.tables.slips.count() == second.tables.slips.count()
+    assert first.tables.path != second.tables.path
+    assert first.tables is first.tables
