@@ -4,8 +4,9 @@ Files are read in blocks. Whether a line starts inside a quoted field depends on
 but only on whether their number is odd. So each block's quotes are counted first, and running sums over
 the blocks of a file, a row each, say how every block starts. Blocks that start outside quotes and hold
 no line with an odd number of them have one record a line; they are not shuffled. In the others the
-state runs along the lines of one block at a time, and only lines of records that span several are put
-together; a record may cross any number of blocks.
+first and the last line with an odd number tell which lines belong to a record that crosses blocks, any
+number of them; only these lines are dealt by the record. In all other lines the state runs along one block
+at a time, and its records are put together where they are: each line is shuffled once.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ def block_states(lines: DataFrame) -> DataFrame:
     """
     odd = F.when(_quotes() % 2 == 1, F.col("place"))
     blocks = lines.groupBy(*BLOCK).agg(
-        F.sum(_quotes()).alias("quotes"), F.min(odd).alias("first_odd"), F.max("place").alias("last")
+        F.sum(_quotes()).alias("quotes"), F.min(odd).alias("first_odd"), F.max(odd).alias("last_odd"),
+        F.max("place").alias("last"),
     )
     in_file = Window.partitionBy("file").orderBy("block")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +71,7 @@ def block_states(lines: DataFrame) -> DataFrame:
     unclosed = F.raise_error(F.concat(F.lit("quotes do not close in "), F.col("file"))).cast("boolean")
     plain = (F.col("open") == 0) & F.col("first_odd").isNull()
     return blocks.select(
-        *BLOCK, "open", "ends_open", begun.alias("begun"),
+        *BLOCK, "open", "ends_open", "first_odd", "last_odd", begun.alias("begun"),
         F.when(all_quotes % 2 == 1, unclosed).otherwise(plain).alias("plain"),
     )
 
@@ -80,23 +82,24 @@ def records(lines: DataFrame) -> DataFrame:
     placed = lines.join(states, BLOCK)
     single = placed.where("plain").select("value")
 
-    in_block = Window.partitionBy(*BLOCK)
-    along = in_block.orderBy("place")
-    quotes_before = F.coalesce(F.sum(_quotes()).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    mixed = placed.where(~F.col("plain")).withColumn("inside", (F.col("open") + quotes_before) % 2)
-    nth = F.sum(1 - F.col("inside"))
-    mixed = mixed.withColumns(
-        {"nth": nth.over(along.rowsBetween(Window.unboundedPreceding, 0)), "all": nth.over(in_block)}
+    # what is open at a block's start runs up to its first odd line, what is open at its end from its last one on
+    head = (F.col("open") == 1) & (F.col("place") <= F.coalesce("first_odd", "place"))
+    tail = (F.col("ends_open") == 1) & F.coalesce(F.col("place") >= F.col("last_odd"), F.lit(False))
+    mixed = placed.where(~F.col("plain")).withColumn("head", head)
+    across = mixed.where(F.col("head") | tail).select(
+        "file", F.when(F.col("head"), F.col("begun")).otherwise(F.col("block")).alias("begun"), "block", "place", "value"
     )
-    alone = (F.col("inside") == 0) & (_quotes() % 2 == 0)
-    # a record is named by the block it starts in and its number there; 0 is the one that goes on behind the block
-    goes_on = (F.col("nth") == F.col("all")) & (F.col("ends_open") == 1)
-    parts = mixed.where(~alone).select(
-        "file", F.when(F.col("nth") == 0, F.col("begun")).otherwise(F.col("block")).alias("begun"),
-        F.when((F.col("nth") == 0) | goes_on, F.lit(0)).otherwise(F.col("nth")).alias("nth"), "block", "place", "value",
-    )
-    lines_of = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
-    joined = parts.groupBy("file", "begun", "nth").agg(lines_of.alias("lines"))
-    joined = joined.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
-    whole = single.unionByName(mixed.where(alone).select("value")).unionByName(joined)
+
+    def joined(parts: DataFrame, keys: list[str]) -> DataFrame:
+        lines_of = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
+        texts = parts.groupBy(*keys).agg(lines_of.alias("lines"))
+        return texts.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
+
+    # all other lines of a block start outside quotes and end there; they are grouped where the window left them
+    along = Window.partitionBy(*BLOCK).orderBy("place")
+    quotes_before = F.coalesce(F.sum(_quotes()).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = mixed.where(~(F.col("head") | tail)).select(*BLOCK, "place", "value").withColumn("inside", quotes_before % 2)
+    nth = F.sum(1 - F.col("inside")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    inner = joined(inner.withColumn("nth", nth), [*BLOCK, "nth"])
+    whole = single.unionByName(inner).unionByName(joined(across, ["file", "begun"]))
     return whole.select(F.rtrim("value", F.lit("\r")).alias("value")).where(F.trim("value") != "")

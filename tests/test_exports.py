@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slipstream import schema
 from slipstream.sources.exports import load_export
+from slipstream.sources.records import read_lines, records
 
 HEAD = ["Billing report", "", "pulled today", ""]
 
@@ -161,3 +163,14 @@ def test_lines_without_breaks_are_not_shuffled(spark, tmp_path):
     plan = load_export(spark, write(tmp_path / "a.csv", NAMES, [GOOD] * 9), "A")._jdf.queryExecution().executedPlan().toString()
     first_branch = plan.split("Union", 1)[1].split("Window", 1)[0]
     assert "Exchange hashpartitioning" not in first_branch
+
+
+def test_lines_of_a_block_are_shuffled_once_and_crossing_records_alone(spark, tmp_path, small_blocks):
+    path = tmp_path / "one.csv"
+    path.write_text("".join(f'{i},"a\nb""c",x\n' for i in range(40)) + '40,"' + "\n" * 200 + '"\n41,""\n')
+    lines = read_lines(spark, str(path))
+    found = records(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(file#\d+, block#\d+L", plan)) == 1
+    got = sorted(r["value"] for r in found.collect())
+    assert got == sorted([*(f'{i},"a\nb""c",x' for i in range(40)), '40,"' + "\n" * 200 + '"', '41,""'])
