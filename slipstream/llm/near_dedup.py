@@ -146,25 +146,25 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = 2) -> DataFrame:
-    """(fp, words48): the sets of the classes in ``wanted`` (``doc_id``, ``text_hash``, ``fp``), hashes cut to 48 bits."""
-    key = ["doc_id", "text_hash"]
-    rows = probably_in(doc_bytes(docs), wanted, key).where("likely").drop("likely").join(wanted, key)
+    """(fp, words48): the sets of the classes in ``wanted`` (``doc_id``, ``text_hash``, ``fp``), hashes cut to 48 bits.
+
+    A text tells its own fp, so texts are not shuffled to be given one; only sets are, once, by it.
+    """
+    rows = probably_in(doc_bytes(docs), wanted, ["doc_id", "text_hash"]).where("likely").drop("likely")
 
     def make():
         hashes = WordHashes()
 
         def step(batch):
-            fps, out = [], []
-            for t, fp in zip(batch.column("text").to_pylist(), batch.column("fp").to_pylist()):
-                s = shingles(t, hashes, words)
-                if len(s) and fingerprint(s) == fp:
-                    fps.append(fp)
-                    out.append(pack48(s))
-            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(out, pa.binary())], ["fp", "words48"])
+            sets = [s for t in batch.column("text").to_pylist() if len(s := shingles(t, hashes, words))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(map(fingerprint, sets), pa.binary()), pa.array(map(pack48, sets), pa.binary())], ["fp", "words48"]
+            )
 
         return step
 
-    return map_batches(rows, make, "fp binary, words48 binary").dropDuplicates(["fp"])
+    sets = map_batches(rows, make, "fp binary, words48 binary")
+    return sets.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def pack48(s: np.ndarray) -> bytes:

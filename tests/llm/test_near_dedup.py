@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -114,3 +116,21 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert all(got[i] == 1 for i in range(1, 201)) and all(got[k] == 1000 for k in range(1000, 1100))
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark):
+    docs = spark.createDataFrame([(i, f"one two three {i}") for i in range(20)] + [(3, "one two three 3"), (30, None)], "doc_id long, text string")
+    signed = near_dedup.signatures(docs)
+    wanted = signed.where("doc_id % 2 = 1").select("doc_id", "text_hash", "fp").distinct()
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near_dedup.shingle_sets(docs, common.written(wanted))
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+        # sets and wanted classes by fp; texts stay where they are
+        assert len(re.findall(r"Exchange hashpartitioning\(fp#\d+, ", plan)) == 2 == plan.count("Exchange hashpartitioning")
+        got = sorted((bytes(r["fp"]), bytes(r["words48"])) for r in sets.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    expected = [near_dedup.shingles(f"one two three {i}".encode(), common.WordHashes()) for i in range(1, 20, 2)]
+    assert got == sorted((near_dedup.fingerprint(s), near_dedup.pack48(s)) for s in expected)
