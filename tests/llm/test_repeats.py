@@ -42,6 +42,38 @@ def test_crowded_anchors_give_the_same_result(docs_of, monkeypatch):
     check(docs)
 
 
+def cut_by_hand(texts):
+    """What is left of texts without every 400 bytes that also start elsewhere."""
+    raw = [(t or "").encode() for t in texts]
+    seen = {}
+    for r in raw:
+        for i in range(len(r) - 399):
+            seen[r[i : i + 400]] = seen.get(r[i : i + 400], 0) + 1
+    out = []
+    for r in raw:
+        gone = {j for i in range(len(r) - 399) if seen[r[i : i + 400]] > 1 for j in range(i, i + 400)}
+        out.append(bytes(b for j, b in enumerate(r) if j not in gone).decode(errors="replace"))
+    return out
+
+
+@pytest.mark.parametrize("bits", [24, 7])
+def test_what_is_left_of_every_text_is_returned(docs_of, monkeypatch, bits):
+    """With few bits the filter takes most texts for changed ones."""
+    monkeypatch.setattr("slipstream.llm.common.FILTER_BITS", bits)
+    texts = [*some_texts(), *(f"text {i}" for i in range(30))]
+    got = {r.doc_id: r for r in remove_repeats(docs_of(list(enumerate(texts)))).collect()}
+    assert [got[i].text for i in range(len(texts))] == cut_by_hand(texts)
+    assert {r.n_spans for r in got.values() if not r.n_removed} == {0}
+
+
+def test_a_cut_character_does_not_break_the_text(docs_of):
+    """The last byte of ü and ¼ is equal, the first is not."""
+    shared = "".join(chr(97 + i * i % 23) for i in range(450))
+    texts = ["ü" + shared + " end", "¼" + shared]
+    rows = remove_repeats(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == cut_by_hand(texts) == ["\ufffd end", "\ufffd"]
+
+
 def test_awkward_rows(odd_docs, no_docs):
     short = odd_docs.where("doc_id is null or doc_id not in (8, 9)")
     check(short)
