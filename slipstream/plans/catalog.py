@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from slipstream import schema
 from slipstream.functions.numbers import money, rounded
@@ -18,7 +18,7 @@ from slipstream.operators.filters import Filters
 from slipstream.operators.normalize import normalize
 from slipstream.plans.tables import Tables, bound_pulls, bound_tables
 from slipstream.session import cut_lineage, scratch_table
-from slipstream.sources import tables as store
+from slipstream.sources import binding, tables as store
 from slipstream.sources.exports import load_export, typed_legs
 
 FIXTURE = ("Team1 - Side4", "2026-06-12")
@@ -74,6 +74,11 @@ class Run:
     def bound(self) -> DataFrame:
         return self.tables.read("bound").drop("ok")
 
+    @property
+    def bound_once(self) -> DataFrame:
+        """Bound legs for a query that reads them once: they are not written for it."""
+        return binding.bound_legs(self.spark, self.sf_dir).drop("ok")
+
     @property
     def fresh(self) -> DataFrame:
         """Legs normalised in the query itself."""
@@ -181,22 +186,22 @@ def _labels(run: Run, *columns: str) -> DataFrame:
     return run.fresh.groupBy(*columns).agg(F.count("*").alias("legs"))
 
 
-def _as_export(run: Run) -> DataFrame:
-    """The bound legs the way an export spells them: text, with the long headers."""
+def _as_export(legs: DataFrame) -> DataFrame:
+    """Bound legs the way an export spells them: text, with the long headers."""
     spelled = {
         c: F.date_format(c, schema.EXPORT_TIME_FORMAT)
         if c in schema.TIME_COLUMNS
         else F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" "))
         for c in schema.LEG_COLUMNS
     }
-    return run.bound.select(
+    return legs.select(
         "source_row", *[spelled[new].alias(old) for old, new in schema.EXPORT_COLUMNS.items()]
     )
 
 
 def _load_export(run: Run) -> DataFrame:
     path = scratch_table(run.spark, "export.parquet")
-    _as_export(run).write.parquet(path)
+    _as_export(run.bound).write.parquet(path)
     return _export_groups(load_export(run.spark, path, "A"))
 
 
@@ -204,29 +209,26 @@ def _load_export_text(run: Run) -> DataFrame:
     """A delimited copy whose options hold line breaks, quotes and commas, read in about 50 blocks or more."""
     path = scratch_table(run.spark, "export")
     more = F.when(F.col("source_row") % 3 == 0, '\n"second" line, x').when(F.col("source_row") % 7 == 0, ' ""').otherwise("")
-    spelled = _as_export(run).withColumn("Option", F.concat(F.rtrim("Option"), more))
+    spelled = _as_export(run.bound_once).withColumn("Option", F.concat(F.rtrim("Option"), more))
     keep = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     spelled.write.options(header=True, **keep).csv(path)
+    # the files' lengths alone: their content is not read for it
+    size = run.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     conf, name = run.spark.conf, "spark.sql.files.maxPartitionBytes"
     usual = conf.get(name)
-    conf.set(name, str(min(max(4 * run.bound.count(), 1 << 14), 1 << 27)))
-    try:
-        loaded = cut_lineage(load_export(run.spark, path, "A"))
-    finally:
-        conf.set(name, usual)
+    conf.set(name, str(min(max(size // 50, 1 << 14), 1 << 27)))
     shown = F.replace("option_raw", F.lit("\n"), F.lit("|"))
-    texts = loaded.groupBy("source", "competition", "bet_type", "currency_raw").agg(
+    texts = [
         F.sum(F.length("option_raw")).alias("option_chars"), F.max(shown).alias("last_option"),
         F.count_if(F.col("option_raw").contains("\n")).alias("broken_options"),
-    )
-    by = ["source", "competition", "bet_type", "currency_raw"]
-    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
-    return _export_groups(loaded).alias("g").join(texts.alias("t"), same).select(
-        "g.*", "option_chars", "last_option", "broken_options"
-    )
+    ]
+    try:
+        return cut_lineage(_export_groups(load_export(run.spark, path, "A"), *texts))
+    finally:
+        conf.set(name, usual)
 
 
-def _export_groups(loaded: DataFrame) -> DataFrame:
+def _export_groups(loaded: DataFrame, *more: Column) -> DataFrame:
     return loaded.groupBy("source", "competition", "bet_type", "currency_raw").agg(
         F.count("*").alias("legs"),
         F.count("event_ts").alias("with_kickoff"),
@@ -235,11 +237,12 @@ def _export_groups(loaded: DataFrame) -> DataFrame:
         F.sum(money(F.col("ggr"))).alias("ggr"),
         F.min("betslip_ts").alias("first_bet"),
         F.max("source_row").alias("last_row"),
+        *more,
     )
 
 
 def _typed_legs(run: Run) -> DataFrame:
-    renamed = _as_export(run).withColumnsRenamed(schema.EXPORT_COLUMNS)
+    renamed = _as_export(run.bound).withColumnsRenamed(schema.EXPORT_COLUMNS)
     return typed_legs(renamed, "A").drop("sport", "player_raw")
 
 

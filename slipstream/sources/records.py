@@ -5,17 +5,21 @@ but only on whether their number is odd. So each block's quotes are counted firs
 the blocks of a file, a row each, say how every block starts. Blocks that start outside quotes and hold
 no line with an odd number of them have one record a line; they are not shuffled. In the others the
 first and the last line with an odd number tell which lines belong to a record that crosses blocks, any
-number of them; only these lines are dealt by the record. In all other lines the state runs along one block
-at a time, and its records are put together where they are: each line is shuffled once.
+number of them; only these lines are shuffled, to meet by their record. In all other lines the state runs
+along, and records are put together by the task that reads their block, in the order of reading: headers and
+states of blocks reach the lines by broadcast, a row per file and block, so that lines stay where they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from slipstream.session import cut_lineage
+from slipstream.session import bound_batches, cut_lineage
 
 QUOTE = '"'
 BLOCK = ["file", "block"]
@@ -43,7 +47,8 @@ def below(lines: DataFrame, heads: DataFrame) -> DataFrame:
     blank = F.trim(F.rtrim("value", F.lit("\r"))) == ""
     kept = F.when(F.col("head_file").isNull(), F.when(blank, F.lit(False)).otherwise(missing))
     kept = kept.otherwise((F.col("block") > 0) | (F.col("place") > F.col("head_place")))
-    return lines.join(named, F.col("file") == F.col("head_file"), "left").where(kept).select(*lines.columns)
+    on = F.col("file") == F.col("head_file")
+    return lines.join(F.broadcast(named), on, "left").where(kept).select(*lines.columns)
 
 
 def _quotes() -> Column:
@@ -76,30 +81,51 @@ def block_states(lines: DataFrame) -> DataFrame:
     )
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in the order of reading, outside quotes before the first and after the last, joined to records."""
+    begun, inside, last = [], 0, -1
+    for batch in batches:
+        lines, places = batch.column("value"), batch.column("place").to_numpy()
+        if len(places) and (places[0] <= last or (np.diff(places) <= 0).any()):
+            raise ValueError("lines left the order in which they were read")
+        last = places[-1] if len(places) else last
+        quotes = np.cumsum(pc.count_substring(lines, QUOTE).to_numpy(zero_copy_only=False))
+        ends = np.flatnonzero((inside + quotes) % 2 == 0) + 1
+        inside = (inside + quotes[-1]) % 2 if len(quotes) else inside
+        if not len(ends):
+            begun.append(lines)
+            continue
+        whole = pa.concat_arrays([*begun, lines.slice(0, ends[-1])])
+        offsets = np.concatenate([[0], ends + (len(whole) - ends[-1])]).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), whole), pa.scalar("\n", whole.type))
+        yield pa.RecordBatch.from_arrays([texts], ["value"])
+        begun = [lines.slice(ends[-1])]
+    if any(map(len, begun)):
+        raise ValueError("the lines of a block end inside quotes")
+
+
 def records(lines: DataFrame) -> DataFrame:
     """One row a record, its lines joined by line feeds; blank ones are left out."""
     states = cut_lineage(block_states(lines))
-    placed = lines.join(states, BLOCK)
+    placed = lines.join(F.broadcast(states), BLOCK)
     single = placed.where("plain").select("value")
 
     # what is open at a block's start runs up to its first odd line, what is open at its end from its last one on
     head = (F.col("open") == 1) & (F.col("place") <= F.coalesce("first_odd", "place"))
     tail = (F.col("ends_open") == 1) & F.coalesce(F.col("place") >= F.col("last_odd"), F.lit(False))
-    mixed = placed.where(~F.col("plain")).withColumn("head", head)
-    across = mixed.where(F.col("head") | tail).select(
-        "file", F.when(F.col("head"), F.col("begun")).otherwise(F.col("block")).alias("begun"), "block", "place", "value"
-    )
-
-    def joined(parts: DataFrame, keys: list[str]) -> DataFrame:
-        lines_of = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
-        texts = parts.groupBy(*keys).agg(lines_of.alias("lines"))
-        return texts.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
-
-    # all other lines of a block start outside quotes and end there; they are grouped where the window left them
-    along = Window.partitionBy(*BLOCK).orderBy("place")
-    quotes_before = F.coalesce(F.sum(_quotes()).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = mixed.where(~(F.col("head") | tail)).select(*BLOCK, "place", "value").withColumn("inside", quotes_before % 2)
-    nth = F.sum(1 - F.col("inside")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    inner = joined(inner.withColumn("nth", nth), [*BLOCK, "nth"])
-    whole = single.unionByName(inner).unionByName(joined(across, ["file", "begun"]))
+    mixed = placed.where(~F.col("plain"))
+
+    # all other lines of a block start outside quotes and end there
+    bound_batches(lines.sparkSession)
+    inner = mixed.where(~(head | tail)).select("place", "value").mapInArrow(_whole_records, "value string")
+
+    # a record that crosses blocks is known by the block it begins in
+    begun = F.when(head, F.col("begun")).otherwise(F.col("block"))
+    across = mixed.where(head | tail).select("file", begun.alias("block"), F.col("block").alias("at"), "place", "value")
+    in_record = Window.partitionBy(*BLOCK).orderBy("at", "place")
+    numbered = across.withColumn("nth", F.row_number().over(in_record))
+    lines_of = F.array_sort(F.collect_list(F.struct("nth", "value")))
+    crossing = numbered.groupBy(*BLOCK).agg(lines_of.alias("lines"))
+    crossing = crossing.select(F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
+    whole = single.unionByName(inner).unionByName(crossing)
     return whole.select(F.rtrim("value", F.lit("\r")).alias("value")).where(F.trim("value") != "")

@@ -174,3 +174,30 @@ def test_lines_of_a_block_are_shuffled_once_and_crossing_records_alone(spark, tm
     assert len(re.findall(r"Exchange hashpartitioning\(file#\d+, block#\d+L", plan)) == 1
     got = sorted(r["value"] for r in found.collect())
     assert got == sorted([*(f'{i},"a\nb""c",x' for i in range(40)), '40,"' + "\n" * 200 + '"', '41,""'])
+
+
+def test_records_of_a_block_are_put_together_by_the_task_that_reads_it(spark, tmp_path):
+    """Only lines of records that cross blocks are shuffled, even where nothing is small enough to be broadcast unasked."""
+    path = write(tmp_path / "a.csv", NAMES, [multi_line(i, o) for i, o in enumerate(OPTIONS * 3)])
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        loaded = load_export(spark, path, "A")
+        plan = loaded._jdf.queryExecution().executedPlan().toString()
+        got = {r["source_row"]: r["option_raw"] for r in loaded.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert got == {i: o.strip() for i, o in enumerate(OPTIONS * 3)}
+    assert "Exchange hashpartitioning" not in plan.split("MapInArrow", 1)[1].split("Window", 1)[0]
+
+
+def test_records_that_cross_arrow_batches_and_bytes_that_are_not_utf8(spark, tmp_path):
+    lines = [b'1,"a\nb""c",x', b'2,"' + b"\n" * 9 + b'\xff\xc3",y', b"3,z\xe9,", b'4,"\r\n",']
+    (tmp_path / "a.csv").write_bytes(b"\n".join(lines * 5) + b"\n")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = records(read_lines(spark, str(tmp_path / "a.csv"))).select(F.hex("value").alias("h")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert sorted(bytes.fromhex(r["h"]) for r in found) == sorted(lines * 5)

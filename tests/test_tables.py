@@ -1,5 +1,6 @@
 """Tables are written when first read, from legs that are shuffled as narrow as they came."""
 
+import glob
 import os
 import re
 
@@ -11,7 +12,7 @@ from slipstream.operators.reconcile import row_identity
 from slipstream.operators.rollup import attribute_legs, build_slips
 from slipstream.plans.catalog import QUERIES, Run
 from slipstream.plans.tables import MONEY_COLUMNS, bound_tables, build_tables
-from slipstream.session import scratch_table
+from slipstream.session import scratch_table, shared_dir
 from slipstream.sources import binding
 
 KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey"}
@@ -113,3 +114,14 @@ def test_what_one_run_has_written_is_not_read_by_another(spark, small):
     assert first.tables.slips.count() == second.tables.slips.count()
     assert first.tables.path != second.tables.path
     assert first.tables is first.tables
+
+
+def test_the_text_export_reads_bound_legs_once_and_writes_groups_of_them_alone(spark, small):
+    before = {r["legs"] for r in QUERIES["load_export"](Run(spark, small)).collect()}
+    other, scratch = Run(spark, small), shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(scratch))
+    assert {r["legs"] for r in QUERIES["load_export_text"](other).collect()} == before
+    assert "tables" not in vars(other)
+    new = [d for d in glob.glob(f"{scratch}/*/*") if os.path.basename(os.path.dirname(d)) not in there]
+    largest = max((d for d in new if not d.endswith("/export")), key=lambda d: spark.read.parquet(d).count())
+    assert spark.read.parquet(largest).count() < 80
