@@ -45,7 +45,7 @@ def _finish(slips: DataFrame) -> DataFrame:
     return timed.withColumn("phase", timing.phase(F.col("lead_minutes"))).select(*SLIP_COLUMNS)
 
 
-def _simple_slips(legs: DataFrame) -> DataFrame:
+def simple_slips(legs: DataFrame) -> DataFrame:
     """A SIMPLE leg is a slip of its own: a projection, no shuffle."""
     one_if = lambda c: F.when(F.col(c).isNotNull(), F.lit(1)).otherwise(0).cast("long")
     return _finish(
@@ -68,34 +68,26 @@ def _simple_slips(legs: DataFrame) -> DataFrame:
 def combined_slips(legs: DataFrame) -> DataFrame:
     """COMBINED legs with one key are one slip.
 
-    Legs are folded to (slip, match, first-row attributes) first: a hash aggregate of
-    fixed-width values, so a key that fills a third of the data arrives as few rows. Picking the
-    first row's texts and counting distinct matches then sees those rows only.
+    One aggregate: legs are folded by slip where they are read, so a key that fills a third of the data
+    arrives as a row per task, with its matches and competitions as sets.
     """
-    folded = (
+    first_unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("row_id")))
+    distinct = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731 - matches of one slip
+    grouped = (
         legs.where(_is_combined())
-        .groupBy(*SLIP_KEY, "match_id", "unit", *FIRST_ROW)
+        .groupBy(*SLIP_KEY)
         .agg(
-            F.min("row_id").alias("row"),
-            F.count("*").alias("legs"),
+            F.min_by(F.struct(*FIRST_ROW), F.col("row_id")).alias("__first"),
+            first_unit.alias("unit"),
+            F.min("row_id").alias("first_row"),
+            F.count("*").alias("n_legs"),
+            distinct("match_id").alias("n_matches"),
+            distinct("competition").alias("competitions"),
             F.min("event_ts").alias("first_event_ts"),
             F.max("event_ts").alias("last_event_ts"),
-            F.product("price").alias("price"),
+            F.coalesce(F.product("price"), F.lit(1.0)).alias("price"),
         )
     )
-    first_unit = F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("row")))
-    distinct = lambda c: F.size(F.collect_set(c)).cast("long")  # noqa: E731 - matches of one slip
-    grouped = folded.groupBy(*SLIP_KEY).agg(
-        F.min_by(F.struct(*FIRST_ROW), F.col("row")).alias("__first"),
-        first_unit.alias("unit"),
-        F.min("row").alias("first_row"),
-        F.sum("legs").alias("n_legs"),
-        distinct("match_id").alias("n_matches"),
-        distinct("competition").alias("competitions"),
-        F.min("first_event_ts").alias("first_event_ts"),
-        F.max("last_event_ts").alias("last_event_ts"),
-        F.coalesce(F.product("price"), F.lit(1.0)).alias("price"),
-    )
     rate = accounts.eur_rate(F.col("currency"))
     opened = grouped.withColumns(
         {
@@ -115,7 +107,7 @@ def build_slips(legs: DataFrame, combined: DataFrame | None = None) -> DataFrame
     """One row per betslip, with lead time and phase.
 
     ``combined`` are the ``combined_slips`` of these legs, where they have been written."""
-    return _simple_slips(legs).unionByName(combined_slips(legs) if combined is None else combined)
+    return simple_slips(legs).unionByName(combined_slips(legs) if combined is None else combined)
 
 
 def attribute_legs(legs: DataFrame, slips: DataFrame) -> DataFrame:

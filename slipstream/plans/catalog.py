@@ -248,7 +248,7 @@ def _typed_legs(run: Run) -> DataFrame:
 
 def _write_slips_legs(run: Run) -> DataFrame:
     path = scratch_table(run.spark, "written")
-    store.write_slips_legs(run.slip_rows, run.tables.leg_rows(fixtures=True), path)
+    run.tables.write_slips_legs(path)
 
     def days(name: str, stake: str) -> DataFrame:
         return store.read_by_day(run.spark, f"{path}/{name}").groupBy(F.lit(name).alias("name"), "betslip_date").agg(

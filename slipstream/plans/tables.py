@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from slipstream.operators.fixtures import matches_with_day, with_fixture
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import pair_pulls, reconciled_union, row_identity
-from slipstream.operators.rollup import SLIP_ON_LEG, build_slips, combined_slips, data_window, look_up_slips, share_out
+from slipstream.operators.rollup import (
+    SLIP_ON_LEG, build_slips, combined_slips, data_window, look_up_slips, share_out, simple_slips,
+)
 from slipstream.schema import BY_DAY
 from slipstream.sources import binding, tables
 from slipstream.session import scratch_table
@@ -80,6 +82,23 @@ class Tables:
         legs = data_window(self.raw)
         return share_out(normalize(self._with_slips(with_fixture(legs, self.matches) if fixtures else legs)))
 
+    @property
+    def legs_to_deal(self) -> DataFrame:
+        """The legs as they came, with what only others know: their slip and their fixture. All that follows
+        from these is left to ``derive_legs``, after they are dealt to days."""
+        return with_fixture(self._with_slips(data_window(self.raw)), self.matches)
+
+    def derive_legs(self, dealt: DataFrame) -> DataFrame:
+        """The rows of ``legs`` from dealt ``legs_to_deal``: a projection."""
+        columns = [*self.normalized.columns, *SLIP_ON_LEG, "fixture", "fixture_day", BY_DAY]
+        return share_out(normalize(dealt)).select(*columns)
+
+    def write_slips_legs(self, path: str) -> None:
+        """The rows of ``slips`` and ``legs``, written under ``path``. Only COMBINED slips and legs are dealt to
+        days; SIMPLE slips are projected from the written legs."""
+        combined = data_window(self.read("combined_slips"))
+        tables.write_slips_legs(combined, self.legs_to_deal, path, self.derive_legs, simple_slips)
+
     @property
     def plain_legs(self) -> DataFrame:
         """``leg_rows`` without fixtures, written in the partitions that they have, for queries that read them
@@ -114,13 +133,7 @@ def _write_matches(made: Tables, path: str) -> None:
 
 
 def _write_legs(made: Tables, path: str) -> None:
-    """Legs are shuffled as they came, with what only others know: their slip and their fixture. All that
-    follows from these is worked out after they are dealt to days."""
-    looked_up = made._with_slips(data_window(made.raw))
-    columns = [*made.normalized.columns, *SLIP_ON_LEG, "fixture", "fixture_day", BY_DAY]
-    tables.write_by_day(
-        with_fixture(looked_up, made.matches), path, lambda legs: share_out(normalize(legs)).select(*columns)
-    )
+    tables.write_by_day(made.legs_to_deal, path, made.derive_legs)
 
 
 def _write_plain_legs(made: Tables, path: str) -> None:

@@ -37,12 +37,19 @@ def write_by_day(df: DataFrame, path: str, derived: Callable[[DataFrame], DataFr
     ``derived`` adds the columns that follow from a row alone: after the rows are dealt, so that they are
     not shuffled.
     """
-    dated = df.withColumn(BY_DAY, F.to_date("betslip_ts")).hint("rebalance", BY_DAY)
-    if derived is not None:
-        dated = derived(dated)
+    dated = _dealt(df)
+    _write_dated(dated if derived is None else derived(dated), path)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.withColumn(BY_DAY, F.to_date("betslip_ts")).hint("rebalance", BY_DAY)
+
+
+def _write_dated(dated: DataFrame, path: str) -> None:
     order = [c for c in CLUSTER if c in dated.columns]
     writer = dated.sortWithinPartitions(BY_DAY, *order).write.mode("errorifexists").partitionBy(BY_DAY)
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOM_COLUMNS if c in dated.columns}
+    blooms["parquet.bloom.filter.adaptive.enabled"] = "true"  # as large as its values need, not 1 MB each
     pages = {"compression": "zstd", "parquet.page.row.count.limit": str(PAGE_ROWS)}
     writer.options(**pages, **blooms).parquet(path)
 
@@ -51,9 +58,25 @@ def read_by_day(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_slips_legs(slips: DataFrame, legs: DataFrame, path: str) -> None:
-    write_by_day(slips, f"{path}/slips")
-    write_by_day(legs, f"{path}/legs")
+def write_slips_legs(
+    slips: DataFrame,
+    legs: DataFrame,
+    path: str,
+    derived: Callable[[DataFrame], DataFrame] | None = None,
+    alone: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Both tables by day, legs with what is ``derived`` from them.
+
+    ``alone``, where given, makes the slips of legs that are slips of their own; ``slips`` are all others then.
+    Written legs lie by day, as heavy days were split and tiny ones merged, so what is projected from them is
+    not dealt to days again.
+    """
+    write_by_day(legs, f"{path}/legs", derived)
+    if alone is None:
+        write_by_day(slips, f"{path}/slips")
+    else:
+        projected = alone(read_by_day(legs.sparkSession, f"{path}/legs")).withColumn(BY_DAY, F.to_date("betslip_ts"))
+        _write_dated(projected.unionByName(_dealt(slips)), f"{path}/slips")
 
 
 def write_facts(facts: dict[str, DataFrame], path: str) -> None:

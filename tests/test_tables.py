@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slipstream.operators.normalize import normalize
 from slipstream.operators.reconcile import row_identity
-from slipstream.operators.rollup import attribute_legs, build_slips
+from slipstream.operators.rollup import attribute_legs, build_slips, combined_slips
 from slipstream.plans.catalog import QUERIES, Run
 from slipstream.plans.tables import MONEY_COLUMNS, bound_tables, build_tables
 from slipstream.session import scratch_table, shared_dir
@@ -125,3 +125,32 @@ def test_the_text_export_reads_bound_legs_once_and_writes_groups_of_them_alone(s
     new = [d for d in glob.glob(f"{scratch}/*/*") if os.path.basename(os.path.dirname(d)) not in there]
     largest = max((d for d in new if not d.endswith("/export")), key=lambda d: spark.read.parquet(d).count())
     assert spark.read.parquet(largest).count() < 80
+
+
+def test_written_slips_and_legs_are_dealt_to_days_narrow_and_simple_slips_not_at_all(spark, small, monkeypatch):
+    run, path, dealt = Run(spark, small), scratch_table(spark, "written"), []
+    kind, usual = type(spark.range(1)), type(spark.range(1)).hint
+
+    def spy(df, name, *by):
+        if by == ("betslip_date",):
+            dealt.append(df)
+        return usual(df, name, *by)
+
+    monkeypatch.setattr(kind, "hint", spy)
+    monkeypatch.setattr("slipstream.plans.catalog.scratch_table", lambda *_: path)
+    assert QUERIES["write_slips_legs"](run).count() > 0
+    legs, slips = sorted(dealt, key=lambda df: "n_legs" in df.columns and "event_ts" not in df.columns)
+    assert not {"market_clean", "entity_player", "stake_eur", "stake_attr"} & set(legs.columns)
+    assert {r["bet_type"] for r in slips.select("bet_type").collect()} == {"COMBINED"}
+    rows = lambda df, like: sorted(map(str, df.select(*like.columns).collect()))
+    for name, like in (("slips", run.slip_rows), ("legs", run.tables.leg_rows(fixtures=True))):
+        written = spark.read.parquet(f"{path}/{name}")
+        assert rows(written, like) == rows(like, like) != []
+        assert written.where("betslip_date <> to_date(betslip_ts)").count() == 0
+    assert {r["bet_type"] for r in run.slip_rows.select("bet_type").collect()} == {"COMBINED", "SIMPLE"}
+
+
+def test_combined_legs_are_shuffled_once_folded_by_slip(spark, small):
+    plan = combined_slips(bound_tables(spark, small).normalized)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 1
+    assert "partial_count" in plan.split("Exchange hashpartitioning", 1)[1]
