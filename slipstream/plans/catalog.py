@@ -213,7 +213,7 @@ def _load_export_text(run: Run) -> DataFrame:
     keep = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     spelled.write.options(header=True, **keep).csv(path)
     # the files' lengths alone: their content is not read for it
-    size = run.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    size = run.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     conf, name = run.spark.conf, "spark.sql.files.maxPartitionBytes"
     usual = conf.get(name)
     conf.set(name, str(min(max(size // 50, 1 << 14), 1 << 27)))
